@@ -89,3 +89,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
 def with_text(df: DataFrame, text: str) -> DataFrame:
     """Null texts become empty."""
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+
+
+def small(table: DataFrame, most: int = 200_000) -> DataFrame:
+    """A written table, broadcast if it has at most `most` rows and joined by a shuffle beyond."""
+    return F.broadcast(table) if table.count() <= most else table

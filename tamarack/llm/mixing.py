@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20240917
-CELL, MOST_SOURCES = 20_000, 1_000_000
+CELL, MOST_SOURCES = 2_000, 1_000_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, epochs: float) -> list[float]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, pii, quality_rules, token_files, toxicity, warc
+from . import exact_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, token_files, toxicity, warc
 from .common import new_dir, staged
 
 
@@ -56,6 +56,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.dedup_archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
 
@@ -64,7 +69,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_mixing, op6_toxicity, op8_warc, op9_quality_rules)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.choose(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_token_files, op4_pii, op5_mixing, op6_toxicity, op7_simhash, op8_warc, op9_quality_rules, op10_quality_classifier)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL = {
