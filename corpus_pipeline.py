@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import exact_dedup, mixing, packing
+from tamarack.llm import exact_dedup, mixing, packing, quality_classifier, simhash
 from tamarack.llm.common import staged
 
 
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on `labels`, keeps."""
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the document with the largest id stays."""
     return exact_dedup.exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    return simhash.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks."""
     return mixing.mix(docs)
@@ -23,7 +33,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.packed(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [
+    ("quality_classifier", keep_good_quality),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Tokenisation, models and seeded choices have no SQL; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
