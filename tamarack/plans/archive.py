@@ -85,7 +85,9 @@ def extract_evidence(spark, d):
 
 def extract_evidence_all(spark, d):
     """The best sentence of every chunk of the corpus."""
-    rows = evidence.with_best_sentence(chunks(spark, d), TOKENS).filter("best IS NOT NULL")
+    words = F.array(*map(F.lit, TOKENS))
+    table = chunks(spark, d).filter(F.size(F.array_intersect("tokens", words)) >= min(3, -(-len(TOKENS) // 2)))  # a sentence has no terms but its chunk's
+    rows = evidence.with_best_sentence(table, TOKENS).filter("best IS NOT NULL")
     return rows.select("doc_id", "chunk_no", F.col("best.quote").alias("quote"), (-F.col("best.o")).alias("overlap"))
 
 

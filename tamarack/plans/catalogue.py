@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import archive
+from . import archive, ingest
 
-MODULES = [archive]
+MODULES = [archive, ingest]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: s for m in MODULES for name, s in m.ORACLE_SQL.items()}
