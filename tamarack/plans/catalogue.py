@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import archive, ingest, signals
+from . import archive, cases, ingest, signals, streams
 
-MODULES = [archive, ingest, signals]
+MODULES = [archive, ingest, cases, signals, streams]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: s for m in MODULES for name, s in m.ORACLE_SQL.items()}
