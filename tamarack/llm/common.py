@@ -70,7 +70,7 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each has at most about `most` bytes of text, or one row."""
     for batch in batches:
         size = batch.column(column).nbytes
@@ -91,6 +91,6 @@ def with_text(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
 
 
-def small(table: DataFrame, most: int = 200_000) -> DataFrame:
+def small(table: DataFrame, most: int = 100_000) -> DataFrame:
     """A written table, broadcast if it has at most `most` rows and joined by a shuffle beyond."""
     return F.broadcast(table) if table.count() <= most else table

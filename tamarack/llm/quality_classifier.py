@@ -42,7 +42,7 @@ def buckets(text: str) -> np.ndarray:
     tokens = _TOKEN.findall(text)
     if not tokens:
         return np.zeros(0, np.int64)
-    if len(_hashes) > 500_000:
+    if len(_hashes) > 150_000:
         _hashes.clear()
     known = _hashes
     for t in set(tokens).difference(known):

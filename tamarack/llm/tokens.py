@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Cached words for each Python worker, and the longest word that is cached.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 LONGEST = 64
 #: Closing marks that both vocabularies split from a letter or digit before them.
 MARKS = ",.;:!?%&$*#"
