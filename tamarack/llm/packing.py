@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,14 +100,13 @@ def pack(cut: DataFrame, count: int, length: int = LENGTH, group: int = GROUP) -
     narrow = cut.select(*keep, F.pmod(F.col("row_key"), F.lit(groups)).cast("long").alias("sequence_id"))
     schema = narrow.withColumn("offset", F.lit(0).cast("long")).schema
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        placed = np.array(first_fit_decreasing(pdf["length"].tolist(), length), np.int64).reshape(-1, 2)
-        pdf["sequence_id"] = key[0] * (1 << 32) + placed[:, 0]
-        pdf["offset"] = placed[:, 1]
-        return pdf
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        placed = np.array(first_fit_decreasing(table.column("length").to_pylist(), length), np.int64).reshape(-1, 2)
+        table = table.set_column(table.column_names.index("sequence_id"), "sequence_id", pa.array(key[0].as_py() * (1 << 32) + placed[:, 0]))
+        return table.append_column("offset", pa.array(placed[:, 1]))
 
-    return narrow.groupBy("sequence_id").applyInPandas(run, schema)
+    return narrow.groupBy("sequence_id").applyInArrow(run, schema)
 
 
 def packed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end: int = END, length: int = LENGTH, group: int = GROUP) -> DataFrame:
