@@ -28,7 +28,10 @@ def work_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _made:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tamarack-")
-        _made[app] = f"{base.rstrip('/')}/tamarack-{app}-{uuid.uuid4().hex[:8]}"
+        # with its scheme, so that Spark and the tasks' own readers mean the same store
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+        _made[app] = f"{_local(base).rstrip('/')}/tamarack-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _made[app])
     return _made[app]
 
@@ -57,7 +60,13 @@ def file_system(uri: str):
     """pyarrow's file system and the path in it; works for local and for object or HDFS stores."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    return fs.FileSystem.from_uri(_local(uri))
+
+
+def _local(uri: str) -> str:
+    """Local paths in the one form that Spark and pyarrow both read."""
+    path = uri.removeprefix("file:") if uri.startswith("file:") else uri
+    return "file:///" + path.lstrip("/") if path.startswith("/") else uri
 
 
 def ascii_lower(text: Column) -> Column:

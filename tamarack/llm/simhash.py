@@ -224,30 +224,62 @@ def shingle_set(text: bytes, shingle: int = VERIFY_SHINGLE) -> np.ndarray:
 def similar_groups(sets: list[np.ndarray], similar: float = SIMILAR) -> list[int]:
     """For each set the number of the first set of its group: components of the pairs with that Jaccard similarity.
 
-    Sets are taken by size; two of which one is smaller than `similar` times the other can't be linked. Members of a
-    group already joined aren't compared again, so a dense group costs little more than its size.
+    Sets are taken by size, their members from rare to frequent. Two linked sets share one of the rarest members of
+    each, so only sets that share one are compared, and of these none of a group that the set has already joined: a
+    token's list is kept by group. Dense groups cost little more than their size, and no link is missed.
     """
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
-    groups: list[list[int]] = []  # members by size; a group ends once its largest member is too small
-    for i in order:
-        mine, joined, rest = set(sets[i].tolist()), [], []
-        for group in groups:
-            hit = False
-            for j in reversed(group):
-                if len(sets[j]) < similar * len(mine):
-                    break
-                common = len(mine.intersection(sets[j].tolist()))
-                if (common >= similar * (len(mine) + len(sets[j]) - common)):
-                    hit = True
-                    break
-            (joined if hit else rest).append(group)
-        merged = sorted({m for g in joined for m in g} | {i}, key=lambda m: (len(sets[m]), m))
-        groups = [*rest, merged]
-    first = [0] * len(sets)
-    for group in groups:
-        for m in group:
-            first[m] = min(group)
-    return first
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    if not sets:
+        return []
+    every, numbers, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    sizes = np.array([len(s) for s in sets])
+    own = np.split(numbers, np.cumsum(sizes)[:-1])  # each set's members as numbers
+    mark, index = np.zeros(len(every), bool), {}
+    for i in sorted(range(len(sets)), key=lambda i: (sizes[i], i)):
+        n = int(sizes[i])
+        if not n:
+            continue
+        rarest = own[i][np.lexsort((own[i], count[own[i]]))][: n - int(np.ceil(similar * n - 1e-9)) + 1].tolist()
+        mark[own[i]] = True
+        near: set[int] = set()
+        probes = 8  # a few groups are tried by their last member first, so a dense group is joined at once
+        for member in rarest:
+            groups = index.setdefault(member, {})
+            for old in [r for r in groups if root[r] != r]:
+                groups.setdefault(find(old), []).extend(groups.pop(old))
+            for group, others in groups.items():
+                if probes and group != find(i):
+                    probes -= 1
+                    j = others[-1]
+                    common = int(np.count_nonzero(mark[own[j]]))
+                    if common >= similar * (n + sizes[j] - common):
+                        x, y = find(i), find(j)
+                        root[max(x, y)] = min(x, y)
+                if find(group) != find(i):
+                    near.update(others)
+        mine = find(i)
+        near = {j for j in near if find(j) != mine}
+        left = np.fromiter(near, np.int64, len(near))
+        left = left[sizes[left] >= similar * n - 1e-9]
+        while len(left):
+            some, left = left[:512], left[512:]
+            common = np.add.reduceat(mark[np.concatenate([own[j] for j in some])], np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), dtype=np.int64)
+            for j in some[common >= similar * (n + sizes[some] - common)].tolist():
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+            mine = find(i)
+            left = np.array([j for j in left.tolist() if find(j) != mine], np.int64)
+        mark[own[i]] = False
+        for member in rarest:
+            index[member].setdefault(find(i), []).append(i)
+    return [find(i) for i in range(len(sets))]
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", tables: int = TABLES, similar: float = SIMILAR) -> DataFrame:

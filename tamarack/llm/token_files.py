@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, new_dir, slices, texts_of
+from .common import file_system, slices, texts_of
 from .tokens import encoder
 
 VOCABULARY, END, SHARD_BYTES = "word_bpe_49k.json", 2, 64 << 20

@@ -22,7 +22,9 @@ def sql_values(rows: list[tuple], names: list[str]) -> str:
             return "NULL"
         if isinstance(v, bool):
             return str(v).upper()
-        if isinstance(v, (int, float)):
+        if isinstance(v, float):
+            return f"{v!r}::DOUBLE"
+        if isinstance(v, int):
             return repr(v)
         if isinstance(v, (list, tuple)):
             return "[" + ", ".join(map(literal, v)) + "]"
