@@ -25,7 +25,9 @@ def row_islands(spark, d):
 
 
 def moving_average(spark, d):
-    return signals.moving_average(signal(spark, d), ["vec_id"], "pos", "value", 9).select("vec_id", "pos", F.round("smooth", 6).alias("smooth"))
+    """Rounded as doubles: F.round goes through decimals, which lose the sign of a small negative average."""
+    six = F.rint(F.col("smooth") * 1e6) / 1e6
+    return signals.moving_average(signal(spark, d), ["vec_id"], "pos", "value", 9).select("vec_id", "pos", six.alias("smooth"))
 
 
 def signal_peaks(spark, d):
