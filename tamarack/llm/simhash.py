@@ -14,8 +14,8 @@ and can't be broadcast.
 
 `near_duplicates` links by one fingerprint alone. `one_of_each` is for dropping documents: it makes TABLES independent
 fingerprints of each text's distinct words, which a few edits hardly move, takes the components of all their links as
-candidates, and inside each keeps only links whose word shingles of VERIFY_SHINGLE words have a Jaccard similarity of
-at least SIMILAR. Only members of such components shuffle their shingles. Two texts at that very similarity share a
+candidates, and inside each keeps only links whose word shingles have a Jaccard similarity of at least SIMILAR
+(`near_copies`). Only members of such components shuffle their shingles. Two texts at that very similarity share a
 link in at least one table with a chance of about 98 in 100, and nearly always above it.
 
 Defined cases: null text is empty; a text with fewer words than a shingle is one shingle; one without words has
@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import slices, small, staged
 from .components import connected_components
+from .near_copies import SIMILAR, near_copies
 
 SHINGLE, RADIUS, PARTS, HOT, SALTS, SEED = 3, 3, 4, 4096, 64, 42
-TABLES, VERIFY_SHINGLE, SIMILAR = 8, 5, 0.8
+TABLES = 8
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -210,78 +211,6 @@ def word_prints(text: bytes, tables: int = TABLES) -> np.ndarray:
     return out
 
 
-def shingle_set(text: bytes, shingle: int = VERIFY_SHINGLE) -> np.ndarray:
-    """Hashes of a text's distinct word shingles, ascending; a shorter text is one shingle, an empty one has none."""
-    import xxhash
-
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
-
-
-def similar_groups(sets: list[np.ndarray], similar: float = SIMILAR) -> list[int]:
-    """For each set the number of the first set of its group: components of the pairs with that Jaccard similarity.
-
-    Sets are taken by size, their members from rare to frequent. Two linked sets share one of the rarest members of
-    each, so only sets that share one are compared, and of these none of a group that the set has already joined: a
-    token's list is kept by group. Dense groups cost little more than their size, and no link is missed.
-    """
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    if not sets:
-        return []
-    every, numbers, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    sizes = np.array([len(s) for s in sets])
-    own = np.split(numbers, np.cumsum(sizes)[:-1])  # each set's members as numbers
-    mark, index = np.zeros(len(every), bool), {}
-    for i in sorted(range(len(sets)), key=lambda i: (sizes[i], i)):
-        n = int(sizes[i])
-        if not n:
-            continue
-        rarest = own[i][np.lexsort((own[i], count[own[i]]))][: n - int(np.ceil(similar * n - 1e-9)) + 1].tolist()
-        mark[own[i]] = True
-        near: set[int] = set()
-        probes = 8  # a few groups are tried by their last member first, so a dense group is joined at once
-        for member in rarest:
-            groups = index.setdefault(member, {})
-            for old in [r for r in groups if root[r] != r]:
-                groups.setdefault(find(old), []).extend(groups.pop(old))
-            for group, others in groups.items():
-                if probes and group != find(i):
-                    probes -= 1
-                    j = others[-1]
-                    common = int(np.count_nonzero(mark[own[j]]))
-                    if common >= similar * (n + sizes[j] - common):
-                        x, y = find(i), find(j)
-                        root[max(x, y)] = min(x, y)
-                if find(group) != find(i):
-                    near.update(others)
-        mine = find(i)
-        near = {j for j in near if find(j) != mine}
-        left = np.fromiter(near, np.int64, len(near))
-        left = left[sizes[left] >= similar * n - 1e-9]
-        while len(left):
-            some, left = left[:512], left[512:]
-            common = np.add.reduceat(mark[np.concatenate([own[j] for j in some])], np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), dtype=np.int64)
-            for j in some[common >= similar * (n + sizes[some] - common)].tolist():
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-            mine = find(i)
-            left = np.array([j for j in left.tolist() if find(j) != mine], np.int64)
-        mark[own[i]] = False
-        for member in rarest:
-            index[member].setdefault(find(i), []).append(i)
-    return [find(i) for i in range(len(sets))]
-
-
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", tables: int = TABLES, similar: float = SIMILAR) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, with all its columns; others stay as they are."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
@@ -308,18 +237,5 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         edges = edges.union(p)
     parts = staged(connected_components(staged(edges, "candidates"), "x", "y"), "candidate-groups")
     members = rows.join(small(parts.withColumnRenamed("node", "doc_id")), "doc_id")
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
-            sets = [shingle_set(t).tobytes() for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), pa.array(sets, pa.binary())], ["doc_id", "component", "shingles"])
-
-    def verify(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        ids = table.column("doc_id").to_pylist()
-        first = similar_groups([np.frombuffer(s, np.int64) for s in table.column("shingles").to_pylist()], similar)
-        return pa.table({"doc_id": pa.array([d for d, f in zip(ids, first) if ids[f] != d], pa.int64())})
-
-    sets = members.select("doc_id", "component", "t").mapInArrow(shingles, "doc_id long, component long, shingles binary")
-    gone = staged(sets.groupBy("component").applyInArrow(verify, "doc_id long").distinct(), "near-copies")
+    gone = staged(near_copies(members, similar), "near-copies")
     return docs.join(small(gone.withColumnRenamed("doc_id", "_simhash_gone")), F.col(id_column) == F.col("_simhash_gone"), "left_anti")

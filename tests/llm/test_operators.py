@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.llm import exact_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, token_files, tokens, toxicity, warc
+from tamarack.llm import exact_dedup, mixing, near_copies, packing, pii, quality_classifier, quality_rules, simhash, token_files, tokens, toxicity, warc
 from tamarack.llm.common import new_dir
 from tamarack.llm.components import connected_components
 
@@ -359,7 +359,50 @@ def test_similar_groups_equals_all_pairs():
             if len(a & b) >= 0.8 * len(a | b):
                 x, y = root[i], root[j]
                 root = [min(x, y) if r in (x, y) else r for r in root]
-    assert simhash.similar_groups(sets) == root
+    assert near_copies.similar_groups(sets) == root
+
+
+def test_near_copies_in_bounded_chunks_equals_all_pairs(spark):
+    """Candidate groups far larger than a chunk: dense copies, chains, texts just under the limit, equal sets, repeated ids."""
+    rng = random.Random(12)
+    rows, sets = [], {}
+
+    def add(component, words):
+        doc = len(rows)
+        rows.append((doc, component, " ".join(words).encode()))
+        sets[doc] = component, set(near_copies.shingle_set(rows[-1][2]).tolist())
+
+    for component in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(60):  # dense: a few edits of one text; component 2: many more, so near the limit
+            v = list(base)
+            for _ in range(rng.randint(0, 2) if component < 2 else rng.randint(1, 3)):
+                v[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+            add(component, v)
+        for _ in range(40):  # a chain: each is close to the one before only
+            base = [w if rng.random() > 0.02 else f"c{rng.randrange(10**6)}" for w in base]
+            add(component, base)
+    add(9, ["just", "two"])
+    add(9, ["just", "two"])
+    add(9, ["others"])
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            (c, a), (d, b) = sets[i], sets[j]
+            if c == d and len(a & b) >= 0.8 * len(a | b) and root[i] != root[j]:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    gone = {i for i, r in enumerate(root) if r != i}
+    frame = spark.createDataFrame(rows + rows[:5], "doc_id long, component long, t binary")
+    for chunk in (1 << 17, 2000, 300):
+        assert {r["doc_id"] for r in near_copies.near_copies(frame, chunk=chunk).collect()} == gone
+    assert near_copies.near_copies(frame.limit(0)).count() == 0
+    kept = [s for _, s in sets.values()][:40]
+    for a in kept:
+        for b in kept:
+            if len(a & b) >= 0.8 * len(a | b):
+                heads = [set(near_copies.prefix_of(np.array(sorted(s))).tolist()) for s in (a, b)]
+                assert heads[0] & heads[1]
 
 
 PAGES = [
