@@ -20,11 +20,12 @@ def frame_error(pcm: Column) -> Column:
     return F.when(pcm.isNull() | (F.octet_length(pcm) != FRAME_BYTES), "not one frame")
 
 
-def form_errors(forms: DataFrame, fields: DataFrame, key: str = "form_id") -> DataFrame:
-    """key, field, error of the invalid fields; forms has values MAP<STRING, STRING>, fields (field, required, max_length) is a small dimension."""
-    rows = forms.crossJoin(F.broadcast(fields))  # a form has one row for each of its fields
+def form_errors(forms: DataFrame, fields: list[tuple[str, bool, int]], key: str = "form_id") -> DataFrame:
+    """key, field, error of the invalid fields; forms has values MAP<STRING, STRING>, fields are (name, required, longest; 0 for any length)."""
+    listed = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(r).alias("required"), F.lit(n).alias("longest")) for f, r, n in fields])
+    rows = forms.select(key, "values", F.explode(listed).alias("f")).select(key, "values", "f.*")
     value = F.trim(F.coalesce(F.col("values")[F.col("field")], F.lit("")))
-    error = F.when(F.col("required") & (value == ""), "required").when((F.col("max_length") > 0) & (F.length(value) > F.col("max_length")), "max")
+    error = F.when(F.col("required") & (value == ""), "required").when((F.col("longest") > 0) & (F.length(value) > F.col("longest")), "max")
     return rows.select(key, "field", error.alias("error")).filter("error IS NOT NULL")
 
 
@@ -52,3 +53,22 @@ def polygon_area(points: DataFrame, key: str, order: str) -> DataFrame:
 
 def contains_all(expected: Column, found: Column) -> Column:
     return F.size(F.array_except(expected, found)) == 0
+
+
+#: The steps of an answer, from the question to its end; a session may ask again after that.
+ANSWER_STEPS = [
+    (None, "ask"), ("ask", "answer"), ("ask", "error"), ("answer", "preparing"), ("answer", "speech_segment"), ("answer", "done"), ("answer", "error"), ("preparing", "speech_segment"), ("preparing", "done"), ("preparing", "error"),
+    ("speech_segment", "frame"), ("frame", "preparing"), ("frame", "speech_segment"), ("frame", "done"), ("frame", "error"), ("done", "ask"), ("error", "ask"),
+]
+
+
+def out_of_order(events: DataFrame, keys: list[str], order: list[str], kind: str, steps: list[tuple[str | None, str]] = ANSWER_STEPS) -> DataFrame:
+    """Events that no listed step leads to, with `before`, the kind of the event before them in their session (null at its start)."""
+    rows = events.withColumn("before", F.lag(kind).over(Window.partitionBy(*keys).orderBy(*order)))
+    after = {}
+    for before, now in steps:
+        after.setdefault(before, []).append(now)
+    fits = F.lit(False)
+    for before, kinds in after.items():
+        fits = fits | (F.col("before").eqNullSafe(F.lit(before)) & F.coalesce(F.col(kind).isin(*kinds), F.lit(False)))
+    return rows.filter(~fits)

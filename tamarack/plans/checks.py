@@ -11,6 +11,11 @@ from ..tables import inline, load, sql_values
 FORMS = [(1, "apa", "x"), (1, "bila", ""), (2, "apa", ""), (2, "bila", "18 September 2025"), (2, "dimana", "k" * 40)]
 FIELDS = [("apa", True, 10), ("bila", False, 20), ("dimana", False, 30)]
 PARTS = [(1, "apa", 0, "lampu rosak"), (1, "apa", 1, "rosak"), (1, "apa", 2, "di jalan"), (1, "bila", 1, "2025"), (2, "apa", 0, ""), (2, "apa", 1, "b")]
+STEPS = [(None, "view"), ("view", "view"), ("view", "click"), ("click", "view"), ("click", "click"), ("click", "purchase"), ("purchase", "view")]
+ANSWERS = [
+    (1, 0, "ask"), (1, 1, "answer"), (1, 2, "preparing"), (1, 3, "speech_segment"), (1, 4, "frame"), (1, 5, "done"), (1, 6, "ask"), (1, 7, "error"), (2, 0, "answer"), (2, 1, "frame"), (2, 2, "done"),
+    (3, 0, "ask"), (3, 1, "answer"), (3, 2, "speech_segment"), (3, 3, "speech_segment"), (3, 4, None), (3, 5, "done"),
+]
 POINTS = [(1, 0, 0.0, 0.0), (1, 1, 2.0, 0.0), (1, 2, 2.0, 2.0), (1, 3, 0.0, 2.0), (2, 0, 0.0, 0.0), (2, 1, 0.0, 1.0), (2, 2, 1.0, 0.0)]
 IMAGES = [(1, "data:image/png;base64,aGVsbG8="), (2, "data:image/gif;base64,aGVsbG8="), (3, "data:image/webp;base64,a b"), (4, None)]
 
@@ -27,7 +32,18 @@ def frame_validity(spark, d):
 
 def form_validation(spark, d):
     forms = inline(spark, FORMS, "form_id int, field string, value string").groupBy("form_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("values"))
-    return checks.form_errors(forms, inline(spark, FIELDS, "field string, required boolean, max_length int"))
+    return checks.form_errors(forms, FIELDS)
+
+
+def event_order(spark, d):
+    """Events of a user that don't follow from the one before: a visit starts with a view, and only a click leads to a purchase."""
+    rows = checks.out_of_order(load(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", STEPS)
+    return rows.select("event_id", "user_id", "before", F.col("event_type").alias("kind"))
+
+
+def answer_protocol(spark, d):
+    """Events of answer sessions that break the order of an answer."""
+    return checks.out_of_order(inline(spark, ANSWERS, "session int, seq int, kind string"), ["session"], ["seq"], "kind")
 
 
 def field_merge(spark, d):
@@ -55,7 +71,7 @@ def line_translation_join(spark, d):
     return checks.with_line_translation(segments, lines, ["user_id"])
 
 
-QUERIES = {f.__name__: f for f in (request_validation, frame_validity, form_validation, field_merge, conversation_merge, polygon_areas, image_data_urls, line_translation_join)}
+QUERIES = {f.__name__: f for f in (request_validation, frame_validity, form_validation, field_merge, conversation_merge, polygon_areas, image_data_urls, line_translation_join, event_order, answer_protocol)}
 ORACLE_SQL = {
     "request_validation": """SELECT doc_id, kind, CASE WHEN most IS NULL THEN 'unknown kind' WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN length(text) > most THEN 'too long' END AS error
         FROM documents, (VALUES ('question', 4000), ('transcript', 12000), ('speech', 2000), ('other', NULL)) AS k(kind, most)""",
@@ -68,4 +84,9 @@ ORACLE_SQL = {
     "image_data_urls": "SELECT n, bytes FROM (VALUES (1, 5), (2, NULL), (3, NULL), (4, NULL)) AS v(n, bytes)",
     "line_translation_join": """SELECT e.event_id, e.user_id, hour(e.ts) AS line, l.en AS line_en FROM events e LEFT JOIN
         (SELECT user_id, hour(ts) AS line, CAST(count(*) AS VARCHAR) AS en FROM events WHERE event_type = 'purchase' GROUP BY ALL) l ON e.user_id = l.user_id AND hour(e.ts) = l.line""",
+    "event_order": """WITH e AS (SELECT event_id, user_id, event_type AS kind, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+        SELECT event_id, user_id, before, kind FROM e WHERE NOT CASE kind WHEN 'view' THEN before IS NULL OR before IN ('view', 'click', 'purchase') WHEN 'click' THEN coalesce(before IN ('view', 'click'), false)
+        WHEN 'purchase' THEN coalesce(before = 'click', false) ELSE false END""",
+    "answer_protocol": """SELECT session, seq, kind, before FROM (VALUES (2, 0, 'answer', NULL), (2, 1, 'frame', 'answer'), (3, 3, 'speech_segment', 'speech_segment'), (3, 4, NULL, 'speech_segment'), (3, 5, 'done', NULL))
+        AS v(session, seq, kind, before)""",
 }
