@@ -24,7 +24,7 @@ import hashlib
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import file_system, new_dir, slices, staged
 
+#: HEADER: bytes that are read past a block at first; a longer header is read on to its end.
 LEAST, BLOCK, HEADER, FEW_DIGESTS = 100, 8 << 20, 64 << 10, 200_000
 #: Fixed values of the format.
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -57,7 +58,7 @@ def head(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
     """Fields, start of the block and start of the next record, if a record's head stands at this place."""
     if not MAGIC.match(data, at):
         return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     fields = {}
@@ -72,6 +73,42 @@ def head(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
     return fields, end + 4, end + 4 + int(size) + 4
 
 
+def successors(data: bytes, last: int, more: Callable[[int], bytes]) -> dict[int, int]:
+    """Start of each well-formed head that stands before `last`, and the start of the record after it.
+
+    A head of any length is followed to its blank line: `more` gives the bytes from a place on, none at the file's end.
+    What follows a line start is kept, so heads that run through the same lines cost one walk.
+    """
+    found: dict[int, int] = {}
+    known: dict[int, tuple[int, bytes | None] | None] = {}  # line start: end of the head and the length it declares
+    for at in [m.start() for m in MAGIC.finditer(data, 0, last + 9) if m.start() < last]:
+        place, lines = at + 10, []
+        while place not in known:
+            end, seen = data.find(b"\r\n", place), place
+            while end < 0 and (further := more(len(data))):
+                seen = max(place, len(data) - 1)
+                data += further
+                end = data.find(b"\r\n", seen)
+            line = data[place:end] if end >= 0 else b""
+            if not line:
+                known[place] = (end + 2, None) if end >= 0 else None
+            elif b":" not in line:
+                known[place] = None
+            else:
+                lines.append((place, line))
+                place = end + 2
+        rest = known[place]
+        for start, line in reversed(lines):
+            name, _, value = line.partition(b":")
+            if rest and rest[1] is None and name.strip().lower() == b"content-length":
+                rest = (rest[0], value.strip())
+            known[start] = rest
+        # the length is the last one in the head, as head() has it
+        if rest and rest[1] and rest[1].isdigit():
+            found[at] = rest[0] + int(rest[1]) + 4
+    return found
+
+
 def decide(pages: DataFrame, id_column: str = "page_id", html: str = "html", least: int = LEAST) -> DataFrame:
     """Adds _warc_digest and _warc_first, the smallest id of the pages with the same large payload, null where it is alone."""
     payload = F.coalesce(F.col(html), F.lit(""))
@@ -130,10 +167,8 @@ def candidates(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
                 start = number * block
                 with fs.open_input_file(name) as source:
                     data = source.read_at(min(block + HEADER, size - start), start)
-                found = {}
-                for m in MAGIC.finditer(data, 0, min(len(data), block + 9)):
-                    if m.start() < block and (h := head(data, m.start())) and start + h[2] <= size:
-                        found[start + m.start()] = start + h[2]
+                    more = lambda n: source.read_at(min(max(n, HEADER), size - start - n), start + n)  # noqa: B023, E731
+                    found = {start + at: start + to for at, to in successors(data, block, more).items() if start + to <= size}
                 leaves: dict[int, int] = {}
                 for at in sorted(found, reverse=True):
                     to = found[at]
@@ -179,7 +214,13 @@ def read(spark: SparkSession, directory: str, with_payload: bool = False, block:
                 with fs.open_input_file(name) as source:
                     end, size = (at // block + 1) * block, source.size()
                     base, data = at, source.read_at(min(end - at + HEADER, size - at), at)
-                    while at < min(end, size) and (h := head(data, at - base)):
+                    while at < min(end, size):
+                        if at - base > len(data):
+                            base, data = at, b""
+                        while data.find(b"\r\n\r\n", at - base) < 0 and base + len(data) < size:  # a head of any length
+                            data += source.read_at(min(max(len(data), HEADER), size - base - len(data)), base + len(data))
+                        if not (h := head(data, at - base)):
+                            break
                         fields, body, after = h
                         payload = data[body : after - 4] if after - 4 <= len(data) else source.read_at(after - 4 - body, base + body)
                         digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
@@ -197,8 +238,11 @@ def read(spark: SparkSession, directory: str, with_payload: bool = False, block:
 
 
 def dedup_archive(pages: DataFrame, directory: str | None = None, **columns) -> DataFrame:
-    """Writes the pages as archives and reads them back."""
+    """Writes the pages as archives and reads them back; an error if not every record that was written comes back."""
     spark = pages.sparkSession
     directory = directory or new_dir(spark, "warc")
-    write(pages, directory, **columns)
-    return read(spark, directory)
+    written = sum(n for _, n in write(pages, directory, **columns))
+    found = staged(read(spark, directory), "warc-read")
+    if (n := found.count()) != written:
+        raise ValueError(f"{directory}: {n} of {written} records were read")
+    return found

@@ -425,6 +425,28 @@ def test_warc_round_trip(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [70_000, warc.BLOCK])
+def test_warc_headers_of_any_length(spark, block):
+    # a header of 300,000 bytes, one whose end lies just beyond the first read, and lines that look like heads
+    rows = [(i, f"http://a/{i}", "before" * 40 + str(i)) for i in range(5)]
+    rows += [(5, "http://a/" + " " * 100_000, "long" * 50), (6, "http://a/" + "y" * (64 << 10), "x:WARC/1.1\r\n" * 500), (7, "u" * 200_000 + "WARC/1.1", None)]
+    rows += [(i, f"http://a/{i}", "after" * 40 + str(i)) for i in range(8, 12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    directory = new_dir(spark, "warc-test")
+    assert sum(n for _, n in warc.write(pages, directory)) == 12
+    got = {r["page_id"]: (r["url"], bytes(r["payload"]).decode()) for r in warc.read(spark, directory, with_payload=True, block=block).collect()}
+    assert got == {i: (u.replace(" ", "%20"), h or "") for i, u, h in rows}
+    assert warc.dedup_archive(pages).count() == 12
+
+
+def test_warc_lost_records_are_an_error(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string")
+    write = warc.write
+    monkeypatch.setattr(warc, "write", lambda *a, **b: [(p, n + 1) for p, n in write(*a, **b)])
+    with pytest.raises(ValueError, match="records were read"):
+        warc.dedup_archive(pages)
+
+
 def test_warc_payloads_and_empty_table(spark):
     directory = new_dir(spark, "w")
     warc.write(spark.createDataFrame(PAGES, "page_id long, url string, html string"), directory)
