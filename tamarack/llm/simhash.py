@@ -13,10 +13,10 @@ A shard's tree travels to its task with its shard by one shuffle; trees of all s
 and can't be broadcast.
 
 `near_duplicates` links by one fingerprint alone. `one_of_each` is for dropping documents: it makes TABLES independent
-fingerprints of each text's distinct words, which a few edits hardly move, takes the components of all their links as
-candidates, and inside each keeps only links whose word shingles have a Jaccard similarity of at least SIMILAR
-(`near_copies`). Only members of such components shuffle their shingles. Two texts at that very similarity share a
-link in at least one table with a chance of about 98 in 100, and nearly always above it.
+fingerprints of each text's distinct words, which a few scattered edits hardly move; a passage that was added or cut out
+in one piece moves them more, and many such pairs share no link. The exact rest comes from `shared_shingles`, which
+connects all pairs whose word shingles have a Jaccard similarity of at least SIMILAR. The components of all these links
+are candidates, and inside each only links of that similarity are kept (`near_copies`), so no pair is missed.
 
 Defined cases: null text is empty; a text with fewer words than a shingle is one shingle; one without words has
 fingerprint 0 and links like any other; an id that repeats is one document in its component; null ids never become a
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import slices, small, staged
 from .components import connected_components
 from .near_copies import SIMILAR, near_copies
+from .shared_shingles import pairs_by_shingles
 
 SHINGLE, RADIUS, PARTS, HOT, SALTS, SEED = 3, 3, 4, 4096, 64, 42
 TABLES = 8
@@ -235,6 +236,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     edges = long.join(shared, ["table", "fp"]).filter("doc_id <> first").select(F.col("doc_id").alias("x"), F.col("first").alias("y"))
     for p in pairs:
         edges = edges.union(p)
+    edges = edges.union(pairs_by_shingles(rows, similar))
     parts = staged(connected_components(staged(edges, "candidates"), "x", "y"), "candidate-groups")
     members = rows.join(small(parts.withColumnRenamed("node", "doc_id")), "doc_id")
     gone = staged(near_copies(members, similar), "near-copies")

@@ -405,6 +405,29 @@ def test_near_copies_in_bounded_chunks_equals_all_pairs(spark):
                 assert heads[0] & heads[1]
 
 
+def test_one_of_each_finds_added_and_cut_passages(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    common = " ".join(rng.choices(words, k=30))  # a passage of many texts
+    rows, pairs = [], []
+    for i in range(120):
+        own = rng.choices(words, k=rng.randint(40, 400))
+        more = rng.choices(words, k=int(len(own) * rng.choice([0.05, 0.1, 0.15, 0.2])))
+        at = rng.choice([0, len(own), len(own) // 2])
+        rows += [(2 * i, " ".join(own) + " " + common * (i % 3 == 0)), (2 * i + 1, " ".join(own[:at] + more + own[at:]) + " " + common * (i % 3 == 0))]
+    sets = [set(near_copies.shingle_set(t.encode()).tolist()) for _, t in rows]
+    root = list(range(len(rows)))  # components of all pairs, by brute force
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+                pairs.append((i, j))
+    assert len(pairs) > 60
+    got = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == set(root)
+
+
 PAGES = [
     (3, "http://a.example/1", "<p>" + "same " * 50), (1, "http://a.example/2", "<p>" + "same " * 50), (2, None, "short"), (4, "http://a.example/\r\nX: y", "short"), (5, "u", None), (6, "u", ""),
     (7, "u", "quoted WARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: 99\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 3), (8, "u", "é" * 90_000), (9, "u", "WARC/1.1\r\nContent-Length: 7\r\n\r\n" * 200),
