@@ -1,7 +1,8 @@
 """Personal data: base patterns, widened by bootstrapped contextual extraction.
 
 The base patterns find emails, IP addresses, card and phone numbers in the whole text. They are the seeds. Every other
-token that has the rough shape of an identifier is a candidate. A seed's or candidate's lexical patterns are the words
+token, part of a token of joined values, or number written with single blanks that has the rough shape of an identifier is
+a candidate, of at most LONGEST characters without what surrounds it. A seed's or candidate's lexical patterns are the words
 around it: the two before, the one before with the one after, and a label just before it such as "tel:" or "mail=".
 
 Spark scores the graph of patterns and instances in ROUNDS rounds. For each kind, a pattern's confidence is the mean
@@ -41,6 +42,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = re.compile(r"[0-9]")
+#: Numbers of several tokens with single blanks between them; what joins values in one token, and what stands between its parts.
+_SPACED = re.compile(r"(?<![0-9A-Za-z.+(/-])[+(]?[0-9][0-9().+/-]*(?:\x20[0-9(][0-9().+/-]*)+(?![0-9A-Za-z])")
+_JOINED, _PART = re.compile(r"[&?;|]"), re.compile(r"[^&?;|=,#\"'<>\[\]{}]+")
 #: A candidate's core inside its token, without what opens and closes it.
 _OPEN, _CLOSE = "\"'([{<", "\"')]}>.,;:!?"
 
@@ -94,7 +98,7 @@ def shapes(token: str) -> list[str]:
         kinds.append("ip")
     if digits >= 12 and re.fullmatch(r"[0-9](?:[ .-]?[0-9]){11,22}", token):
         kinds.append("card")
-    if 7 <= digits <= 15 and re.fullmatch(r"[+(]?[0-9][0-9().+/-]+", token):
+    if 7 <= digits <= 15 and re.fullmatch(r"[+(]?[0-9][0-9().+/\x20-]+", token):
         kinds.append("phone")
     return kinds
 
@@ -108,6 +112,7 @@ def contexts(text: str, start: int, end: int, width: int = 80) -> list[str]:
     label = words.pop() if words and before[-1:].strip() else ""
     nxt = after.split()[:1] if not after[:1].strip() else []
     out = []
+    label = _JOINED.split(label)[-1] or label  # in a joined token, the value's own key
     if label:
         out.append("L|" + fold(label))
     if len(words) >= 2 and not label:
@@ -118,19 +123,33 @@ def contexts(text: str, start: int, end: int, width: int = 80) -> list[str]:
 
 
 def _candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, list[str]]]:
-    """Tokens that look like identifiers and touch no base span."""
+    """Tokens, parts of joined tokens and numbers written with blanks that look like identifiers and touch no base span."""
     if not _DIGITS.search(text) and "@" not in text:
         return []
-    out, i = [], 0
-    for m in _TOKEN.finditer(text):
-        token = m[0]
-        if len(token) > LONGEST or not ("@" in token or _DIGITS.search(token)):
-            continue
+    found: set[tuple[int, int]] = set()
+
+    def core_of(token: str, stop: int) -> None:
         core = token.split("=")[-1].split(":")[-1] if token.count(":") == 1 or "=" in token else token
-        start = m.end() - len(core)
+        start = stop - len(core)
         core = core.rstrip(_CLOSE)
         cut = len(core) - len(core.lstrip(_OPEN))
-        start, end = start + cut, start + len(core)
+        if len(core) - cut <= LONGEST:
+            found.add((start + cut, start + len(core)))
+
+    for m in _TOKEN.finditer(text):
+        token = m[0]
+        if not ("@" in token or _DIGITS.search(token)):
+            continue
+        core_of(token, m.end())
+        if len(token) > LONGEST or _JOINED.search(token):
+            for part in _PART.finditer(token):
+                if "@" in part[0] or _DIGITS.search(part[0]):
+                    core_of(part[0], m.start() + part.end())
+    for m in _SPACED.finditer(text):
+        if m.end() - m.start() <= LONGEST:
+            found.add((m.start(), m.start() + len(m[0].rstrip(_CLOSE))))
+    out, i = [], 0
+    for start, end in sorted(found):
         while i < len(taken) and taken[i][2] <= start:
             i += 1
         if any(s < end and e > start for _, s, e in taken[max(0, i - 4) : i + 4]):

@@ -217,6 +217,18 @@ def test_pii_bootstrapping_finds_what_the_patterns_miss(spark):
     assert "agent0" not in masked[0] and masked[103] == ""
 
 
+def test_pii_candidates_with_blanks_and_in_long_tokens(spark):
+    rows = [(i, f"please call tel: +1 555 010 {1000 + i} now") for i in range(30)]
+    rows += [(i, f"see http://a.example/?name=n{i}&tel=+1555010{1000 + i}&page=2") for i in range(30, 60)]
+    long = "see http://a.example/" + "p" * 80 + "?name=n&tel=555-0199-777&page=2"
+    rows += [(100, "please call tel: (020) 7946 0958 now"), (101, "please call tel: 012 345 6789 now"), (102, long), (103, "rows 012 345 6789 of it")]
+    found = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = {d: [(s["kind"], dict(rows)[d][s["start"] : s["end"]]) for s in r["spans"]] for d, r in found.items()}
+    assert texts[100] == [("phone", "(020) 7946 0958")] and texts[101] == [("phone", "012 345 6789")]
+    assert texts[102] == [("phone", "555-0199-777")] and texts[103] == []
+    assert pii._candidates("1 " * 200_000 + "a" * 300_000 + "=1" * 100_000, []) == []
+
+
 def test_water_filling():
     assert mixing.water_fill([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert mixing.water_fill([0, 0], [5, 2], 0, 2) == [0.0, 0.0] and mixing.water_fill([], [], 0, 2) == []
