@@ -1,17 +1,19 @@
 """Packing token pieces into sequences: first-fit decreasing on a tournament tree, in randomised groups of documents.
 
-A document's ids are cut into full pieces of the sequence length and one rest. Pieces are dealt by a seeded hash of
-their document into groups of about GROUP pieces; each group is packed on its own, longest piece first into the first
+A document's ids are cut into full pieces of the sequence length and one rest. A full piece is a sequence of its own and
+passes straight through, so a document of any length burdens no group. The rests are dealt by a seeded hash of their
+document into groups of about GROUP; each group is packed on its own, longest piece first into the first
 open sequence with room. The tree's leaves are the sequences' free places and each inner node holds the larger of its
 two children, so the first sequence with room is found by one walk from the root. Groups are large enough that the
 short pieces fill nearly all gaps, and small enough for one task; their number grows with the input.
 
-Only (document, start, length) shuffles. Ids stay with their pieces and meet their sequence in `sequences` by a join,
-where a caller wants them.
+Only (document, start, length) of the rests shuffles. Ids stay with their pieces and meet their sequence in `sequences`
+by a join, where a caller wants them.
 
 Defined cases: null text is empty and gives one piece with the end id only; a text of any length gives as many pieces
 as it needs; documents that share an id are packed separately (each row is a document); ties in length go by id and
-start; an empty table gives an empty table; extra columns aren't carried.
+start, and rows that repeat are told apart by nothing else; a null id is kept as null; the spelling of an added token in a
+text is that token, as the library has it; an empty table gives an empty table; extra columns aren't carried.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, texts_of
+from .common import slices, staged
 from .tokens import encoder
 
 LENGTH, GROUP, SEED, VOCABULARY, END = 1024, 20_000, 11, "byte_bpe_50k.json", 0
@@ -76,7 +78,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocab
         encode = encoder(vocabulary).encode
         for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in range(6 + with_ids)]
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), encode(texts_of(batch, "text")))
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), encode(batch.column("text")))
             for doc, key, raw in rows:
                 raw += last
                 for at in range(0, len(raw), 4 * length):
@@ -93,11 +95,16 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocab
     return rows.withColumn("row_key", F.xxhash64(F.lit(SEED), "doc_id", F.monotonically_increasing_id())).mapInArrow(cut, schema)
 
 
-def pack(cut: DataFrame, count: int, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to pieces; `count` of them sizes the groups. Other columns than ids are kept."""
-    groups = count // group + 1
+def pack(cut: DataFrame, rests: int, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """Adds sequence_id and offset to written pieces; the number of those under `length` sizes the groups.
+
+    Other columns than ids are kept.
+    """
+    groups = rests // group + 1
     keep = [c for c in cut.columns if c not in ("ids", "row_key", "sequence_id", "offset")]
-    narrow = cut.select(*keep, F.pmod(F.col("row_key"), F.lit(groups)).cast("long").alias("sequence_id"))
+    own = F.lit(1 << 62) + F.monotonically_increasing_id()  # beyond all groups' numbers
+    full = cut.filter(F.col("length") == length).select(*keep, own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    narrow = cut.filter(F.col("length") != length).select(*keep, F.pmod(F.col("row_key"), F.lit(groups)).cast("long").alias("sequence_id"))
     schema = narrow.withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -106,13 +113,17 @@ def pack(cut: DataFrame, count: int, length: int = LENGTH, group: int = GROUP) -
         table = table.set_column(table.column_names.index("sequence_id"), "sequence_id", pa.array(key[0].as_py() * (1 << 32) + placed[:, 0]))
         return table.append_column("offset", pa.array(placed[:, 1]))
 
-    return narrow.groupBy("sequence_id").applyInArrow(run, schema)
+    return full.unionByName(narrow.groupBy("sequence_id").applyInArrow(run, schema))
+
+
+def _rests(cut: DataFrame, length: int) -> int:
+    return cut.filter(F.col("length") != length).count()
 
 
 def packed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end: int = END, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """All pieces of the documents with their places; pieces are written once, as their number sizes the groups."""
     cut = staged(pieces(docs, id_column, text, vocabulary, end, length), "pieces")
-    return pack(cut, cut.count(), length, group)
+    return pack(cut, _rests(cut, length), length, group)
 
 
 def sequences(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end: int = END, length: int = LENGTH, group: int = GROUP, pad: int = END) -> DataFrame:
@@ -121,7 +132,7 @@ def sequences(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vo
     The pieces with their ids are written once, so that tokens aren't made twice and row keys stay.
     """
     cut = staged(pieces(docs, id_column, text, vocabulary, end, length, with_ids=True), "pieces-ids")
-    places = pack(cut.withColumn("piece_key", F.col("row_key")), cut.count(), length, group)
+    places = pack(cut.withColumn("piece_key", F.col("row_key")), _rests(cut, length), length, group)
     joined = cut.join(places.select(F.col("piece_key").alias("row_key"), "start", "sequence_id", "offset"), ["row_key", "start"])
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     rows = joined.groupBy("sequence_id").agg(parts.alias("parts"))

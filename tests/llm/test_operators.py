@@ -18,7 +18,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i}" for i in range(30_000))
 ODD = [
     (1, "Hello World", "en", "a", 11), (2, "hello world", "en", "a", 11), (3, None, "en", None, None), (4, "", "de", "b", 0), (5, LONG, None, "b", len(LONG)), (6, "HELLO WORLD", "en", "a", 11), (7, "É tude  x\n\n y", "fr", "c", 8),
-    (8, "hello world", "en", "a", 11), (9, "éa éb", "fr", "c", 5), (10, "Éa éb", "fr", "c", 5), (11, "\t \n", "en", "", 3), (12, "x" * 5000, "en", "d", 5000),
+    (8, "hello world", "en", "a", 11), (9, "éa éb", "fr", "c", 5), (10, "Éa éb", "fr", "c", 5), (11, "\t \n", "en", "", 3), (12, "x" * 5000, "en", "d", 5000), (13, "end <|endoftext|> of it", "en", "d", 23),
 ]
 
 
@@ -35,9 +35,7 @@ def empty(spark):
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -46,9 +44,11 @@ def test_cached_encoding_equals_the_library(name):
     rng = random.Random(1)
     letters = "abc dé.,!  \n\t%&Ü'1  ́ßs"
     texts = ["", " ", "a   b", "x \n y", "<|endoftext|> a", "it's I'LL don 't", "q" * 200, "foo.\nBar foo,\nBar. \n z", "\n\na", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000))]
+    small = tokens.WordEncoder(name, most=500)  # room is made all the time
     for part in (texts[:50], texts, texts[::-1]):
         want = [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(part, add_special_tokens=False)]
         assert e.encode(part) == want
+        assert [i for at in range(0, len(part), 40) for i in small.encode(pa.array(part[at : at + 40]))] == want
 
 
 def check_packing(rows, length=1024):
@@ -158,12 +158,34 @@ def test_token_files(spark, docs, empty):
     assert token_files.read(token_files.write(empty, other), other).count() == 0
 
 
+def test_token_files_of_repeated_rows_and_null_ids(spark):
+    rows = [(5, "same text")] * 300 + [(None, "none"), (None, None), (7, "other"), (1, "")]
+    directory = new_dir(spark, "t")
+    shards = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), directory, shards=4)
+    assert max(r["n_docs"] for r in shards.collect()) < 200  # a row that repeats is split over shards
+    got = sorted(token_files.read(shards, directory).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, 1, *[5] * 300, 7]
+    assert [r["start"] for r in got] == list(np.cumsum([0, *(r["n_tokens"] for r in got)]))[:-1]
+    some = token_files.read_some(spark, shards, directory, spark.createDataFrame([(5,), (1,), (6,)], "doc_id long")).collect()
+    assert sorted(r["doc_id"] for r in some) == [1, *[5] * 300]
+
+
+def test_packing_of_repeated_rows_null_ids_and_the_empty_table(spark, empty):
+    rows = [(5, "same text", 1)] * 40 + [(None, "none", 2), (None, None, 3), (7, LONG, 4)]
+    found = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, length int")).collect()
+    check_packing(found)
+    assert sum(r["doc_id"] == 5 for r in found) == 40 and sum(r["doc_id"] is None for r in found) == 2
+    assert sum(r["length"] for r in found if r["doc_id"] == 7) == next(r["doc_tokens"] for r in found if r["doc_id"] == 7)
+    assert packing.packed(empty).count() == 0
+
+
 def test_a_shard_is_plain_zstandard_and_shows_damage():
     import zstandard
 
     out = io.BytesIO()
     documents = [(i, np.arange(i, i + 50 * i, dtype="<u4").tobytes()) for i in range(1, 6)]
-    assert token_files.write_shard(out, iter(documents), "<u2") == (5, 750)
+    frames = ((d, *token_files.make_frame(token_files.compressor(), ids, "<u2")) for d, ids in documents)
+    assert token_files.write_shard(out, frames, "<u2") == (5, 750)
     raw = out.getvalue()
     whole = b"".join(np.frombuffer(b, "<u4").astype("<u2").tobytes() for _, b in documents)
     assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read() == whole
