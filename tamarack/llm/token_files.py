@@ -8,14 +8,16 @@ some documents starts at the end.
 
     [frame of doc 0] [frame of doc 1] ... [skippable: doc ids, int64] [skippable: seek table]
 
-Documents are dealt by ranges of (doc_id, hash of the text) and sorted inside each, so shards follow one another in
-ascending doc_id order and no id, however often it repeats, makes a shard too large. Each task writes its shard under a
+Texts are encoded and compressed where they are read, and only frames shuffle. Frames are dealt by ranges of (doc_id, hash
+of the ids, row number) and sorted inside each, so shards follow one another in ascending doc_id order and no document,
+however often its id and text repeat, makes a shard too large. Each task writes its shard under a
 name of its own attempt and reports it in its result row; a rerun task leaves an unused file and no wrong one. Starts
 need the totals of the shards before, a row for each shard, which is what goes through the driver.
 
 Defined cases: null text is empty and holds the end id only; equal doc_ids stand in hash order; a null doc_id comes
-first and is stored as the smallest 64-bit integer; an empty table gives no shard and reads back empty; texts of any
-length are one frame.
+first and is stored as the smallest 64-bit integer; repeated rows are documents of their own; the spelling of an added
+token in a text is that token, as the library has it; an empty table gives no shard and reads back empty; texts of any
+length are one frame; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, slices, texts_of
+from .common import file_system, slices, staged
 from .tokens import encoder
 
 VOCABULARY, END, SHARD_BYTES = "word_bpe_49k.json", 2, 64 << 20
@@ -39,25 +41,33 @@ SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(1 << 63)
 
 
-def write_shard(out, documents: Iterator[tuple[int, bytes]], width: str) -> tuple[int, int]:
-    """Writes (doc_id, ids as little-endian unsigned 32-bit) documents to an open file: their number and their ids' number."""
+def make_frame(compress, raw: bytes, width: str) -> tuple[bytes, int, int]:
+    """Frame of a document's ids (little-endian unsigned 32-bit), the size of its content and the content's checksum."""
     import xxhash
+
+    body = np.frombuffer(raw, "<u4").astype(width).tobytes()
+    return compress(body), len(body), xxhash.xxh64_intdigest(body) & 0xFFFFFFFF
+
+
+def compressor():
     import zstandard
 
-    compress = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
-    ids, table, tokens = [], [], 0
-    for doc_id, raw in documents:
-        body = np.frombuffer(raw, "<u4").astype(width).tobytes()
-        frame = compress(body)
+    return zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+
+
+def write_shard(out, frames: Iterator[tuple[int, bytes, int, int]], width: str) -> tuple[int, int]:
+    """Writes (doc_id, frame, content size, checksum) to an open file: the number of documents and of their ids."""
+    ids, table, size = [], [], 0
+    for doc_id, frame, length, checksum in frames:
         out.write(frame)
         ids.append(doc_id)
-        table.append(struct.pack("<III", len(frame), len(body), xxhash.xxh64_intdigest(body) & 0xFFFFFFFF))
-        tokens += len(raw) // 4
+        table.append(struct.pack("<III", len(frame), length, checksum))
+        size += length
     index = struct.pack("<B", int(width[-1])) + np.array(ids, "<i8").tobytes()
     out.write(struct.pack("<II", SKIPPABLE_IDS, len(index)) + index)
     seek = b"".join(table) + struct.pack("<IBI", len(table), 0x80, SEEKABLE)
     out.write(struct.pack("<II", SKIPPABLE_TABLE, len(seek)) + seek)
-    return len(ids), tokens
+    return len(ids), size // int(width[-1])
 
 
 class ShardReader:
@@ -114,46 +124,58 @@ class ShardReader:
                 yield doc_id, self.document(k)
 
 
-def write(docs: DataFrame, directory: str, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end: int = END, shards: int | None = None) -> DataFrame:
-    """Writes all documents as shards: shard, path, n_docs, n_tokens, start (ids of the shards before). Runs at once."""
+def frames(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
+    """d (doc_id), frame, size, checksum and width (bytes of an id) of each document."""
     last = np.array([end], "<u4").tobytes()
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text).alias("t"))
-    if shards is None:
-        shards = max(1, int((rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // SHARD_BYTES) + 1)
-        shards = max(shards, docs.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(shards, "d", "h").sortWithinPartitions("d", "h").select("d", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
-        width = "<u2" if len(encode.bytes_of) <= 1 << 16 and end < 1 << 16 else "<u4"
-        first: list[int] = []
+        encode, compress = encoder(vocabulary), compressor()
+        width = 2 if len(encode.bytes_of) <= 1 << 16 and end < 1 << 16 else 4
+        for batch in slices(batches, "t"):
+            made = [make_frame(compress, raw + last, f"<u{width}") for raw in encode.encode(batch.column("t"))]
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), *columns, pa.array([width] * len(made), pa.int32())], ["d", "frame", "size", "checksum", "width"])
+
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, "d long, frame binary, size long, checksum long, width int")
+
 
-        def documents():
-            for batch in slices(batches, "t"):
-                for doc_id, raw in zip(batch.column("d").to_pylist(), encode.encode(texts_of(batch, "t"))):
-                    first or first.append(doc_id)
-                    yield doc_id, raw + last
+def write(docs: DataFrame, directory: str, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end: int = END, shards: int | None = None) -> DataFrame:
+    """Writes all documents as shards: shard, path, n_docs, n_tokens, start (ids of the shards before). Runs at once.
+
+    Frames are written once before they are dealt, as finding the ranges reads them too.
+    """
+    spark = docs.sparkSession
+    rows = staged(frames(docs, id_column, text, vocabulary, end), "token-frames")
+    if shards is None:
+        shards = int((rows.agg(F.sum(F.octet_length("frame"))).first()[0] or 0) // SHARD_BYTES) + 1
+        shards = max(shards, spark.sparkContext.defaultParallelism)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(shards, "d", "checksum", "row").sortWithinPartitions("d", "checksum").drop("row")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import itertools
 
         from pyspark import TaskContext
 
-        source = documents()
-        head = next(source, None)
-        if head is None:
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:
             return
+        width = f"<u{first.column('width')[0].as_py()}"
         fs, base = file_system(directory)
         fs.create_dir(base, recursive=True)
         path = f"{base}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.ids.zst"
+        source = (row for b in itertools.chain([first], batches) for row in zip(*(b.column(c).to_pylist() for c in ("d", "frame", "size", "checksum"))))
         with fs.open_output_stream(path, compression=None) as out:
-            n, tokens = write_shard(out, itertools.chain([head], source), width)
+            n, tokens = write_shard(out, source, width)
         columns = [[TaskContext.get().partitionId()], [path], [n], [tokens]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "path", "n_docs", "n_tokens"])
 
     done = sorted(rows.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long").collect())
     starts = np.concatenate([[0], np.cumsum([r["n_tokens"] for r in done])]).astype(int).tolist()
     table = [(r["shard"], r["path"], r["n_docs"], r["n_tokens"], s) for r, s in zip(done, starts)]
-    return docs.sparkSession.createDataFrame(table, "shard long, path string, n_docs long, n_tokens long, start long")
+    return spark.createDataFrame(table, "shard long, path string, n_docs long, n_tokens long, start long")
 
 
 def read(shards: DataFrame, directory: str, with_ids: bool = True) -> DataFrame:
@@ -183,7 +205,11 @@ def read(shards: DataFrame, directory: str, with_ids: bool = True) -> DataFrame:
 
 
 def read_some(spark: SparkSession, shards: DataFrame, directory: str, doc_ids: DataFrame) -> DataFrame:
-    """doc_id and ids of the requested documents only; each shard is opened once and only their frames are read."""
+    """doc_id and ids of the requested documents only; each shard is opened once and only their frames are read.
+
+    Requested ids are spread over every shard that may hold them: shards are sorted by id, so an id's first shard is found
+    by its place among the shards' first ids, and an id that goes on over several shards is in all of these.
+    """
     schema = "doc_id long, ids array<long>"
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -204,6 +230,17 @@ def read_some(spark: SparkSession, shards: DataFrame, directory: str, doc_ids: D
                     edges.append((int(ids[0]), int(ids[-1])))
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([e[0] for e in edges]), pa.array([e[1] for e in edges])], ["path", "low", "high"])
 
-    spans = F.broadcast(shards.select("path").mapInArrow(ranges, "path string, low long, high long"))  # a row for each shard
-    wanted = doc_ids.select("doc_id").distinct().join(spans, F.col("doc_id").between(F.col("low"), F.col("high")))
-    return wanted.select("path", "doc_id").groupBy("path").applyInArrow(run, schema)
+    spans = sorted(shards.select("path").mapInArrow(ranges, "path string, low long, high long").collect(), key=lambda r: (r["low"], r["high"], r["path"]))
+    held = spark.sparkContext.broadcast((np.array([r["low"] for r in spans], np.int64), np.array([r["high"] for r in spans], np.int64), [r["path"] for r in spans]))  # a row for each shard, as in `write`
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, highs, paths = held.value
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            first, last = np.searchsorted(highs, ids, "left"), np.searchsorted(lows, ids, "right")
+            times = np.maximum(last - first, 0)
+            at = np.concatenate([*(np.arange(a, b) for a, b in zip(first, last)), np.zeros(0, np.int64)]).astype(int)
+            yield pa.RecordBatch.from_arrays([pa.array([paths[i] for i in at], pa.string()), pa.array(ids.repeat(times), pa.int64())], ["path", "doc_id"])
+
+    wanted = doc_ids.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct().mapInArrow(place, "path string, doc_id long")
+    return wanted.groupBy("path").applyInArrow(run, schema)
