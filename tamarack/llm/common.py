@@ -103,3 +103,8 @@ def with_text(df: DataFrame, text: str) -> DataFrame:
 def small(table: DataFrame, most: int = 100_000) -> DataFrame:
     """A written table, broadcast if it has at most `most` rows and joined by a shuffle beyond."""
     return F.broadcast(table) if table.count() <= most else table
+
+
+def few_parts(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """Fewer partitions where about `rows` rows don't fill the shuffle's: as many as there are cores, or rows of `each`."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // each + 1))

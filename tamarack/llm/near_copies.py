@@ -30,15 +30,30 @@ from .components import connected_components
 SHINGLE, SIMILAR, CHUNK, MIXES, SALTS, SEED = 5, 0.8, 1 << 17, 2, 64, 42
 
 
-def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Hashes of a text's distinct word shingles, ascending; a shorter text is one shingle, an empty one has none."""
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hash of each word of a text, in order; A-Z is lower-cased."""
     import xxhash
 
     words = text.lower().split()
-    if not words:
+    own = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    return np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
+
+
+def shingles_of(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles of a text's word hashes, ascending; a shorter text is one shingle, an empty one has none."""
+    if not len(words):
         return np.zeros(0, np.int64)
     n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
+    h = np.zeros(n, np.uint64)
+    for i in range(min(shingle, len(words))):
+        h = (h ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    return shingles_of(word_hashes(text), shingle)
 
 
 def similar_groups(sets: list[np.ndarray], similar: float = SIMILAR, labels: list[int] | None = None) -> list[int]:
@@ -199,8 +214,8 @@ def _settle(wide: DataFrame, labels: DataFrame, similar: float, chunk: int) -> D
     return _relabel(labels, staged(_met(pairs, ["component", "low", "high"], similar), "near-met"))
 
 
-def near_copies(members: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """doc_id of every document that isn't the smallest of its component, from doc_id, component and t, the text's bytes."""
+def near_groups(members: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """doc_id and label, the smallest doc_id of its component, from doc_id, component and t, the text's bytes."""
     import hashlib
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +226,15 @@ def near_copies(members: DataFrame, similar: float = SIMILAR, shingle: int = SHI
 
     sets = members.select("doc_id", "component", "t").mapInArrow(shingles, "doc_id long, component long, digest binary, shingles binary")
     sets = staged(sets.filter(F.octet_length("shingles") > 0).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "shingle-sets")
-    salted = sets.groupBy("component", "digest", "salt").agg(F.min("doc_id").alias("first"))
+    salted = staged(sets.groupBy("component", "digest", "salt").agg(F.min("doc_id").alias("first")), "shingle-salts")
     firsts = staged(salted.groupBy("component", "digest").agg(F.min("first").alias("first")), "shingle-firsts")
-    # equal sets: the decision returns by (set, salt), and only one row of each goes on with its shingles
-    spread = salted.select("component", "digest", "salt").join(firsts, ["component", "digest"])
-    equal = sets.select("component", "digest", "salt", "doc_id").join(spread, ["component", "digest", "salt"]).filter("doc_id <> first").select("doc_id")
+    # only one row of each set goes on with its shingles; the decision returns to the equal ones by (set, salt)
     reps = sets.join(firsts.withColumnRenamed("first", "doc_id"), ["component", "digest", "doc_id"]).dropDuplicates(["component", "digest", "doc_id"])
     found = components_of(staged(reps.select("doc_id", "component", "shingles"), "near-reps"), similar, chunk)
-    return equal.union(found.filter("doc_id <> label").select("doc_id")).distinct()
+    spread = salted.select("component", "digest", "salt").join(firsts.join(found.withColumnRenamed("doc_id", "first"), "first"), ["component", "digest"])
+    return sets.select("component", "digest", "salt", "doc_id").join(spread, ["component", "digest", "salt"]).select("doc_id", "label").distinct()
+
+
+def near_copies(members: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """doc_id of every document that isn't the smallest of its component."""
+    return near_groups(members, similar, shingle, chunk).filter("doc_id <> label").select("doc_id").distinct()

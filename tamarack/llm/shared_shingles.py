@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, staged
-from .near_copies import SHINGLE, SIMILAR, shingle_set
+from .near_copies import SIMILAR
 
 MANY = 1 << 40
 
@@ -82,16 +82,18 @@ def _sorted(rows: DataFrame, name: str) -> DataFrame:
     return staged(rows, name).repartitionByRange(partitions, "token", "doc_id").sortWithinPartitions("token", "doc_id")
 
 
-def pairs_by_shingles(rows: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
-    """Edges x, y over doc_id that connect all texts of column t, as bytes, with this similarity, and others."""
+def pairs_by_shingles(beginnings: DataFrame) -> DataFrame:
+    """Edges x, y over doc_id that connect all texts of the given similarity, and others.
+
+    `beginnings` has doc_id, tokens and need: what `beginning` says of each text, tokens as bytes.
+    """
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
-            sets = [beginning(shingle_set(t, shingle), similar) for t in batch.column("t").to_pylist()]
-            times = np.array([len(s) for s, _ in sets], np.int64)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).repeat(times)
-            needs = np.array([n for _, n in sets], np.int64).repeat(times)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*(s for s, _ in sets), np.zeros(0, np.int64)])), pa.array(ids), pa.array(needs)], ["token", "doc_id", "need"])
+        for batch in slices(batches, "tokens"):
+            sets = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
+            times = np.array([len(s) for s in sets], np.int64)
+            ids, needs = (batch.column(c).to_numpy(zero_copy_only=False).repeat(times) for c in ("doc_id", "need"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])), pa.array(ids), pa.array(needs)], ["token", "doc_id", "need"])
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, (ids, needs), sizes, _ in _runs(batches, ["doc_id", "need"]):
@@ -107,10 +109,9 @@ def pairs_by_shingles(rows: DataFrame, similar: float = SIMILAR, shingle: int =
             token = pa.array(np.concatenate([np.zeros(len(near), np.int64), tokens[ends]]), mask=np.arange(len(x)) < len(near))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), token], ["x", "y", "token"])
 
-    tokens = rows.filter("doc_id IS NOT NULL").select("doc_id", "t").mapInArrow(begin, "token long, doc_id long, need long")
-    shared = _sorted(tokens, "shared-beginnings").mapInArrow(frequent, "token long, doc_id long, need long, n long")
+    tokens = beginnings.select("doc_id", "tokens", "need").mapInArrow(begin, "token long, doc_id long, need int")
+    shared = _sorted(tokens, "shared-beginnings").mapInArrow(frequent, "token long, doc_id long, need int, n long")
     own = Window.partitionBy("doc_id")
-    # an id that repeats is one document, with the least need of its texts
     ranked = shared.select("*", F.row_number().over(own.orderBy("n", "token")).alias("place"), (F.count(F.lit(1)).over(own) - F.min("need").over(own) + 1).alias("most"))
     rare = ranked.filter("place <= most").select("token", "doc_id")
     found = staged(_sorted(rare, "shared-rare").mapInArrow(edges, "x long, y long, token long").distinct(), "shared-edges")

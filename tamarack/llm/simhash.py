@@ -6,8 +6,9 @@ in at most 3 bits agree in at least one of 4 parts, so every link lies in some s
 shard are ever compared. A shard's fingerprints go one by one through a BK-tree, whose children are keyed by their
 Hamming distance to the parent: a search follows only edges within the radius of the distance to the node it stands
 on. A shard emits at most one edge for each fingerprint, to the smallest of its component there, never all pairs.
-Shards over HOT fingerprints are cut once more by the 12-bit parts of the other 48 bits, which is exact for the same
-reason. Components over all shards come from alternating star steps.
+Shards over HOT fingerprints are cut again by parts of the bits that are left (12, then 9 of them), which is exact for the
+same reason, so a family of many fingerprints that differ little is spread over shards that agree in 37 bits. Components
+over all shards come from alternating star steps.
 
 A shard's tree travels to its task with its shard by one shuffle; trees of all shards together grow with the corpus
 and can't be broadcast.
@@ -16,12 +17,17 @@ and can't be broadcast.
 fingerprints of each text's distinct words, which a few scattered edits hardly move; a passage that was added or cut out
 in one piece moves them more, and many such pairs share no link. The exact rest comes from `shared_shingles`, which
 connects all pairs whose word shingles have a Jaccard similarity of at least SIMILAR. The components of all these links
-are candidates, and inside each only links of that similarity are kept (`near_copies`), so no pair is missed.
+are candidates, and inside each only links of that similarity are kept (`near_copies`), so no pair is missed. Texts are
+read once for fingerprints and shingles; the graph is one of row numbers, and members find their texts again by id and
+two hashes of the text.
 
 Defined cases: null text is empty; a text with fewer words than a shingle is one shingle; one without words has
-fingerprint 0 and links like any other; an id that repeats is one document in its component; null ids never become a
-component's name unless all its ids are null; ties go to the smallest id; an empty table gives an empty table; extra
-columns aren't carried by `near_duplicates` and stay untouched in `one_of_each`.
+fingerprint 0 and links like any other in `near_duplicates`, and is no near copy in `one_of_each`. In `near_duplicates`
+an id that repeats is one document in its component, and null ids never become a component's name unless all its ids
+are null. In `one_of_each` ids may be of any type that can be ordered, null ids and ids that repeat with different texts are
+documents of their own, rows that share id and text stay or go together, the smallest id of a group stays, null last,
+and of its rows that read first. An empty table gives an empty table; extra columns aren't carried by
+`near_duplicates` and stay untouched in `one_of_each`, where names that begin with `_simhash_` are taken.
 """
 
 from __future__ import annotations
@@ -30,16 +36,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small, staged
+from .common import few_parts, slices, small, staged
 from .components import connected_components
-from .near_copies import SIMILAR, near_copies
-from .shared_shingles import pairs_by_shingles
+from .near_copies import SIMILAR, near_groups, shingles_of, word_hashes
+from .shared_shingles import beginning, pairs_by_shingles
 
 SHINGLE, RADIUS, PARTS, HOT, SALTS, SEED = 3, 3, 4, 4096, 64, 42
 TABLES = 8
+#: Bits of a part at each level: of 64, of the 48 that are left, of the 36 that are left.
+WIDTHS = (16, 12, 9)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Number whose bits are set where more than half of the hashes have them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # eight counters in a 64-bit number, which hold up to 255 rows
+        sums = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(bits), 255), axis=0)
+        ones += sums.view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -56,11 +75,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     ends = (starts + sizes)[shingle - 1 :].tolist()
     hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends)), "<u8", len(ends))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -110,7 +125,7 @@ class BKTree:
 
 
 def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(fingerprint, smallest fingerprint of its component in this shard), without those that stand alone."""
+    """(place, first place of its component in this shard) of the values, without those that stand alone."""
     tree, root = BKTree(), list(range(len(values)))
 
     def find(i: int) -> int:
@@ -125,54 +140,76 @@ def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]
             if a != b:
                 root[max(a, b)] = min(a, b)
         tree.add(value)
-    return [(values[i], values[r]) for i in range(len(values)) if (r := find(i)) != i]
+    return [(i, r) for i in range(len(values)) if (r := find(i)) != i]
+
+
+def _cut(level: int, key: str, rest: str) -> Column:
+    """Array of (key, rest) for the parts of the bits that are left: the part joins the key, the other bits go on."""
+    width, out = WIDTHS[level], []
+    for j in range(PARTS):
+        low = width * j
+        part = F.shiftrightunsigned(rest, low).bitwiseAND((1 << width) - 1)
+        left = F.shiftleft(F.shiftrightunsigned(rest, low + width), low).bitwiseOR(F.col(rest).bitwiseAND((1 << low) - 1))
+        out.append(F.struct((F.shiftleft(key, width + 2) + F.lit(j << width) + part).alias("key"), left.alias("rest")))
+    return F.array(*out)
 
 
 def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Edges a, b over the distinct numbers in column fp that connect all pairs within `radius` bits, at most 3."""
+    """Edges a, b over column node that connect all pairs of rows whose fp is within `radius` bits, at most 3.
+
+    With a column table, only rows of the same table are linked. Each (table, fp) stands once.
+    """
     if radius >= PARTS:
         raise ValueError(f"{PARTS} parts find links of up to {PARTS - 1} bits")
-    part = lambda j: F.shiftrightunsigned("fp", 16 * j).bitwiseAND(0xFFFF)
-    keyed = fps.select("fp", F.explode(F.array(*[part(j) + F.lit(j << 16) for j in range(PARTS)])).alias("key"))
-    large = staged(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("large")), "simhash-large")
-    if large.limit(1).count():
-        marked = keyed.join(F.broadcast(large), "key", "left")  # at most 4 * 65,536 keys exist
-        j = F.shiftright("key", 16)
-        # the other 48 bits: the fingerprint turned so that the shard's own part stands on top
-        turned = F.expr("(fp << cast(48 - 16 * (key >> 16) as int)) | shiftrightunsigned(fp, cast(16 + 16 * (key >> 16) as int) & 63)")
-        turned = F.when(j == 3, F.col("fp")).otherwise(turned)
-        again = F.explode(F.array(*[F.shiftrightunsigned(turned, 12 * i).bitwiseAND(0xFFF) + F.lit((i + 1) << 12) for i in range(4)]))
-        small = marked.filter("large IS NULL").select("fp", "key")
-        more = marked.filter("large").select("fp", "key", again.alias("sub")).select("fp", (F.col("key") + F.shiftleft("sub", 20)).alias("key"))
-        keyed = small.union(more)
+    table = F.col("table").cast("long") if "table" in fps.columns else F.lit(0).cast("long")
+    rows = fps.select("fp", "node", table.alias("key"), F.col("fp").alias("rest"))
+    done: list[DataFrame] = []
+    for level in range(len(WIDTHS)):
+        keyed = rows.select("fp", "node", F.explode(_cut(level, "key", "rest")).alias("c")).select("fp", "node", "c.key", "c.rest")
+        if level + 1 == len(WIDTHS):
+            done.append(keyed)
+            break
+        large = staged(few_parts(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key"), 0), "simhash-large")
+        if not large.limit(1).count():
+            done.append(keyed)
+            break
+        done.append(keyed.join(small(large), "key", "left_anti"))
+        rows = staged(keyed.join(small(large), "key", "left_semi").select("fp", "node", "key", "rest"), "simhash-hot")
+    shards = done[0].select("fp", "node", "key")
+    for level, more in enumerate(done[1:], 1):  # negative below the first level, so that no two levels share a key
+        shards = shards.unionByName(more.select("fp", "node", (-F.col("key") * 2 - (level - 1) - 1).alias("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def done() -> list[tuple[int, int]]:
-            return shard_links(sorted(held), radius) if len(held) > 1 else []
+            if len(held) < 2:
+                return []
+            held.sort()
+            return [(held[i][1], held[r][1]) for i, r in shard_links([v for v, _ in held], radius)]
 
         def pack(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            both = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+            both = np.array(edges, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         for batch in batches:
             found = []
             keys = batch.column("key").to_numpy(zero_copy_only=False)
-            values = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            for k, own in zip(keys[np.concatenate([[0], cuts])].tolist() if len(keys) else [], np.split(values, cuts)):
-                if k != key:
+            values = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+            nodes = batch.column("node").to_pylist()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for start, stop in zip(cuts, cuts[1:]):
+                if start < stop and (k := int(keys[start])) != key:
                     found += done()
                     key, held = k, []
-                held += own.tolist()
+                held += zip(values[start:stop], nodes[start:stop])
             if found:
                 yield pack(found)
         if found := done():
             yield pack(found)
 
     partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return shards.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -181,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     # one row for each (fingerprint, salt), then one for each fingerprint: a fingerprint that many share is spread out
     salted = staged(own.groupBy("fp", "salt").agg(F.min("doc_id").alias("first")), "fingerprint-salts")
     nodes = staged(salted.groupBy("fp").agg(F.min("first").alias("first")), "fingerprint-nodes")
-    parts = staged(connected_components(staged(links(nodes.select("fp"), radius), "simhash-links")), "simhash-components")
+    parts = staged(connected_components(staged(links(nodes.select("fp", F.col("fp").alias("node")), radius), "simhash-links")), "simhash-components")
     named = nodes.join(parts, nodes["fp"] == parts["node"]).groupBy("component").agg(F.min("first").alias("component_id"))
     linked = parts.join(named, "component").select(F.col("node").alias("fp"), F.col("component_id"))
     all_ = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
@@ -189,55 +226,65 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return own.join(spread, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
-def word_prints(text: bytes, tables: int = TABLES) -> np.ndarray:
-    """Independent SimHashes of a text's distinct words; zeros where there are none."""
-    import xxhash
-
-    words = list(set(text.lower().split()))
-    if not words:
-        return np.zeros(tables, np.int64)
-    digest = xxhash.xxh64_intdigest
-    own = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
-    out = np.zeros(tables, np.int64)
+def word_prints(words: np.ndarray, tables: int = TABLES) -> list[int]:
+    """Independent SimHashes of a text's distinct words, from the words' hashes; signed 64-bit numbers."""
+    own, out = np.unique(words), []
     for t in range(tables):
         # a fixed mixing of the word hashes, another one in each table
         h = (own + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(29)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            part = h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[t] = np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]
-    return out
+        out.append(majority(h))
+    return np.array(out, np.uint64).view(np.int64).tolist()
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", tables: int = TABLES, similar: float = SIMILAR) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, with all its columns; others stay as they are."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+def signatures(rows: DataFrame, tables: int = TABLES, similar: float = SIMILAR) -> DataFrame:
+    """The columns of rows but t, the text's bytes, and prints, tokens and need of each text that has words."""
+    keep = [f for f in rows.schema if f.name != "t"]
+    names = [f.name for f in keep]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "prints array<long>", "tokens binary", "need int"])
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            found = np.array([word_prints(t, tables) for t in batch.column("t").to_pylist()], np.int64).reshape(-1, tables)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(found[:, t])) for t in range(tables))], ["doc_id", *(f"f{t}" for t in range(tables))])
-
-    schema = "doc_id long, " + ", ".join(f"f{t} long" for t in range(tables))
-    own = staged(rows.mapInArrow(prints, schema), "word-prints")
-    # a text without words is no near copy of anything: exact copies are another operator's work
-    long = own.filter("f0 <> 0").select("doc_id", F.posexplode(F.array(*[f"f{t}" for t in range(tables)])).alias("table", "fp"))
-    nodes = staged(long.groupBy("table", "fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "word-print-nodes")
-    pairs = []
-    for t in range(tables):
-        mine = nodes.filter(F.col("table") == t).select("fp", "first")
-        near = links(mine.select("fp"))
-        near = near.join(mine.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(mine.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        pairs.append(near.select("x", "y"))
-    shared = nodes.filter("n > 1").select("table", "fp", "first")
-    edges = long.join(shared, ["table", "fp"]).filter("doc_id <> first").select(F.col("doc_id").alias("x"), F.col("first").alias("y"))
-    for p in pairs:
-        edges = edges.union(p)
-    edges = edges.union(pairs_by_shingles(rows, similar))
-    parts = staged(connected_components(staged(edges, "candidates"), "x", "y"), "candidate-groups")
-    members = rows.join(small(parts.withColumnRenamed("node", "doc_id")), "doc_id")
-    gone = staged(near_copies(members, similar), "near-copies")
-    return docs.join(small(gone.withColumnRenamed("doc_id", "_simhash_gone")), F.col(id_column) == F.col("_simhash_gone"), "left_anti")
+            prints, tokens, needs, kept = [], [], [], []
+            for i, t in enumerate(batch.column("t").to_pylist()):
+                words = word_hashes(t)
+                if len(words):
+                    some, need = beginning(shingles_of(words), similar)
+                    prints.append(word_prints(words, tables))
+                    tokens.append(some.tobytes())
+                    needs.append(need)
+                    kept.append(i)
+            own = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), pa.array(prints, pa.list_(pa.int64())), pa.array(tokens, pa.binary()), pa.array(needs, pa.int32())], [*names, "prints", "tokens", "need"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", tables: int = TABLES, similar: float = SIMILAR) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id, with all its columns; others stay as they are."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    key = [F.col(id_column).alias("i"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(SEED), t).alias("g")]
+    own = staged(signatures(docs.select(*key, t.cast("binary").alias("t")), tables, similar).withColumn("row", F.monotonically_increasing_id()), "word-prints")
+    long = own.select("row", F.posexplode("prints").alias("table", "fp"))
+    nodes = staged(long.groupBy("table", "fp").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "word-print-nodes")
+    shared = nodes.filter("n > 1").select("table", "fp", "node")
+    edges = long.join(shared, ["table", "fp"]).filter("row <> node").select(F.col("row").alias("x"), F.col("node").alias("y"))
+    edges = edges.union(links(nodes)).union(pairs_by_shingles(own.select(F.col("row").alias("doc_id"), "tokens", "need")))
+    parts = staged(connected_components(edges, "x", "y"), "candidate-groups")
+    some = small(parts.withColumnRenamed("node", "row"))
+    found = own.select("row", "i", "h", "g").join(some, "row").groupBy("i", "h", "g").agg(F.min("row").alias("row"), F.min("component").alias("component"))
+    members = staged(found, "candidate-members")
+    named = small(members.select(F.col("i").alias("_simhash_i"), F.col("h").alias("_simhash_h"), F.col("g").alias("_simhash_g"), F.col("row").alias("doc_id"), "component"))
+    texts = docs.select(*key, t.cast("binary").alias("t")).join(named, _same_row()).select("doc_id", "component", "t")
+    groups = near_groups(texts, similar).withColumnRenamed("doc_id", "row")
+    grouped = staged(members.select("row", "i", "h", "g").join(groups, "row"), "near-groups")
+    stay = grouped.groupBy("label").agg(F.min_by("row", F.struct(F.col("i").isNull(), "i", "row")).alias("row")).select("row")
+    gone = staged(grouped.join(stay, "row", "left_anti").select(F.col("i").alias("_simhash_i"), F.col("h").alias("_simhash_h"), F.col("g").alias("_simhash_g")), "near-copies")
+    return docs.join(small(gone), _same_row(F.col(id_column), F.xxhash64(t), F.xxhash64(F.lit(SEED), t)), "left_anti")
+
+
+def _same_row(i: Column | None = None, h: Column | None = None, g: Column | None = None) -> Column:
+    """Condition that a row's id and text hashes are those of a row that was noted."""
+    own = (F.col("i"), F.col("h"), F.col("g")) if i is None else (i, h, g)
+    return own[0].eqNullSafe(F.col("_simhash_i")) & (own[1] == F.col("_simhash_h")) & (own[2] == F.col("_simhash_g"))

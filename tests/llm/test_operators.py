@@ -344,7 +344,7 @@ def test_bk_tree_links_equal_all_pairs(spark, hot):
             for _ in range(rng.randint(1, 4)):
                 v ^= 1 << rng.randrange(64)
     signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
-    df = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
+    df = spark.createDataFrame([(s, s) for s in signed.values()], "fp long, node long")
     parts = {r["node"]: r["component"] for r in connected_components(simhash.links(df, 3, hot)).collect()}
     want = brute_components(sorted(values))
     groups = lambda m: sorted(sorted(v for v in values if m(v) == k) for k in {m(v) for v in values})
