@@ -108,3 +108,18 @@ def small(table: DataFrame, most: int = 100_000) -> DataFrame:
 def few_parts(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
     """Fewer partitions where about `rows` rows don't fill the shuffle's: as many as there are cores, or rows of `each`."""
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // each + 1))
+
+
+KEY = ["_key_id", "_key_h", "_key_g"]
+
+
+def row_key(id_column: str, text: str) -> list[Column]:
+    """A row's id and two hashes of its text: what tells rows apart, also where ids are null or repeat."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return [F.col(id_column).alias("_key_id"), F.xxhash64(t).alias("_key_h"), F.xxhash64(F.lit(42), t).alias("_key_g")]
+
+
+def join_keys(docs: DataFrame, keys: DataFrame, id_column: str, text: str, how: str) -> DataFrame:
+    """Joins rows with a table that has the KEY columns; ids are compared null-safe."""
+    i, h, g = row_key(id_column, text)
+    return docs.join(keys, i.eqNullSafe(F.col("_key_id")) & (h == F.col("_key_h")) & (g == F.col("_key_g")), how)

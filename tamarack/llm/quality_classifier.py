@@ -5,17 +5,18 @@ sample of documents that are known to be good (MOST_TARGET of them, by seeded ha
 corpus, counted in every text by tasks that send one row for each bucket they met. A document's log importance is the
 sum of log(target / raw) over its n-grams: how much likelier the target would write it than the corpus does.
 
-Sampling without replacement in proportion to importance to the power SHARP is a top-k of SHARP times the log importance
-plus Gumbel noise, seeded by the document's id, so reruns agree. The power leaves chance to documents near the cut, and
-hardly any to those far from it. k is not guessed: labelled documents set the cut between good and bad log importances
-at the point that parts them best while it keeps at least KEEP of the good, and k is the number of all documents above
-it. The k-th largest key is found exactly by counting keys in ever finer intervals: no sort of the corpus, no row more
-than a histogram on the driver.
-
-Defined cases: null and empty texts have log importance 0 and are never kept; equal keys go by the smaller id; rows
-that repeat an id share its noise and stay or go together where their texts are equal; without labels of both kinds
-the cut is 0; an empty table gives an empty table; extra columns stay, names that begin with `_dsir_` are taken; texts
-of any length are read whole.
+That sum grows with the text, so a weight made of it would leave nothing to chance: its mean over the n-grams times SHARP is
+the log of the sampling weight. Sampling k documents without replacement in proportion to the weights is a top-k of log
+weight plus Gumbel noise, seeded by the row's key, so reruns agree. k is `share` of the documents that have n-grams; where
+no share is given, labelled documents estimate how many are like the target: those above the cut that parts their good from
+their bad weights best while it keeps at least KEEP of the good. The noise decides among documents near the k-th key (its
+spread is 1.28 / SHARP of mean log importance), and hardly ever far from it. The k-th largest key is found exactly by
+counting keys in ever finer intervals: no sort of the corpus, no row more than a histogram on the driver.
+
+Defined cases: null and empty texts have log importance 0 and are never kept; rows that repeat id and text share their
+noise and stay or go together, also where that makes more than k; without labels of both kinds the cut is 0; an empty
+table gives an empty table; ids may be of any type in `keep_good`, where extra columns stay and names that begin with
+`_key_` or `_dsir_` are taken; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, texts_of
+from .common import KEY, join_keys, row_key, slices, small, staged, texts_of
 
-BUCKETS, MOST_TARGET, MOST_LABELLED, KEEP, SMOOTH, SHARP, SEED = 1 << 14, 8000, 4000, 0.99, 0.5, 10.0, 5
+BUCKETS, MOST_TARGET, MOST_LABELLED, KEEP, SMOOTH, SHARP, SEED = 1 << 14, 8000, 4000, 0.99, 0.5, 20.0, 5
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 _hashes: dict[str, int] = {}
@@ -124,38 +125,61 @@ def kth_largest(keys: DataFrame, key: str, k: int, bins: int = 4096) -> float:
     return float(low)
 
 
-def choose(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", target: int = MOST_TARGET, labelled: int = MOST_LABELLED, keep: float = KEEP) -> DataFrame:
-    """doc_id, log_importance, n_grams, gumbel_key and kept of every document."""
-    ids = F.col(id_column)
+def log_weight() -> Column:
+    """Log of the sampling weight: mean log importance of the n-grams times SHARP."""
+    return SHARP * F.col("log_importance") / F.col("n_grams")
+
+
+def gumbel(*seeds: str) -> Column:
+    """Gumbel noise from the hash of these columns."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), *seeds), 11) + 0.5) / float(1 << 53)
+    return -F.log(-F.log(u))
+
+
+def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
+    """Adds kept: the key is one of the k largest, or equal to the smallest of these; rows with a null key aren't kept."""
+    some = scored.filter(F.col(key).isNotNull())
+    if k <= 0 or not some.limit(1).count():
+        return scored.withColumn("kept", F.lit(False))
+    return scored.withColumn("kept", F.coalesce(F.col(key) >= kth_largest(some, key, k), F.lit(False)))
+
+
+def weigh(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", target: int = MOST_TARGET, labelled: int = MOST_LABELLED, keep: float = KEEP) -> tuple[DataFrame, float]:
+    """log_importance, n_grams, log_weight and gumbel_key with the row keys of every document, and the cut of log weights."""
     h = F.xxhash64(F.lit(SEED), "_dsir_id")
-    marked = labels.filter(F.col(label).isin(0, 1)).select(ids.alias("_dsir_id"), F.col(label).cast("int").alias("_dsir_y"))
+    marked = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_column).alias("_dsir_id"), F.col(label).cast("int").alias("_dsir_y"))
     half = F.pmod(h, F.lit(2))  # one half of the labels for the model, the other to set the cut
     good = marked.filter((F.col("_dsir_y") == 1) & (half == 0)).orderBy(h, "_dsir_id").limit(target).select("_dsir_id").distinct()
     raw = count_buckets(docs, text)
-    wanted = count_buckets(docs.join(F.broadcast(good), ids == F.col("_dsir_id")), text)  # at most `target` ids
-    scored = importance(docs.select(ids.cast("long").alias("doc_id"), F.col(text).alias(text)), log_ratio(wanted, raw), text)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), "doc_id"), 11) + 0.5) / float(1 << 53)
-    scored = staged(scored.withColumn("gumbel_key", SHARP * F.col("log_importance") - F.log(-F.log(u))), "importance")
+    wanted = count_buckets(docs.join(F.broadcast(good), F.col(id_column) == F.col("_dsir_id")), text)  # at most `target` ids
+    scored = importance(docs.select(*row_key(id_column, text), F.col(text).alias(text)), log_ratio(wanted, raw), text)
+    weight = F.when(F.col("n_grams") > 0, log_weight())
+    scored = scored.withColumn("log_weight", weight).withColumn("gumbel_key", F.col("log_weight") + gumbel(*KEY))
+    scored = staged(scored, "importance")
     rest = marked.filter(half == 1)
     known = rest.filter("_dsir_y = 0").orderBy(h, "_dsir_id").limit(labelled).union(rest.filter("_dsir_y = 1").orderBy(h, "_dsir_id").limit(labelled))
-    rows = scored.filter("n_grams > 0").join(F.broadcast(known), F.col("doc_id") == F.col("_dsir_id")).select("_dsir_y", "log_importance").collect()  # at most twice `labelled`
-    values = {y: np.array(sorted(r["log_importance"] for r in rows if r["_dsir_y"] == y)) for y in (0, 1)}
-    cut = best_cut(values[1], values[0], keep)
-    some = scored.filter("n_grams > 0")
-    k = some.filter(F.col("log_importance") > cut).count()
-    if not k:
-        return scored.withColumn("kept", F.lit(False))
-    edge = kth_largest(some, "gumbel_key", k)
-    ties = k - some.filter(F.col("gumbel_key") > edge).count()
-    tied = some.filter(F.col("gumbel_key") == edge).orderBy("doc_id").limit(ties).agg(F.max("doc_id")).first()[0]
-    taken = (F.col("gumbel_key") > edge) | (F.col("gumbel_key") == edge) & (F.col("doc_id") <= F.lit(tied))
-    return scored.withColumn("kept", F.coalesce((F.col("n_grams") > 0) & taken, F.lit(False)))
+    rows = scored.filter("n_grams > 0").join(F.broadcast(known), F.col("_key_id") == F.col("_dsir_id")).select("_dsir_y", "log_weight").collect()  # at most twice `labelled`
+    values = {y: np.array(sorted(r["log_weight"] for r in rows if r["_dsir_y"] == y)) for y in (0, 1)}
+    return scored, best_cut(values[1], values[0], keep)
+
+
+def chosen(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", share: float | None = None, **options) -> DataFrame:
+    """What `weigh` gives, with kept: the sample of `share` of the documents, or of as many as are like the target."""
+    scored, cut = weigh(docs, labels, id_column, text, **options)
+    if share is None:
+        k = scored.filter(F.col("log_weight") > cut).count()
+    else:
+        k = round(share * scored.filter("n_grams > 0").count())
+    return top_k(scored, "gumbel_key", k)
+
+
+def choose(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """doc_id, log_importance, n_grams, log_weight, gumbel_key and kept of every document."""
+    return chosen(docs, labels, id_column, **options).withColumnRenamed("_key_id", "doc_id").drop(*KEY)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    from .common import small
-
-    found = choose(docs, labels, id_column, text, **options)
-    gone = staged(found.filter("NOT kept").select(F.col("doc_id").alias("_dsir_gone")).distinct(), "rejected")
-    return docs.join(small(gone), F.col(id_column) == F.col("_dsir_gone"), "left_anti")
+    found = chosen(docs, labels, id_column, text, **options)
+    gone = staged(found.filter("NOT kept").select(*KEY).distinct(), "rejected")
+    return join_keys(docs, small(gone), id_column, text, "left_anti")

@@ -26,8 +26,8 @@ fingerprint 0 and links like any other in `near_duplicates`, and is no near copy
 an id that repeats is one document in its component, and null ids never become a component's name unless all its ids
 are null. In `one_of_each` ids may be of any type that can be ordered, null ids and ids that repeat with different texts are
 documents of their own, rows that share id and text stay or go together, the smallest id of a group stays, null last,
-and of its rows that read first. An empty table gives an empty table; extra columns aren't carried by
-`near_duplicates` and stay untouched in `one_of_each`, where names that begin with `_simhash_` are taken.
+and of its rows the one that reads first. An empty table gives an empty table; extra columns aren't carried by
+`near_duplicates` and stay untouched in `one_of_each`, where names that begin with `_key_` and the names row and component are taken.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_parts, slices, small, staged
+from .common import KEY, few_parts, join_keys, row_key, slices, small, staged
 from .components import connected_components
 from .near_copies import SIMILAR, near_groups, shingles_of, word_hashes
 from .shared_shingles import beginning, pairs_by_shingles
@@ -263,28 +263,20 @@ def signatures(rows: DataFrame, tables: int = TABLES, similar: float = SIMILAR)
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", tables: int = TABLES, similar: float = SIMILAR) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, with all its columns; others stay as they are."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    key = [F.col(id_column).alias("i"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(SEED), t).alias("g")]
-    own = staged(signatures(docs.select(*key, t.cast("binary").alias("t")), tables, similar).withColumn("row", F.monotonically_increasing_id()), "word-prints")
+    key = row_key(id_column, text)
+    t = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")
+    own = staged(signatures(docs.select(*key, t), tables, similar).withColumn("row", F.monotonically_increasing_id()), "word-prints")
     long = own.select("row", F.posexplode("prints").alias("table", "fp"))
     nodes = staged(long.groupBy("table", "fp").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "word-print-nodes")
     shared = nodes.filter("n > 1").select("table", "fp", "node")
     edges = long.join(shared, ["table", "fp"]).filter("row <> node").select(F.col("row").alias("x"), F.col("node").alias("y"))
     edges = edges.union(links(nodes)).union(pairs_by_shingles(own.select(F.col("row").alias("doc_id"), "tokens", "need")))
-    parts = staged(connected_components(edges, "x", "y"), "candidate-groups")
-    some = small(parts.withColumnRenamed("node", "row"))
-    found = own.select("row", "i", "h", "g").join(some, "row").groupBy("i", "h", "g").agg(F.min("row").alias("row"), F.min("component").alias("component"))
-    members = staged(found, "candidate-members")
-    named = small(members.select(F.col("i").alias("_simhash_i"), F.col("h").alias("_simhash_h"), F.col("g").alias("_simhash_g"), F.col("row").alias("doc_id"), "component"))
-    texts = docs.select(*key, t.cast("binary").alias("t")).join(named, _same_row()).select("doc_id", "component", "t")
-    groups = near_groups(texts, similar).withColumnRenamed("doc_id", "row")
-    grouped = staged(members.select("row", "i", "h", "g").join(groups, "row"), "near-groups")
-    stay = grouped.groupBy("label").agg(F.min_by("row", F.struct(F.col("i").isNull(), "i", "row")).alias("row")).select("row")
-    gone = staged(grouped.join(stay, "row", "left_anti").select(F.col("i").alias("_simhash_i"), F.col("h").alias("_simhash_h"), F.col("g").alias("_simhash_g")), "near-copies")
-    return docs.join(small(gone), _same_row(F.col(id_column), F.xxhash64(t), F.xxhash64(F.lit(SEED), t)), "left_anti")
-
-
-def _same_row(i: Column | None = None, h: Column | None = None, g: Column | None = None) -> Column:
-    """Condition that a row's id and text hashes are those of a row that was noted."""
-    own = (F.col("i"), F.col("h"), F.col("g")) if i is None else (i, h, g)
-    return own[0].eqNullSafe(F.col("_simhash_i")) & (own[1] == F.col("_simhash_h")) & (own[2] == F.col("_simhash_g"))
+    parts = small(staged(connected_components(edges, "x", "y"), "candidate-groups").withColumnRenamed("node", "row"))
+    # rows that share id and text are one member
+    members = own.select("row", *KEY).join(parts, "row").groupBy(*KEY).agg(F.min("row").alias("row"), F.min("component").alias("component"))
+    members = staged(members, "candidate-members")
+    texts = join_keys(docs, small(members), id_column, text, "inner").select(F.col("row").alias("doc_id"), "component", t)
+    grouped = staged(members.join(near_groups(texts, similar).withColumnRenamed("doc_id", "row"), "row"), "near-groups")
+    stay = grouped.groupBy("label").agg(F.min_by("row", F.struct(F.col("_key_id").isNull(), "_key_id", "row")).alias("row")).select("row")
+    gone = staged(grouped.join(stay, "row", "left_anti").select(*KEY), "near-copies")
+    return join_keys(docs, small(gone), id_column, text, "left_anti")

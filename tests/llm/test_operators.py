@@ -129,10 +129,25 @@ def test_exact_dedup_filter_knows_every_repeat(spark):
     rng = np.random.default_rng(4)
     h = rng.integers(-(2**63), 2**63 - 1, 4000)
     values = np.concatenate([h, h[:500], h[:100], np.full(3000, 7)])
+    values = np.concatenate([values, rng.integers(-(2**63), 2**63 - 1, 20_000)])  # several blocks
     df = spark.createDataFrame([(int(v),) for v in values], "h long").repartition(5)
-    bits = exact_dedup.repeat_filter(df, len(values))
-    known = {r["h"] for r in exact_dedup.mark_repeats(df, "h", bits).filter("_dedup_maybe").collect()}
-    assert set(h[:500].tolist()) | {7} <= known and len(known) < 700
+    assert exact_dedup.filter_blocks(len(values)) == 6
+    for most_bytes in (1 << 20, 16384, 0):  # in one pass, in passes of two blocks, of one
+        found = exact_dedup.marked_repeats(df, "h", len(values), most_bytes)
+        known = {r["h"] for r in found.filter("_dedup_maybe").collect()}
+        assert found.count() == len(values) and set(h[:500].tolist()) | {7} <= known and len(known) < 900
+
+
+def test_exact_dedup_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "Same", "x")] * 50 + [(None, "same", "y"), (None, "null id", "z"), (None, "NULL ID", "z"), (3, "alone", "x"), (3, "other", "x"), (4, None, "x"), (5, "", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, keep_id string").repartition(4)
+    kept = exact_dedup.exact_dedup(frame).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").lower(), r["keep_id"]) for r in kept) == [(0, "null id", "z"), (1, "same", "x"), (3, "alone", "x"), (3, "other", "x"), (5, "", "x")]
+    digests = exact_dedup.with_digest(frame).select("doc_id", "text_sha256")
+    for r in exact_dedup.annotate(digests, 57).groupBy("text_sha256").agg(F.sum(F.col("kept").cast("int")).alias("n")).collect():
+        assert r["n"] == 1
+    words = exact_dedup.exact_dedup(spark.createDataFrame([("a", "x"), ("b", "X"), ("c", "y")], "doc_id string, text string"))
+    assert sorted(r["doc_id"] for r in words.collect()) == ["b", "c"]
 
 
 def test_exact_dedup_keeps_rows_whole(spark, docs, empty):
@@ -561,6 +576,51 @@ def test_quality_classifier(spark, empty):
     assert quality_classifier.choose(empty, marks).count() == 0
 
 
+def test_importance_and_gumbel_top_k_equal_brute_force(spark):
+    """Log importances from plain counts, and a sample that follows its weights."""
+    rng = random.Random(23)
+    rows = [(i, " ".join(rng.choice("abcdefgh" if i % 3 else "efghijkl") * 2 for _ in range(rng.randint(1, 30))), "en", "s", 0) for i in range(90)]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 90, 2)]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")
+    scored, cut = quality_classifier.weigh(docs, marks)
+    got = {r["_key_id"]: r for r in scored.collect()}
+    # the half of the labels that makes the model, as Spark hashes ids
+    half = {r["i"] for r in spark.createDataFrame([(i,) for i, y in labels if y], "i long").filter(F.pmod(F.xxhash64(F.lit(quality_classifier.SEED), "i"), F.lit(2)) == 0).collect()}
+    grams = {i: quality_classifier.buckets(t).tolist() for i, t, *_ in rows}
+    count = lambda ids: {b: sum(grams[i].count(b) for i in ids) for b in {b for i in ids for b in grams[i]}}
+    raw, target, n, smooth = count(grams), count(half), quality_classifier.BUCKETS, quality_classifier.SMOOTH
+    total, wanted = sum(raw.values()), sum(target.values())
+    share = {b: (c + smooth) / (total + smooth * n) for b, c in raw.items()}
+    ratio = {b: np.log((target.get(b, 0) + smooth * n * q) / (wanted + smooth * n) / q) for b, q in share.items()}
+    for i, g in grams.items():
+        assert abs(got[i]["log_importance"] - sum(ratio[b] for b in g)) < 1e-6 and got[i]["n_grams"] == len(g)
+        assert abs(got[i]["log_weight"] - quality_classifier.SHARP * sum(ratio[b] for b in g) / len(g)) < 1e-6
+    # weights 1, 2, 4 in thirds of 6,000 rows, 1,500 taken: shares as drawing without replacement gives them
+    drawn = spark.range(6000).withColumn("w", F.log(F.pow(F.lit(2.0), F.col("id") % 3))).withColumn("key", F.col("w") + quality_classifier.gumbel("id"))
+    kept = quality_classifier.top_k(drawn, "key", 1500).filter("kept").groupBy((F.col("id") % 3).alias("third")).count().collect()
+    kept = {r["third"]: r["count"] for r in kept}
+    order = np.random.default_rng(1)
+    keys = np.log(np.tile([1.0, 2.0, 4.0], 2000)) + order.gumbel(size=(40, 6000))
+    mean = [np.mean([(np.argsort(-k)[:1500] % 3 == third).sum() for k in keys]) for third in range(3)]
+    assert sum(kept.values()) == 1500 and all(abs(kept[third] - mean[third]) < 90 for third in range(3))
+
+
+def test_filters_know_rows_with_null_and_repeated_ids(spark):
+    rng = random.Random(29)
+    good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "tau"]) for _ in range(40))
+    bad = lambda: " ".join("%%% zzz" for _ in range(30)) + str(rng.random())
+    rows = [(str(i), good() if i % 4 else bad()) for i in range(200)]
+    labels = [(str(i), int(i % 4 > 0)) for i in range(160)]
+    extra = [(None, bad()), (None, good()), ("7", bad()), ("7", good())]
+    docs, marks = spark.createDataFrame(rows + extra, "doc_id string, text string"), spark.createDataFrame(labels, "doc_id string, quality int")
+    left = [(r["doc_id"], r["text"]) for r in quality_classifier.keep_good(docs, marks).collect()]
+    assert not any("%%%" in t for _, t in left) and extra[1] in left and extra[3] in left and len(left) > 140
+    w = [f"w{i}" for i in range(300)]
+    near = [(None, " ".join(w)), ("b", " ".join(w[:-2] + ["x", "y"])), ("c", " ".join(w[1:])), ("b", "another text of the same id"), ("b", "another text of the same id")]
+    kept = sorted((r["doc_id"], r["text"][:7]) for r in simhash.one_of_each(spark.createDataFrame(near, "doc_id string, text string")).collect())
+    assert kept == [("b", "another"), ("b", "another"), ("b", "w0 w1 w")]
+
+
 def test_kth_largest(spark):
     rng = random.Random(14)
     values = [rng.choice([rng.gauss(0, 1e6), 3.0, rng.random()]) for _ in range(2000)]
