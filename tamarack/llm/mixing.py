@@ -6,17 +6,19 @@ can't take is shared out again by weight until no target is above its cap. A sou
 number of repetitions of its documents: each is taken whole that many times, and the fraction left is a seeded choice
 of whole documents.
 
-The choice: a source's documents are dealt by a seeded hash into cells of about CELL rows, sorted by size there, and
-every (1/fraction)-th is taken from a seeded start. Neighbours have like sizes, so each cell's words come within one
-document of its due, each document has the same chance, and no cell holds a whole source, however large it is. Only ids,
-sources and sizes shuffle.
-
-Source totals, a row for each source, go through the driver, at most MOST_SOURCES.
-
-Defined cases: null or empty text has size 0 and is taken with the repetitions of its source, adding no words; a null
-source is a source of its own, last in order; if all sizes are 0 nothing is taken; repeated rows are documents of
-their own; ties in size go by hash and id; an empty table gives an empty table; extra columns stay, names that begin
-with `_mix_` are taken.
+The choice: a source's documents stand in the order of a seeded hash, and are taken from its start up to the last that
+fits into what the fraction asks for. The document after it is too large for the words that are missing, so then the
+largest document that fits is taken (FITS times), and then again all that fit in hash order, until none fits: a source
+misses its target by less than its smallest document that isn't taken. Each step of the choice is a pair (largest hash,
+largest size), found by counting words in ever finer intervals of the hash, so whether a document is taken follows from
+its own hash and size and a few numbers of its source: no document's text is shuffled, and no source is sorted whole.
+
+Sources are a written table of a row each; it is broadcast while it is small and joined by (source, salt) beyond.
+
+Defined cases: null or empty text has size 0 and is taken with the whole repetitions of its source, adding no words; a
+null source is a source of its own, last in order; if all sizes are 0 nothing is taken; rows that share id (and text, in
+`mix`) share their hash and are taken equally often; an empty table gives an empty table; extra columns stay, names that
+begin with `_mix_` are taken.
 """
 
 from __future__ import annotations
@@ -24,28 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, few_parts, small, staged
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20240917
-CELL, MOST_SOURCES = 2_000, 1_000_000
-
-
-def water_fill(sizes: list[int], weights: list[float], total: float, epochs: float) -> list[float]:
-    """Targets in proportion to the weights, none above epochs times its size, that add up to total if they can."""
-    target, free, left = [0.0] * len(sizes), set(range(len(sizes))), total
-    while free:
-        share = left / sum(weights[i] for i in free)
-        full = [i for i in free if share * weights[i] >= epochs * sizes[i]]
-        if not full:
-            for i in free:
-                target[i] = share * weights[i]
-            break
-        for i in full:
-            target[i] = float(epochs * sizes[i])
-            left -= target[i]
-            free.discard(i)
-        left = max(left, 0.0)
-    return target
+#: Largest documents that are looked for between two passes in hash order; bits of the hash that a pass looks at.
+FITS, BITS, SALTS = 3, (12, 12), 64
 
 
 def word_count(text: Column) -> Column:
@@ -53,57 +38,150 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(df: DataFrame, size: str, source: str, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> list[tuple]:
-    """(source, rows, size, target) of each source, in code-point order, null last; weights repeat in that order."""
-    found = df.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found = sorted(((r[0], r["n"], r["size"]) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [r[2] for r in found]
-    goal = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), epochs)
-    return [(*r, t) for r, t in zip(found, goal)]
+def water_level(sources: DataFrame, total: float) -> float:
+    """Level at which the sum of min(cap, level * weight) is the total, or infinity where the caps can't reach it.
 
-
-def plan_mix(df: DataFrame, size: str = "size", source: str = "source", id_column: str = "doc_id", weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+    Every round clamps the sources that are full at the level and shares out what is left, as long as that fills others.
+    """
+    level, full = 0.0, -1
+    while True:
+        is_full = F.col("cap") <= F.lit(level) * F.col("weight") if full >= 0 else F.lit(False)
+        left, weight, n = sources.agg(F.sum(F.when(is_full, F.col("cap")).otherwise(0.0)), F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))), F.count_if(is_full)).first()
+        if n == full:
+            return level
+        full = n
+        if not weight:
+            return float("inf")
+        level = max(total - left, 0.0) / weight
+
+
+def source_targets(df: DataFrame, size: str, source: str, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """_mix_s, size and target of each source; weights repeat in code-point order of the sources, null last."""
+    found = df.groupBy(F.col(source).alias("_mix_s")).agg(F.sum(size).alias("size"))
+    found = staged(found.orderBy(F.col("_mix_s").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    part, row = F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1)
+    before, starts = 0, {}
+    for r in sorted(found.groupBy(part).agg(F.max(row).alias("last")).collect()):  # a row for each sorted range
+        starts[r["part"]] = before
+        before += r["last"] + 1
+    start = F.create_map(*[F.lit(x).cast("long") for pair in starts.items() for x in pair])[F.shiftright("at", 33)] if starts else F.lit(0)
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), ((start + row) % len(weights) + 1).cast("int"))
+    sources = staged(found.select("_mix_s", "size", weight.alias("weight"), (F.col("size") * float(epochs)).alias("cap")), "mix-weights")
+    level = water_level(sources, share * float(sources.agg(F.sum("size")).first()[0] or 0))
+    target = F.when(F.col("cap") <= F.lit(level) * F.col("weight"), F.col("cap")).otherwise(F.lit(level) * F.col("weight"))
+    return sources.select("_mix_s", "size", target.alias("target"))
+
+
+def _with_source(rows: DataFrame, sources: DataFrame, source: str, count: int) -> DataFrame:
+    """Rows with the columns of their source."""
+    if count <= 10_000:
+        return rows.join(F.broadcast(sources), F.col(source).eqNullSafe(F.col("_mix_s")), "left")
+    salted = sources.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.col("_mix_h"), F.lit(SALTS)).cast("int")
+    return rows.join(salted, F.col(source).eqNullSafe(F.col("_mix_s")) & (salt == F.col("_mix_salt")), "left").drop("_mix_salt")
+
+
+def _is_taken(steps: str = "_mix_steps", h: str = "_mix_h", size: str = "_mix_size") -> Column:
+    """A step takes the documents up to a hash and a size, or those of one hash up to a size."""
+    return F.exists(steps, lambda s: F.when(s["one"], F.col(h) == s["hash"]).otherwise(F.col(h) <= s["hash"]) & (F.col(size) <= s["most"]))
+
+
+def _prefix(rows: DataFrame) -> DataFrame:
+    """source, hash, words: of the open documents (source, h, size, need), in hash order, the last that fits and their sum."""
+    inside, low = rows, F.lit(0).cast("long")
+    base = None
+    for level, bits in enumerate(BITS):
+        shift = 63 - sum(BITS[: level + 1])
+        bins = inside.groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("words"), F.max("need").alias("need"))
+        if base is not None:
+            bins = bins.join(base.select(F.col("source").alias("s"), F.col("before").alias("b")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        else:
+            bins = bins.withColumn("b", F.lit(0).cast("long"))
+        order = Window.partitionBy("source").orderBy("bin")
+        summed = bins.withColumn("upto", F.col("b") + F.sum("words").over(order))
+        # the bin that the need ends in: the first whose sum passes it; its documents are looked at more closely
+        base = summed.filter("upto > need").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("m"))
+        base = base.select("source", "m.bin", "m.before")
+        whole = summed.groupBy("source").agg(F.max("upto").alias("all"), F.max("need").alias("need")).filter("all <= need") if level == 0 else None
+        base = staged(few_parts(base, 0), f"mix-bins-{level}")
+        if level == 0:
+            every = staged(few_parts(whole.select("source", F.lit((1 << 63) - 1).alias("hash"), F.col("all").cast("long").alias("words")), 0), "mix-whole")
+        near = base.select(F.col("source").alias("s"), F.col("bin").alias("in_bin"))
+        inside = inside.join(small(near), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift) == F.col("in_bin"))).drop("s", "in_bin")
+    hashes = inside.groupBy("source", "h").agg(F.sum("size").alias("words"), F.max("need").alias("need"))
+    hashes = hashes.join(base.select(F.col("source").alias("s"), "before", "bin"), F.col("source").eqNullSafe(F.col("s")))
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("h"))
+    first = F.shiftleft("bin", 63 - sum(BITS)) - 1  # where no document of the bin fits, all before it do
+    last = hashes.withColumn("upto", upto).groupBy("source", "before", first.alias("first")).agg(F.max(F.when(F.col("upto") <= F.col("need"), F.struct("h", "upto"))).alias("m"))
+    last = last.select("source", F.coalesce("m.h", "first").alias("hash"), F.coalesce("m.upto", "before").alias("words"))
+    return staged(few_parts(every.unionByName(last), 0), "mix-prefix")
+
+
+def plan_mix(df: DataFrame, size: str = "size", source: str = "source", id_column: str = "doc_id", weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED, hash_column: str | None = None) -> DataFrame:
     """Adds _mix_source_size, _mix_target and _mix_times, how often the document is taken.
 
-    The frame is read twice: write it first where making it is dear.
+    The frame is read several times: write it first where making it is dear.
     """
-    spark = df.sparkSession
-    rows = [(s, float(t), int(z), n // CELL + 1, t / z if z else 0.0) for s, n, z, t in targets(df, size, source, weights, share, epochs)]
-    table = spark.createDataFrame(rows, "_mix_s string, _mix_target double, _mix_source_size long, _mix_cells long, _mix_rate double")
-    small = F.broadcast(table) if len(rows) <= 10_000 else table
-    out = df.join(small, F.col(source).eqNullSafe(F.col("_mix_s")), "left").drop("_mix_s")
-    h = F.xxhash64(F.lit(seed), F.col(id_column))
-    out = out.withColumn("_mix_cell", F.pmod(F.shiftright(h, 8), F.col("_mix_cells")))
-    cell = Window.partitionBy(source, "_mix_cell").orderBy(size, h, id_column)
-    start = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(source), F.col("_mix_cell")), F.lit(1 << 30)) / float(1 << 30)
-    part = F.col("_mix_rate") - F.floor("_mix_rate")
-    rank = F.row_number().over(cell)
-    more = F.floor(rank * part + start) - F.floor((rank - 1) * part + start)
-    return out.withColumn("_mix_times", (F.floor("_mix_rate") + more).cast("long")).drop("_mix_cell", "_mix_cells", "_mix_rate")
-
-
-def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", **options) -> DataFrame:
+    sources, count = mix_steps(df, size, source, id_column, weights, share, epochs, seed, hash_column)
+    rows = df.withColumns({"_mix_h": _hash(seed, id_column, hash_column), "_mix_size": F.col(size)})
+    return times_of(rows, sources, source, count).drop("_mix_h", "_mix_size")
+
+
+def _hash(seed: int, id_column: str, hash_column: str | None) -> Column:
+    """63 bits, so that intervals of it are intervals of numbers."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(hash_column or id_column)), 1)
+
+
+def times_of(rows: DataFrame, sources: DataFrame, source: str, count: int) -> DataFrame:
+    """Adds _mix_source_size, _mix_target and _mix_times to rows with _mix_h and _mix_size."""
+    out = _with_source(rows, sources, source, count)
+    times = F.col("_mix_whole") + F.when((F.col("_mix_size") > 0) & _is_taken(), 1).otherwise(0)
+    return out.withColumn("_mix_times", times.cast("long")).drop("_mix_s", "_mix_whole", "_mix_steps")
+
+
+def mix_steps(df: DataFrame, size: str, source: str, id_column: str, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED, hash_column: str | None = None) -> tuple[DataFrame, int]:
+    """_mix_s, _mix_source_size, _mix_target, _mix_whole (whole repetitions), _mix_steps of each source; their number."""
+    goal = source_targets(df, size, source, weights, share, epochs)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")
+    empty = F.array().cast("array<struct<hash:long,most:long,one:boolean>>")
+    state = goal.select("_mix_s", F.col("size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), whole.alias("_mix_whole"), empty.alias("_mix_steps"))
+    state = state.withColumn("_mix_need", F.floor(F.col("_mix_target") - F.col("_mix_whole") * F.col("_mix_source_size") + 1e-6).cast("long"))
+    state = staged(state, "mix-state")
+    count, turn = state.count(), 0
+    rows = df.select(F.col(source).alias("source"), _hash(seed, id_column, hash_column).alias("_mix_h"), F.col(size).alias("_mix_size")).filter("_mix_size > 0")
+    while True:
+        known = _with_source(rows, state.select("_mix_s", "_mix_need", "_mix_steps"), "source", count)
+        left = known.filter((F.col("_mix_need") > 0) & (F.col("_mix_size") <= F.col("_mix_need")) & ~_is_taken())
+        left = left.select("source", F.col("_mix_h").alias("h"), F.col("_mix_size").alias("size"), F.col("_mix_need").alias("need"))
+        if turn == 0:  # all documents, so that each has the same chance whatever its size
+            found = _prefix(known.filter("_mix_need > 0").select("source", F.col("_mix_h").alias("h"), F.col("_mix_size").alias("size"), F.col("_mix_need").alias("need")))
+        elif turn % (FITS + 1) == 0:
+            found = _prefix(left)
+        else:  # rows that share a hash are one choice
+            one = left.groupBy("source", "h").agg(F.sum("size").alias("words"), F.max("need").alias("need")).filter("words <= need")
+            one = one.groupBy("source").agg(F.max(F.struct("words", "h")).alias("m")).select("source", F.col("m.h").alias("hash"), F.col("m.words").alias("words"))
+            found = staged(few_parts(one, 0), "mix-fit")
+            if not found.limit(1).count():
+                return state.drop("_mix_need"), count
+        most = F.col("_mix_need") if turn else F.lit(1 << 62)
+        step = F.struct("hash", most.cast("long").alias("most"), F.lit(bool(turn % (FITS + 1))).alias("one"))
+        more = state.join(found, F.col("_mix_s").eqNullSafe(F.col("source")), "left")
+        steps = F.when(F.col("words") > 0, F.concat("_mix_steps", F.array(step))).otherwise(F.col("_mix_steps"))
+        need = F.col("_mix_need") - F.coalesce("words", F.lit(0))
+        state = staged(few_parts(more.select("_mix_s", "_mix_source_size", "_mix_target", "_mix_whole", steps.alias("_mix_steps"), need.alias("_mix_need")), count), "mix-state")
+        turn += 1
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", seed: int = SEED, **options) -> DataFrame:
     """The documents of the mix with their own columns, each as often as it is taken.
 
-    The plan is made on ids, sources and sizes; documents then join it by a row key, so a source's size never matters.
+    The plan is made on sources, hashes and sizes; whether a document is taken then follows from its own hash and size, so
+    no text is shuffled.
     """
-    from .common import staged
-
-    spark = docs.sparkSession
-    key = F.xxhash64(F.col(id_column), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    narrow = staged(docs.select(F.col(id_column).alias("i"), F.col(source).alias("s"), word_count(F.col(text)).alias("z"), key.alias("k")), "mix-sizes")
-    plan = plan_mix(narrow, "z", "s", "i", **options).select("k", "_mix_times")
-    # equal rows share a key: their takings are added up and dealt out evenly, the rest to the first
-    plan = plan.groupBy("k").agg(F.sum("_mix_times").alias("_mix_sum"), F.count(F.lit(1)).alias("_mix_n"))
-    plan = staged(plan, "mix-plan")
-    out = docs.withColumn("_mix_key", key).join(plan.withColumnRenamed("k", "_mix_key"), "_mix_key")
-    if plan.filter("_mix_n > 1").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("_mix_key").orderBy(id_column))
-    else:
-        nth = F.lit(1)
-    times = F.floor(F.col("_mix_sum") / F.col("_mix_n")) + (nth <= F.col("_mix_sum") % F.col("_mix_n")).cast("int")
-    out = out.withColumn("_mix_times", times.cast("int")).filter("_mix_times > 0")
-    out = out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    key = F.xxhash64(F.col(id_column), F.coalesce(F.col(text), F.lit("")))
+    narrow = staged(docs.select(F.col(source).alias("s"), word_count(F.col(text)).alias("z"), key.alias("k")), "mix-sizes")
+    sources, count = mix_steps(narrow, "z", "s", "k", seed=seed, **options)
+    rows = docs.withColumns({"_mix_h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1), "_mix_size": word_count(F.col(text))})
+    out = times_of(rows, sources, source, count).filter("_mix_times > 0")
+    out = out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
