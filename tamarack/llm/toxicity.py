@@ -6,13 +6,17 @@ can count for more than either does alone. The pair sum takes linear time: half
 
 Training rows are a bounded sample: of all labelled rows that `train` lets through, the MOST_EACH with the smallest
 seeded hashes of each label. Spark picks them, joins only them with their texts and hashes these; the machine itself is
-fitted with AdaGrad on those few rows. Terms that fewer than LEAST_ROWS of them have, or whose share of label 1 differs
-from the sample's by less than LEAST_Z standard errors, get no weight, so chance words don't vote; at most MOST_TERMS
-stay, which bounds what is broadcast. Scoring is one pass over the texts without a shuffle.
+fitted with AdaGrad on those few rows. A term that fewer than LEAST_ROWS of them have gets no weight. Of the others a term
+is in the machine if its share of label 1 differs from the sample's by LEAST_Z standard errors, or if it is part of a pair
+whose share differs by PAIR_Z of them from what the two terms say on their own: a group's name and an ambiguous word may
+both be neutral alone. Pairs are counted among the PAIR_TERMS terms that part the sample best in two, each pair in at least
+PAIR_ROWS rows. So chance words don't vote. MOST_TERMS bounds the machine and with it what is broadcast. Scoring is one pass
+over the texts without a shuffle.
 
 Defined cases: null and empty texts have no terms and score sigmoid(w0); rows whose label is null aren't trained on,
 repeated labels count as often as they stand; without rows of both labels the score is the share of label 1 (one half
-if there are none); extra columns aren't read, so they can't enter a score; texts of any length are scored whole.
+if there are none); extra columns aren't read, so they can't enter a score, and a column with the score's name is replaced; rows that repeat
+score alike; an empty table gives an empty table; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import slices, texts_of
 
 FACTORS, MOST_EACH, LEAST_ROWS, LEAST_Z, MOST_TERMS, EPOCHS, SEED = 4, 2500, 3, 3.0, 20_000, 15, 7
+PAIR_TERMS, PAIR_ROWS, PAIR_Z = 4096, 20, 7.0
 PREFIXES = (4, 5, 6, 7)
 _STRIP = ".,;:!?\"'()[]{}<>*&%$#|-_"
 
@@ -84,15 +89,34 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30))))
 
     def choose(self, rows: list[np.ndarray], labels: np.ndarray) -> None:
-        """Terms with enough rows whose share of label 1 is far from the sample's."""
+        """Terms that tell something of the label alone or in a pair."""
         share = labels.mean()
         every, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+        of_row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         n = np.bincount(inverse, minlength=len(every))
-        ones = np.bincount(inverse, weights=np.repeat(labels, [len(r) for r in rows]), minlength=len(every))
+        ones = np.bincount(inverse, weights=labels[of_row], minlength=len(every))
         z = (ones - n * share) / np.sqrt(n * share * (1 - share))
         fit = np.flatnonzero((n >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
         fit = fit[np.argsort(-np.abs(z[fit]), kind="stable")[:MOST_TERMS]]
-        self.terms = np.sort(every[fit])
+        common = np.flatnonzero(n >= PAIR_ROWS)
+        common = common[np.argsort(np.abs(2 * n[common] - len(rows)), kind="stable")[:PAIR_TERMS]]
+        place = np.full(len(every), -1)
+        place[common] = np.arange(len(common))
+        here = place[inverse] >= 0
+        has = np.zeros((len(rows), len(common)), np.float32)
+        has[of_row[here], place[inverse[here]]] = 1
+        odds = np.log((ones[common] + 1) / (n[common] - ones[common] + 1)) - np.log(share / (1 - share))
+        paired = np.zeros(len(common), bool)
+        for at in range(0, len(common), 512):
+            some = has[:, at : at + 512]
+            both, label_1 = some.T @ has, some[labels == 1].T @ has[labels == 1]
+            # what the two terms say on their own, as odds
+            said = 1 / (1 + np.exp(-np.clip(odds[at : at + 512, None] + odds[None, :] + np.log(share / (1 - share)), -4.6, 4.6)))
+            far = (both >= PAIR_ROWS) & (np.abs(label_1 - both * said) >= PAIR_Z * np.sqrt(both * said * (1 - said)))
+            far[np.arange(far.shape[0]), np.arange(at, at + far.shape[0])] = False
+            paired |= far.any(0)
+            paired[at : at + far.shape[0]] |= far.any(1)
+        self.terms = np.sort(every[np.union1d(fit, common[paired])])
 
     def fit(self, rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, rate: float = 0.2, decay: float = 2e-3) -> None:
         y = np.array(labels, float)

@@ -327,7 +327,8 @@ def test_mixing_of_repeated_rows_and_empty_texts(spark):
     assert mixing.mix(nothing).count() == 0
 
 
-def test_toxicity_learns_pairs_and_holds_out(spark):
+def test_toxicity_learns_pairs_that_no_linear_model_can(spark, empty):
+    """Either word alone makes label 1 and both make 0, so each is neutral alone; held-out rows are scored."""
     rng = random.Random(8)
     words = [f"n{i}" for i in range(400)]
     rows, labels = [], []
@@ -337,15 +338,20 @@ def test_toxicity_learns_pairs_and_holds_out(spark):
         text += ["swine"] * insult + ["groupname"] * group
         rng.shuffle(text)
         rows.append((i, " ".join(text)))
-        labels.append((i, int(insult and group)))
+        labels.append((i, int(insult != group)))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     machine = toxicity.train(docs, marks, ~held)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs.filter(held), machine).collect()}
     y = dict(labels)
     assert np.mean([(s >= 0.5) == bool(y[d]) for d, s in got.items()]) > 0.97
-    odd = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, "ZZZ")], "doc_id long, text string"), machine).collect()
-    assert all(0 <= r["score"] <= 1 for r in odd)
+    linear = np.linalg.lstsq(x := np.array([[1.0, "swine" in t, "groupname" in t] for _, t in rows]), np.array([y[d] for d, _ in rows]), rcond=None)[0]
+    assert np.mean([(v >= 0.5) == bool(y[d]) for v, (d, _) in zip(x @ linear, rows)]) < 0.65
+    odd = toxicity.score(spark.createDataFrame([(1, None, "mine"), (2, "", "x"), (3, "ZZZ", "x"), (3, "ZZZ", "x"), (4, "swine " * 50_000, None)], "doc_id long, text string, score string"), machine).collect()
+    assert all(0 <= r["score"] <= 1 for r in odd) and len({r["score"] for r in odd if r["doc_id"] == 3}) == 1
+    assert toxicity.score(empty, machine).count() == 0
+    twice = toxicity.train(docs, marks.union(marks), ~held)
+    assert np.mean([(twice.score(twice.numbers(t)) >= 0.5) == bool(y[d]) for d, t in rows]) > 0.97
     none = toxicity.train(docs, marks.filter("toxic = 0"), ~held)
     assert none.score(none.numbers("swine groupname")) < 0.01
 
