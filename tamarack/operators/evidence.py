@@ -79,16 +79,21 @@ def citation_numbers(evidence: DataFrame, key: Column) -> DataFrame:
     return rows.withColumn("number", F.dense_rank().over(Window.orderBy("_first"))).drop("_first")
 
 
-def answer(chunks: DataFrame, question: str, proposals: DataFrame | None = None, k: int = 8, keep: int = 2) -> DataFrame:
-    """One row: kind, text and sources of the answer to a question over a chunk table.
+def answer(chunks, question: str, proposals: DataFrame | None = None, k: int = 8, keep: int = 2) -> DataFrame:
+    """One row: kind, text and sources of the answer to a question over a chunk table or a written index.
 
     Navigation requests are answered before any search. Exact excerpts come first; proposals of a model (ord, source_id,
     quote) are only used, after validation, where no excerpt fits; without either the answer is a refusal.
     """
+    from .index import SearchIndex, best
     from .search import search
 
-    hits = search(chunks, question, k)
-    ranked = hits.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "chunk_no")))  # at most k rows
+    spark = chunks.spark if isinstance(chunks, SearchIndex) else chunks.sparkSession
+    page = spark.createDataFrame([(question,)], "q string").select(navigation_intent(F.col("q"))).first()[0]
+    if page is not None:
+        return spark.createDataFrame([("navigation", page, "")], "kind string, text string, source_ids string")
+    hits = best(chunks, question, k) if isinstance(chunks, SearchIndex) else search(chunks, question, k)
+    ranked = hits.withColumn("ord", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id", "chunk_no")))  # at most k rows
     ranked = ranked.withColumn("id", F.concat_ws(":", "doc_id", "chunk_no"))
     quotes = extract_evidence(ranked, question).select("ord", "id", "quote", F.lit("grounded-excerpts").alias("kind"))
     if proposals is not None:
@@ -99,9 +104,8 @@ def answer(chunks: DataFrame, question: str, proposals: DataFrame | None = None,
     body = cited.agg(F.array_sort(F.collect_list(F.struct("ord", "number", "id", "quote"))).alias("q"), F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
     lines = F.array_join(F.transform("q", lambda c: F.concat(F.lit("["), c["number"].cast("string"), F.lit("] "), c["quote"])), "\n\n")
     intro = F.create_map(*[F.lit(x) for pair in INTRODUCTIONS.items() for x in pair])[F.col("kind")]
-    intent = navigation_intent(F.lit(question))
     found = F.col("n") > 0
-    kind = F.when(intent.isNotNull(), "navigation").when(found, F.col("kind")).otherwise("no-evidence")
-    text = F.when(intent.isNotNull(), intent).when(found, F.concat(intro, F.lit("\n\n"), lines)).otherwise(REFUSAL)
-    ids = F.when(intent.isNull() & found, F.array_join(F.transform("q", lambda c: c["id"]), ",")).otherwise("")
+    kind = F.when(found, F.col("kind")).otherwise("no-evidence")
+    text = F.when(found, F.concat(intro, F.lit("\n\n"), lines)).otherwise(REFUSAL)
+    ids = F.when(found, F.array_join(F.transform("q", lambda c: c["id"]), ",")).otherwise("")
     return body.select(kind.alias("kind"), text.alias("text"), ids.alias("source_ids"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evidence, search
+from ..operators import evidence, index, search
 from ..operators.chunk import chunk, chunk_texts
 from ..tables import load
 from . import sql as S
@@ -25,20 +25,25 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk(docs(spark, d))
 
 
+def indexed(spark: SparkSession, d: str) -> index.SearchIndex:
+    """The written index of the documents, as a user asks questions of it; it is made anew when the files change."""
+    return index.refreshed(spark, f"{d}/documents.parquet", lambda: chunks(spark, d))
+
+
 def tokenize_terms(spark, d):
     return docs(spark, d).select("doc_id", F.size(T.terms(F.col("text"))).alias("n_terms"), F.array_join(F.slice(T.terms(F.col("text")), 1, 12), " ").alias("first_terms"))
 
 
 def term_frequency(spark, d):
-    return search.postings(chunks(spark, d)).select("doc_id", "chunk_no", "token", "tf")
+    return search.postings(indexed(spark, d).chunks).select("doc_id", "chunk_no", "token", "tf")
 
 
 def document_frequency(spark, d):
-    return search.document_frequency(chunks(spark, d))
+    return search.document_frequency(indexed(spark, d).chunks)
 
 
 def corpus_stats(spark, d):
-    return search.corpus_stats(chunks(spark, d)).withColumn("mean_tokens", F.round("mean_tokens", 6))
+    return search.corpus_stats(indexed(spark, d).chunks).withColumn("mean_tokens", F.round("mean_tokens", 6))
 
 
 def chunk_documents(spark, d):
@@ -51,21 +56,21 @@ def chunk_ordinals(spark, d):
 
 
 def bm25_scores(spark, d):
-    return search.score(chunks(spark, d), QUESTION).select("doc_id", "chunk_no", "matched", F.round("score", 6).alias("score"))
+    return search.score(indexed(spark, d).chunks, QUESTION).select("doc_id", "chunk_no", "matched", F.round("score", 6).alias("score"))
 
 
 def bm25_topk(spark, d):
-    return search.search(chunks(spark, d), QUESTION).select("doc_id", "chunk_no", F.round("score", 6).alias("score"))
+    return index.best(indexed(spark, d), QUESTION).select("doc_id", "chunk_no", F.round("score", 6).alias("score"))
 
 
 def search_threshold(spark, d):
-    return search.score(chunks(spark, d), QUESTION).groupBy("matched").agg(F.count(F.lit(1)).alias("chunks"))
+    return search.score(indexed(spark, d).chunks, QUESTION).groupBy("matched").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def search_many(spark, d):
-    table = chunks(spark, d)
+    table = indexed(spark, d)
     asked = spark.createDataFrame(MANY, "question_id int, text string").select("question_id", T.terms(F.col("text")).alias("tokens"))
-    return search.search_many(search.postings(table), search.corpus_stats(table), asked).withColumn("score", F.round("score", 6))
+    return search.search_many(table.postings, table.figures, asked).withColumn("score", F.round("score", 6))
 
 
 def sentence_split(spark, d):
@@ -74,8 +79,8 @@ def sentence_split(spark, d):
 
 
 def _sources(spark, d, question=QUESTION):
-    hits = search.search(chunks(spark, d), question)
-    order = Window.orderBy(F.desc("score"), "doc_id", "chunk_no")  # at most eight rows
+    hits = index.best(indexed(spark, d), question)
+    order = Window.orderBy(F.desc(F.round("score", 9)), "doc_id", "chunk_no")  # at most eight rows
     return hits.select(F.row_number().over(order).alias("ord"), F.concat_ws(":", "doc_id", "chunk_no").alias("id"), "text")
 
 
@@ -86,15 +91,15 @@ def extract_evidence(spark, d):
 def extract_evidence_all(spark, d):
     """The best sentence of every chunk of the corpus."""
     words = F.array(*map(F.lit, TOKENS))
-    table = chunks(spark, d).filter(F.size(F.array_intersect("tokens", words)) >= min(3, -(-len(TOKENS) // 2)))  # a sentence has no terms but its chunk's
+    table = indexed(spark, d).chunks.filter(F.size(F.array_intersect("tokens", words)) >= min(3, -(-len(TOKENS) // 2)))  # a sentence has no terms but its chunk's
     rows = evidence.with_best_sentence(table, TOKENS).filter("best IS NOT NULL")
     return rows.select("doc_id", "chunk_no", F.col("best.quote").alias("quote"), (-F.col("best.o")).alias("overlap"))
 
 
 def validate_evidence(spark, d):
-    """Of the first sources, their first 400 characters as proposed quotes, one of them altered."""
+    """Of the first sources, their first 1,150 characters as proposed quotes, one of them altered."""
     sources = _sources(spark, d)
-    quote = F.when(F.col("ord") == 2, F.replace(F.substring("text", 1, 400), F.lit("e"), F.lit("x"))).otherwise(F.substring("text", 1, 400))
+    quote = F.when(F.col("ord") == 2, F.replace(F.substring("text", 1, 1150), F.lit("e"), F.lit("x"))).otherwise(F.substring("text", 1, 1150))
     return evidence.validate_evidence(sources.select("ord", F.col("id").alias("source_id"), quote.alias("quote")), sources, QUESTION)
 
 
@@ -104,7 +109,7 @@ def citation_numbers(spark, d):
 
 
 def answer_policy(spark, d):
-    table, out = chunks(spark, d), None
+    table, out = indexed(spark, d), None
     for i, q in enumerate([QUESTION, REFUSED, "Saya nak buat aduan"]):
         one = evidence.answer(table, q).withColumn("question", F.lit(i))
         out = one if out is None else out.unionByName(one)
@@ -147,7 +152,7 @@ fit AS (SELECT {keys}, i, quote, len(list_filter({_ASKED}, lambda t: list_contai
 best AS (SELECT {keys}, quote, overlap FROM fit WHERE overlap >= {_NEED} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY overlap DESC, i) = 1)"""
 
 
-_SRC = _TOP + ", src AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id, chunk_no) AS ord, doc_id || ':' || chunk_no AS id, text FROM hits JOIN chunks USING (doc_id, chunk_no))"
+_SRC = _TOP + ", src AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, doc_id, chunk_no) AS ord, doc_id || ':' || chunk_no AS id, text FROM hits JOIN chunks USING (doc_id, chunk_no))"
 
 QUERIES = {
     f.__name__: f
@@ -184,7 +189,7 @@ ORACLE_SQL = {
     "extract_evidence": _SRC + "," + _best("src", "ord, id") + " SELECT ord, id, quote, overlap FROM best ORDER BY ord LIMIT 3",
     "extract_evidence_all": _R + "," + _best("chunks", "doc_id, chunk_no") + " SELECT doc_id, chunk_no, quote, overlap FROM best",
     "validate_evidence": _SRC
-    + rf""", prop AS (SELECT ord, id AS source_id, text, {S.clean("CASE WHEN ord = 2 THEN replace(substring(text, 1, 400), 'e', 'x') ELSE substring(text, 1, 400) END")} AS quote FROM src WHERE ord <= 5),
+    + rf""", prop AS (SELECT ord, id AS source_id, text, {S.clean("CASE WHEN ord = 2 THEN replace(substring(text, 1, 1150), 'e', 'x') ELSE substring(text, 1, 1150) END")} AS quote FROM src WHERE ord <= 5),
     m AS (SELECT *, list_distinct({S.terms("quote")}) AS mine FROM prop)
     SELECT ord, source_id, quote, len(list_filter({_ASKED}, lambda t: list_contains(mine, t))) AS overlap FROM m
     WHERE length(quote) BETWEEN 45 AND 1200 AND len(mine) >= 9 AND len(list_filter(mine, lambda t: NOT list_contains({_ASKED}, t))) >= 4
