@@ -31,7 +31,7 @@ def indexed(spark: SparkSession, d: str) -> index.SearchIndex:
 
 
 def tokenize_terms(spark, d):
-    return docs(spark, d).select("doc_id", F.size(T.terms(F.col("text"))).alias("n_terms"), F.array_join(F.slice(T.terms(F.col("text")), 1, 12), " ").alias("first_terms"))
+    return docs(spark, d).select("doc_id", F.size(T.terms(F.col("text"))).alias("n_terms"), F.md5(F.array_join(T.terms(F.col("text")), " ")).alias("digest"))
 
 
 def term_frequency(spark, d):
@@ -175,7 +175,7 @@ def _many() -> str:
 
 
 ORACLE_SQL = {
-    "tokenize_terms": f"SELECT doc_id, len(t) AS n_terms, array_to_string(t[1:12], ' ') AS first_terms FROM (SELECT doc_id, {S.terms('text')} AS t FROM documents)",
+    "tokenize_terms": f"SELECT doc_id, len(t) AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {S.terms('text')} AS t FROM documents)",
     "term_frequency": _R + " SELECT doc_id, chunk_no, token, count(*) AS tf FROM (SELECT doc_id, chunk_no, unnest(tokens) AS token FROM chunks) GROUP BY ALL",
     "document_frequency": _R + " SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS token FROM chunks) GROUP BY token",
     "corpus_stats": _R + " SELECT count(*) AS chunks, round(sum(len(tokens)) / count(*), 6) AS mean_tokens, count(DISTINCT doc_id) AS documents FROM chunks",

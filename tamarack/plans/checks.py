@@ -26,8 +26,11 @@ def request_validation(spark, d):
 
 
 def frame_validity(spark, d):
+    """Each document's bytes as a stream that is cut into frames: a rest that fills no frame, or no bytes at all, is an error."""
     rows = load(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("pcm"))
-    return rows.select("doc_id", checks.frame_error(F.substring("pcm", 1, 3200)).alias("error"))
+    last = F.greatest(F.ceil(F.coalesce(F.octet_length("pcm"), F.lit(0)) / checks.FRAME_BYTES) - 1, F.lit(0)).cast("int")
+    frames = rows.select("doc_id", "pcm", F.explode(F.sequence(F.lit(0), last)).alias("seq"))
+    return frames.select("doc_id", "seq", checks.frame_error(F.substring("pcm", F.col("seq") * checks.FRAME_BYTES + 1, F.lit(checks.FRAME_BYTES))).alias("error"))
 
 
 def form_validation(spark, d):
@@ -75,7 +78,8 @@ QUERIES = {f.__name__: f for f in (request_validation, frame_validity, form_vali
 ORACLE_SQL = {
     "request_validation": """SELECT doc_id, kind, CASE WHEN most IS NULL THEN 'unknown kind' WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN length(text) > most THEN 'too long' END AS error
         FROM documents, (VALUES ('question', 4000), ('transcript', 12000), ('speech', 2000), ('other', NULL)) AS k(kind, most)""",
-    "frame_validity": "SELECT doc_id, CASE WHEN text IS NULL OR strlen(text) < 3200 THEN 'not one frame' END AS error FROM documents",
+    "frame_validity": """SELECT doc_id, seq, CASE WHEN text IS NULL OR strlen(text) < 3200 * (seq + 1) THEN 'not one frame' END AS error
+        FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(coalesce(strlen(text), 0) / 3200) AS BIGINT), 1))) AS seq FROM documents)""",
     "form_validation": "SELECT form_id, field, error FROM (VALUES (2, 'apa', 'required'), (2, 'dimana', 'max')) AS v(form_id, field, error)",
     "field_merge": "SELECT statement, field, value FROM (VALUES (1, 'apa', 'lampu rosak; di jalan'), (1, 'bila', '2025'), (2, 'apa', 'b')) AS v(statement, field, value)",
     "conversation_merge": """WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) SELECT conv_id, 'role' AS field, string_agg(role, '; ' ORDER BY t) AS role FROM f GROUP BY conv_id""",
