@@ -3,7 +3,8 @@
 Writing: a record for each page. Of pages with equal payloads of at least LEAST bytes the one with the smallest id is
 written whole as `response`; the others are `revisit` records without a block. Only digests and ids are grouped;
 pages join the repeated digests, by broadcast while those are few and by a shuffle beyond. Each task writes its archive
-under a name of its own attempt and renames it when it is whole, so a rerun leaves one archive.
+under a name of its own attempt, moves it among the archives when it is whole, and reports it; readers are told the reported
+ones, so a rerun task leaves an unused file and no record twice.
 
 Reading: archives are cut into blocks that tasks scan on their own. A block's task can't know whether the record magic
 it finds is a boundary or part of a payload, so it emits every well-formed candidate with the offset of its successor,
@@ -34,6 +35,8 @@ from .common import file_system, new_dir, slices, staged
 
 #: HEADER: bytes that are read past a block at first; a longer header is read on to its end.
 LEAST, BLOCK, HEADER, FEW_DIGESTS = 100, 8 << 20, 64 << 10, 200_000
+#: Blocks of a task where there are very many.
+TASK_BLOCKS = 16
 #: Fixed values of the format.
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 DATE, PROFILE = "1970-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -131,7 +134,8 @@ def write(pages: DataFrame, directory: str, id_column: str = "page_id", url: str
 
         fs, base = file_system(directory)
         part = TaskContext.get().partitionId()
-        unfinished, path, out, n = f"{base}/_unfinished/{uuid.uuid4().hex}", f"{base}/part-{part:06d}.warc", None, 0
+        attempt = uuid.uuid4().hex[:12]
+        unfinished, path, out, n = f"{base}/_unfinished/{attempt}", f"{base}/part-{part:06d}-{attempt}.warc", None, 0
         for batch in slices(batches, "h"):
             for page_id, u, h, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
@@ -147,13 +151,16 @@ def write(pages: DataFrame, directory: str, id_column: str = "page_id", url: str
     return [tuple(r) for r in rows.mapInArrow(run, "path string, n long").collect()]
 
 
-def blocks_of(spark: SparkSession, directory: str, block: int = BLOCK) -> DataFrame | None:
-    """path, bytes and number of each block of the archives in a directory; None if there are none."""
+def blocks_of(spark: SparkSession, directory: str, block: int = BLOCK, archives: list[str] | None = None) -> DataFrame | None:
+    """path, bytes and number of each block of the archives in a directory, all or those named; None if there are none."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return None
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(directory).select("path", F.col("length").alias("bytes"))
     files = files.filter("bytes > 0").withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
+    if archives is not None:  # a row for each writing task, as `write` returns them
+        names = spark.createDataFrame([(a.rsplit("/", 1)[-1],) for a in archives], "name string")
+        files = files.join(names, F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
     return files.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / block))).alias("block"))
 
 
@@ -181,7 +188,7 @@ def candidates(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
 def entries(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     """path, at: where the true chain enters each block, by pointer jumping from offset 0."""
     n, most = blocks.agg(F.count(F.lit(1)), F.max("block")).first()
-    parts = max(1, min(int(n), 4096))
+    parts = max(1, min(int(n), 4096), int(n) // TASK_BLOCKS)
     found = staged(candidates(blocks.repartition(parts, "path", "block"), block), "warc-candidates")
     reached = found.filter("at = 0").select("path", "at")
     jumps = found.filter("leaves >= 0")
@@ -194,12 +201,12 @@ def entries(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     return reached.repartition(parts, "path", "at")
 
 
-def read(spark: SparkSession, directory: str, with_payload: bool = False, block: int = BLOCK) -> DataFrame:
-    """A row for each record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to; the payload if asked for."""
+def read(spark: SparkSession, directory: str, with_payload: bool = False, block: int = BLOCK, archives: list[str] | None = None) -> DataFrame:
+    """A row for each record of the archives, all of the directory's or those named: page_id, url, payload_bytes, payload_digest, record_type, refers_to; the payload if asked for."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
     names = [f.split()[0] for f in schema.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
-    blocks = blocks_of(spark, directory, block)
+    blocks = blocks_of(spark, directory, block, archives)
     if blocks is None:
         return spark.createDataFrame([], schema)
 
@@ -241,8 +248,8 @@ def dedup_archive(pages: DataFrame, directory: str | None = None, **columns) ->
     """Writes the pages as archives and reads them back; an error if not every record that was written comes back."""
     spark = pages.sparkSession
     directory = directory or new_dir(spark, "warc")
-    written = sum(n for _, n in write(pages, directory, **columns))
-    found = staged(read(spark, directory), "warc-read")
-    if (n := found.count()) != written:
+    archives = write(pages, directory, **columns)
+    found = staged(read(spark, directory, archives=[path for path, _ in archives]), "warc-read")
+    if (n := found.count()) != (written := sum(n for _, n in archives)):
         raise ValueError(f"{directory}: {n} of {written} records were read")
     return found
