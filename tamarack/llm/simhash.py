@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     nodes = staged(salted.groupBy("fp").agg(F.min("first").alias("first")), "fingerprint-nodes")
     parts = staged(connected_components(staged(links(nodes.select("fp", F.col("fp").alias("node")), radius), "simhash-links")), "simhash-components")
     named = nodes.join(parts, nodes["fp"] == parts["node"]).groupBy("component").agg(F.min("first").alias("component_id"))
+    named = small(staged(named, "simhash-names"))  # a component may have very many nodes
     linked = parts.join(named, "component").select(F.col("node").alias("fp"), F.col("component_id"))
     all_ = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     spread = salted.select("fp", "salt").join(all_, "fp")
