@@ -2,8 +2,9 @@
 
 The base patterns find emails, IP addresses, card and phone numbers in the whole text. They are the seeds. Every other
 token, part of a token of joined values, or number written with single blanks that has the rough shape of an identifier is
-a candidate, of at most LONGEST characters without what surrounds it. A seed's or candidate's lexical patterns are the words
-around it: the two before, the one before with the one after, and a label just before it such as "tel:" or "mail=".
+a candidate, of any length. A seed's or candidate's lexical patterns are the whole words around it: the two before, the one
+before with the one after, and a label just before it such as "tel:" or "mail=", of which the last LONGEST characters count.
+Words and values of more than LONGEST characters go on by their hash, so no two of them are taken for one.
 
 Spark scores the graph of patterns and instances in ROUNDS rounds. For each kind, a pattern's confidence is the mean
 confidence of its distinct instances, shrunk towards 0 where it has few; a candidate's confidence is the largest of its
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +43,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_DIGITS = re.compile(r"[0-9]")
+_DIGITS, _NUMBER = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
+_AT, _HINT = re.compile(r"(?i)[\[(]at[\])]"), re.compile(r"(?i)[0-9@]|[\[(]at[\])]")
 #: Numbers of several tokens with single blanks between them; what joins values in one token, and what stands between its parts.
 _SPACED = re.compile(r"(?<![0-9A-Za-z.+(/-])[+(]?[0-9][0-9().+/-]*(?:\x20[0-9(][0-9().+/-]*)+(?![0-9A-Za-z])")
 _JOINED, _PART = re.compile(r"[&?;|]"), re.compile(r"[^&?;|=,#\"'<>\[\]{}]+")
@@ -92,7 +95,7 @@ def shapes(token: str) -> list[str]:
     """Kinds whose rough shape a token has."""
     digits = len(_DIGITS.findall(token))
     kinds = []
-    if "@" in token[1:-1] or re.search(r"(?i)[\[(]at[\])]", token):
+    if "@" in token[1:-1] or _AT.search(token):
         kinds.append("email")
     if digits >= 4 and re.fullmatch(r"[0-9]{1,3}(?:[.:,-][0-9]{1,3}){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}", token):
         kinds.append("ip")
@@ -103,28 +106,41 @@ def shapes(token: str) -> list[str]:
     return kinds
 
 
-def contexts(text: str, start: int, end: int, width: int = 80) -> list[str]:
+def _short(value: str) -> str:
+    """The value, or its hash where it is long."""
+    return value if len(value) <= LONGEST else "#" + hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def tokens_of(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of a text's tokens."""
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    return [s for s, _ in spans], [e for _, e in spans]
+
+
+def contexts(text: str, start: int, end: int, tokens: tuple[list[int], list[int]] | None = None) -> list[str]:
     """Lexical patterns around a span: words are lower-cased, digits in them are written as 0."""
-    before = text[max(0, start - width) : start]
-    after = text[end : end + width]
-    fold = lambda w: re.sub("[0-9]+", "0", w.lower())[:LONGEST]
-    words = before.split()
-    label = words.pop() if words and before[-1:].strip() else ""
-    nxt = after.split()[:1] if not after[:1].strip() else []
-    out = []
+    starts, ends = tokens or tokens_of(text)
+
+    def word(i: int) -> str:
+        return _short(_NUMBER.sub("0", text[starts[i] : ends[i]].lower()))
+
+    first = bisect_right(starts, start) - 1  # the token that the span begins in
+    label = text[max(starts[first], start - LONGEST) : start]
     label = _JOINED.split(label)[-1] or label  # in a joined token, the value's own key
     if label:
-        out.append("L|" + fold(label))
-    if len(words) >= 2 and not label:
-        out.append("B|" + fold(words[-2]) + " " + fold(words[-1]))
-    if words and nxt and not label:
-        out.append("S|" + fold(words[-1]) + " _ " + fold(nxt[0]))
+        return ["L|" + _NUMBER.sub("0", label.lower())]
+    last = bisect_right(starts, end - 1) - 1
+    out = []
+    if first >= 2:
+        out.append("B|" + word(first - 2) + " " + word(first - 1))
+    if first and last + 1 < len(starts) and ends[last] == end:
+        out.append("S|" + word(first - 1) + " _ " + word(last + 1))
     return out
 
 
 def _candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, list[str]]]:
     """Tokens, parts of joined tokens and numbers written with blanks that look like identifiers and touch no base span."""
-    if not _DIGITS.search(text) and "@" not in text:
+    if not _HINT.search(text):
         return []
     found: set[tuple[int, int]] = set()
 
@@ -133,21 +149,20 @@ def _candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         start = stop - len(core)
         core = core.rstrip(_CLOSE)
         cut = len(core) - len(core.lstrip(_OPEN))
-        if len(core) - cut <= LONGEST:
+        if len(core) > cut:
             found.add((start + cut, start + len(core)))
 
     for m in _TOKEN.finditer(text):
         token = m[0]
-        if not ("@" in token or _DIGITS.search(token)):
+        if not _HINT.search(token):
             continue
         core_of(token, m.end())
         if len(token) > LONGEST or _JOINED.search(token):
             for part in _PART.finditer(token):
-                if "@" in part[0] or _DIGITS.search(part[0]):
+                if _HINT.search(part[0]):
                     core_of(part[0], m.start() + part.end())
     for m in _SPACED.finditer(text):
-        if m.end() - m.start() <= LONGEST:
-            found.add((m.start(), m.start() + len(m[0].rstrip(_CLOSE))))
+        found.add((m.start(), m.start() + len(m[0].rstrip(_CLOSE))))
     out, i = [], 0
     for start, end in sorted(found):
         while i < len(taken) and taken[i][2] <= start:
@@ -176,8 +191,11 @@ def scan(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFr
                 others = _candidates(t, spans)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
                 cand.append([{"start": s, "end": e, "kinds": kinds} for s, e, kinds in others])
-                own = [{"value": t[s:e][:LONGEST].lower(), "kind": k, "seed": True, "pattern": p, "place": -1} for k, s, e in spans for p in contexts(t, s, e)]
-                own += [{"value": t[s:e].lower(), "kind": k, "seed": False, "pattern": p, "place": i} for i, (s, e, kinds) in enumerate(others) for k in kinds for p in contexts(t, s, e)]
+                at = tokens_of(t) if spans or others else None
+                own = [{"value": _short(t[s:e].lower()), "kind": k, "seed": True, "pattern": p, "place": -1} for k, s, e in spans for p in contexts(t, s, e, at)]
+                for i, (s, e, kinds) in enumerate(others):
+                    value, around = _short(t[s:e].lower()), contexts(t, s, e, at)
+                    own += [{"value": value, "kind": k, "seed": False, "pattern": p, "place": i} for k in kinds for p in around]
                 edges.append(own)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(base, span_type), pa.array(cand, cand_type), pa.array(edges, edge_type)], ["row", "doc_id", "base", "cand", "edges"])
 
@@ -244,15 +262,21 @@ def digest(text: str) -> str:
 def redact(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the text with every span replaced by its kind in angle brackets; overlapping spans become one."""
 
-    def mask(t: str | None, spans) -> str:
+    def mask(t: str, spans) -> str:
         out, at = [], 0
         for s in spans:
             if s["start"] >= at:
                 out += [t[at : s["start"]], f"<{s['kind']}>"]
             at = max(at, s["end"])
-        return "".join(out) + (t or "")[at:]
+        return "".join(out) + t[at:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = [mask(t, spans) for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     # the same rows in the same order get the same row numbers only from one written table
     source = staged(df.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id()), "pii-texts")
     found = find(source.select(F.col("_row").alias("doc_id"), "text"))
-    return source.join(found.select(F.col("doc_id").alias("_row"), "spans"), "_row").select("doc_id", F.udf(mask, "string")("text", "spans").alias("text"))
+    joined = source.join(found.select(F.col("doc_id").alias("_row"), "spans"), "_row").select("doc_id", "text", "spans")
+    return joined.mapInArrow(run, source.select("doc_id", "text").schema)

@@ -281,6 +281,35 @@ def water_fill(sizes, weights, total, epochs):
     return target
 
 
+def test_pii_recall_and_precision_of_added_spans(spark):
+    """Planted disguised addresses and other phone forms behind the words that seeds stand behind, of any length; others stay out."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    rows, planted = [], set()
+    for i in range(3000):
+        text, kind = [word() for _ in range(rng.randint(5, 30))], i % 6
+        if kind == 0:
+            text += ["please", "write", f"{word()}@{word()}.com"]
+        elif kind == 1:
+            planted.add(i)
+            text += ["please", "write", f"{word() * (20 if i % 60 == 1 else 1)}[at]{word()}.com"]
+        elif kind == 2:
+            text += ["call", "me:", f"+49 30 {rng.randint(10**6, 10**7 - 1)}"]
+        elif kind == 3:
+            planted.add(i)
+            text += ["call", "me:", f"0{rng.randint(100, 999)}-{rng.randint(10**5, 10**6 - 1)}"]
+        elif kind == 4:
+            text += ["item", f"{rng.randint(10**7, 10**8)}"]  # a number that no seed's context announces
+        rows.append((i, " ".join(text + [word() for _ in range(rng.randint(1, 9))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.find(frame).filter(F.size("spans") > F.size("base")).select("doc_id").collect()
+    found = {r["doc_id"] for r in got}
+    assert len(found & planted) > 0.95 * len(planted) and len(found - planted) < 0.01 * len(rows)
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(frame.limit(600)).collect()}
+    assert all(("[at]" in t) <= (i not in found) for i, t in masked.items() if i % 6 == 1)
+    assert pii.find(frame.limit(0)).count() == 0
+
+
 def test_water_filling(spark):
     assert water_fill([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     rng = random.Random(6)
