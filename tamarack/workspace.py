@@ -10,9 +10,16 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder below spark.checkpoint.dir; where that is unset, as in tests, a temporary folder of this machine."""
+    """A folder below spark.checkpoint.dir; where that is unset in a local session, as in tests, a temporary folder.
+
+    On a cluster without that setting it is an error: executors don't see each other's local folders.
+    """
     app = spark.sparkContext.applicationId
     if app not in _own:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tamarack-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="tamarack-")
         _own[app] = f"{base.rstrip('/')}/work-{app}"
     return _own[app]
