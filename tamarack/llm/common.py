@@ -22,12 +22,16 @@ _made: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is unset (a local session, as in tests) a temporary folder of this machine is used.
-    The folder goes when the Python driver ends.
+    Where that setting is unset in a local session, as in tests, a temporary folder of this machine is used; on a cluster
+    that is an error. The folder goes when the Python driver ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _made:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tamarack-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="tamarack-")
         # with its scheme, so that Spark and the tasks' own readers mean the same store
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
         base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
