@@ -8,8 +8,9 @@ of whole documents.
 
 The choice: a source's documents stand in the order of a seeded hash, and are taken from its start up to the last that
 fits into what the fraction asks for. The document after it is too large for the words that are missing, so then the
-largest document that fits is taken (FITS times), and then again all that fit in hash order, until none fits: a source
-misses its target by less than its smallest document that isn't taken. Each step of the choice is a pair (largest hash,
+largest document that fits is taken (FITS times), and then again all that fit in hash order, until none fits. At the end
+the smallest document that is left is taken if that brings the source nearer to its target, which it then misses by at
+most half of the smallest document that isn't taken. Each step of the choice is a pair (largest hash,
 largest size), found by counting words in ever finer intervals of the hash, so whether a document is taken follows from
 its own hash and size and a few numbers of its source: no document's text is shuffled, and no source is sorted whole.
 
@@ -161,14 +162,20 @@ def mix_steps(df: DataFrame, size: str, source: str, id_column: str, weights=WEI
             one = left.groupBy("source", "h").agg(F.sum("size").alias("words"), F.max("need").alias("need")).filter("words <= need")
             one = one.groupBy("source").agg(F.max(F.struct("words", "h")).alias("m")).select("source", F.col("m.h").alias("hash"), F.col("m.words").alias("words"))
             found = staged(few_parts(one, 0), "mix-fit")
-            if not found.limit(1).count():
-                return state.drop("_mix_need"), count
-        most = F.col("_mix_need") if turn else F.lit(1 << 62)
+            last = not found.limit(1).count()
+            if last:  # nothing fits: the smallest document that is left, where it brings the source nearer to its target
+                rest = known.filter((F.col("_mix_need") > 0) & ~_is_taken()).groupBy("source", F.col("_mix_h").alias("h")).agg(F.sum("_mix_size").alias("words"), F.max("_mix_need").alias("need"))
+                rest = rest.groupBy("source").agg(F.min(F.struct("words", "h")).alias("m"), F.max("need").alias("need")).filter("m.words < 2 * need")
+                found = staged(few_parts(rest.select("source", F.col("m.h").alias("hash"), F.col("m.words").alias("words")), 0), "mix-last")
+        whole = not turn or (turn % (FITS + 1) and last)  # whatever the size
+        most = F.lit(1 << 62) if whole else F.col("_mix_need")
         step = F.struct("hash", most.cast("long").alias("most"), F.lit(bool(turn % (FITS + 1))).alias("one"))
         more = state.join(found, F.col("_mix_s").eqNullSafe(F.col("source")), "left")
         steps = F.when(F.col("words") > 0, F.concat("_mix_steps", F.array(step))).otherwise(F.col("_mix_steps"))
         need = F.col("_mix_need") - F.coalesce("words", F.lit(0))
         state = staged(few_parts(more.select("_mix_s", "_mix_source_size", "_mix_target", "_mix_whole", steps.alias("_mix_steps"), need.alias("_mix_need")), count), "mix-state")
+        if turn % (FITS + 1) and last:
+            return state.drop("_mix_need"), count
         turn += 1
 
 
