@@ -95,6 +95,14 @@ def resample_box(x: np.ndarray, source: int, target: int) -> np.ndarray:
     return (np.diff(upto) / (source / target)).astype(np.float32)
 
 
+def nearest_frames(x: np.ndarray, source: int = 24_000, target: int = 16_000, frame: int = 1600) -> np.ndarray:
+    """Rows of `frame` samples at the target rate, each the input sample at or before its time; the last row is filled up with zeros."""
+    n = -(-len(x) * target // (source * frame)) * frame
+    at = np.arange(n) * source // target
+    padded = np.append(x, np.zeros(1, x.dtype))
+    return padded[np.minimum(at, len(x))].reshape(-1, frame)
+
+
 def wav_bytes(pcm: bytes, rate: int) -> bytes:
     """Mono 16-bit samples with the 44-byte header."""
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(pcm)) + pcm

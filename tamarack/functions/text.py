@@ -22,6 +22,11 @@ def terms(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
+def word_tokens(text: Column) -> Column:
+    """Runs of letters and digits; marks and underscores separate words."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def query_terms(text: str) -> list[str]:
     """Distinct search terms of a question that the caller has as a string."""
     found = [w for w in re.findall(r"[^\W_]+", text.lower()) if len(w) > 1 and w not in STOP_WORDS]

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import model_json
+from .functions.text import fixed_chunks, model_json
+from .operators.checks import merge_parts
 
 
 class Model(Protocol):
@@ -34,3 +35,10 @@ def ask(rows: DataFrame, content: str, system: str, make: Callable[[], Model] =
             yield pd.Series(client.answer(system, series.fillna("").tolist()), dtype=object)
 
     return rows.withColumn(name, F.from_json(model_json(run(content)), schema))
+
+
+def ask_fields(rows: DataFrame, key: str, text: str, system: str, make: Callable[[], Model] = NullModel, size: int = 1400) -> DataFrame:
+    """key, field, value: long texts are asked about piece by piece, and the pieces' answers (a JSON object) are merged in order."""
+    parts = rows.select(key, F.posexplode(fixed_chunks(F.col(text))).alias("part", "piece"))
+    found = ask(parts, F.col("piece"), system, make, "map<string,string>")
+    return merge_parts(found.select(key, "part", F.explode("answer").alias("field", "value")), key, "field", "value", "part")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The longest text of each kind of request.
 LONGEST = {"question": 4000, "transcript": 12_000, "speech": 2000}
+IMAGE, IMAGE_CHARS = r"^data:image/(?:png|jpeg|webp);base64,[A-Za-z0-9+/=]+$", 14_000_000
 QUERY, FRAME_BYTES = 500, 3200
 
 
@@ -16,6 +17,16 @@ def request_error(kind: Column, text: Column) -> Column:
     return F.when(most.isNull(), "unknown kind").when(F.coalesce(F.trim(text), F.lit("")) == "", "empty").when(F.length(text) > most, "too long")
 
 
+def image_error(data_url: Column) -> Column:
+    """null for an image that may be read, else what is wrong."""
+    return F.when(F.length(data_url) > IMAGE_CHARS, "too long").when(~F.coalesce(data_url.rlike(IMAGE), F.lit(False)), "no image")
+
+
+def search_query(text: Column) -> Column:
+    """What a search looks at of its question."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, QUERY)
+
+
 def frame_error(pcm: Column) -> Column:
     return F.when(pcm.isNull() | (F.octet_length(pcm) != FRAME_BYTES), "not one frame")
 

@@ -1,7 +1,10 @@
-"""Crawl state as tables: robots rules, frontier, upserts, logs."""
+"""Crawl state as tables: robots rules, frontier, upserts, logs, the queue of a mirror."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +43,50 @@ def upsert(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def log_counts(log: DataFrame, reason: str) -> DataFrame:
     return log.groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Downloads at a time, and the error after which nothing more is fetched.
+WAYS, DISK_FULL = 4, "disk reserve"
+
+
+def fetch_all(queue: DataFrame, fetch: Callable[[str], None], ways: int = WAYS) -> DataFrame:
+    """url, error (null if it was stored) of each address that was tried; a task that meets a full disk tries no more.
+
+    Fetching must bear a second try of the same address, as a lost task runs again.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        full = False
+        for pdf in batches:
+            out = []
+            for url in pdf["url"]:
+                if full:
+                    break
+                error = None
+                try:
+                    fetch(url)
+                except Exception as e:  # whatever it is, it is logged as this address's failure
+                    error = str(e) or type(e).__name__
+                    full = DISK_FULL in error
+                out.append((url, error))
+            yield pd.DataFrame(out, columns=["url", "error"])
+
+    return queue.select("url").repartition(ways).mapInPandas(run, "url string, error string")
+
+
+def settle(pending: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Adds state (saved, failed, requeued, waiting) and error to the queue (ord, url); requeued ones failed too, but stay at its head."""
+    done = outcomes.groupBy(F.col("url").alias("_url")).agg(F.min("error").alias("error"))
+    rows = pending.join(done, F.col("url") == F.col("_url"), "left")
+    state = F.when(F.col("_url").isNull(), "waiting").when(F.col("error").isNull(), "saved").when(F.contains("error", F.lit(DISK_FULL)), "requeued").otherwise("failed")
+    return rows.withColumn("state", state).drop("_url")
+
+
+def queue_after(settled: DataFrame) -> DataFrame:
+    """What is still to be fetched: requeued addresses first, then the waiting ones in order."""
+    return settled.filter("state IN ('requeued', 'waiting')").orderBy(F.col("state") == "waiting", "ord").select("ord", "url")
+
+
+def phase(pending: Column, page_index: Column, pages: Column, now: Column) -> Column:
+    """Phase of a mirror: what is pending comes first, then pages are looked through for more, then it is complete."""
+    return F.when(pending > 0, now).when(page_index < pages, "discover").otherwise("complete")

@@ -47,6 +47,17 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size).crossJoin(F.broadcast(total))  # one row
 
 
+def saved(manifest: DataFrame, category: str | None = None) -> DataFrame:
+    """Assets that are stored, of one category where it is given."""
+    rows = manifest.filter("status = 'saved'")
+    return rows.filter(F.col("category") == category) if category else rows
+
+
+def lookup(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, or none; where keys repeat, any one of its rows."""
+    return rows.filter(F.col(key) == F.lit(value)).limit(1)
+
+
 def with_local_links(hits: DataFrame, manifest: DataFrame) -> DataFrame:
     """Adds local_url: the document's own page, or the stored file of a PDF page, null while it isn't stored."""
     saved = manifest.filter("status = 'saved'").select(F.col("url").alias("_url"), F.col("id").alias("_asset"))

@@ -32,6 +32,23 @@ def crawl_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def import_status(spark: SparkSession, path: str) -> DataFrame:
+    """documents and updatedAt of the last import, always one row: without a file both are null."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    schema = "documents long, updatedAt timestamp"
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.range(1).select(F.lit(None).cast("long").alias("documents"), F.lit(None).cast("timestamp").alias("updatedAt"))
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def metered_files(spark: SparkSession, path: str, most: int = 500_000_000) -> DataFrame:
+    """path, bytes, sha256 and error of stored files; those over the limit are listed with an error and never read."""
+    files = spark.read.format("binaryFile").load(path)
+    read = files.filter(F.col("length") <= most).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("error"))
+    large = files.filter(F.col("length") > most).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256"), F.lit("too large").alias("error"))
+    return read.unionByName(large)
+
+
 def save(rows: DataFrame, path: str) -> None:
     """Replaces a table in one commit of the job."""
     rows.write.mode("overwrite").parquet(path)

@@ -60,6 +60,13 @@ def media_references(html: Column) -> Column:
     return F.filter(F.transform(F.concat(*every, first, preview), unescape), lambda v: v != "")
 
 
+def preview_image(html: Column, url: Column) -> Column:
+    """Absolute address of a page's preview image, null if it names none."""
+    own = r'(?is)<meta\s(?=[^>]*property="og:image")[^>]*?content="([^"]*)"'
+    found = F.trim(unescape(F.regexp_extract(html, own, 1)))
+    return F.when(found != "", resolve(found, url))
+
+
 def main_text(html: Column) -> Column:
     """Text without what is no content, a line end after each block; elements of DROPPED don't nest in themselves."""
     out = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
