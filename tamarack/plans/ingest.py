@@ -10,6 +10,7 @@ from ..functions import urls as U
 from ..operators import crawl, media
 from ..sources import pages as P
 from ..tables import inline, load, sql_values
+from . import archive
 from . import sql as S
 
 KEYS = ("page", "id")
@@ -137,8 +138,9 @@ def document_list_page(spark, d):
 
 def archive_status(spark, d):
     docs = load(spark, d, "documents").agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("source").alias("sources"))
-    files = manifest(spark, d).agg(F.count_if(F.col("status") == "saved").alias("media_saved"), F.count_if(F.col("status") != "saved").alias("media_pending"), F.sum("bytes").alias("bytes"))
-    return docs.crossJoin(F.broadcast(files))  # one row each
+    files = manifest(spark, d).agg(F.count_if(F.col("status") == "saved").alias("media_saved"), F.count_if(F.col("status") != "saved").alias("media_pending"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("media_pages"))
+    chunks = archive.indexed(spark, d).figures.select("chunks")
+    return docs.crossJoin(F.broadcast(files)).crossJoin(F.broadcast(chunks))  # one row each
 
 
 def failure_log_counts(spark, d):
@@ -273,7 +275,7 @@ ORACLE_SQL = {
     "set_union_seen": f"WITH {_HREFS} SELECT {_bare('url')} AS url FROM pages WHERE page_id % 2 = 0 UNION SELECT {_bare('link')} FROM abs WHERE link IS NOT NULL",
     "media_catalog_page": f"WITH {_MANIFEST}, s AS (SELECT *, count(*) OVER () AS total FROM manifest WHERE status = 'saved') SELECT id, bytes, category, {_name('url')} AS name, '/api/archive/media/' || id AS local_url, total FROM s ORDER BY ord LIMIT 24 OFFSET 24",
     "document_list_page": "SELECT doc_id, substring(text, 1, 320) AS text, count(*) OVER () AS total FROM documents ORDER BY doc_id LIMIT 12 OFFSET 24",
-    "archive_status": f"WITH {_MANIFEST} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT source) FROM documents) AS sources, count(*) FILTER (status = 'saved') AS media_saved, count(*) FILTER (status <> 'saved') AS media_pending, sum(bytes) AS bytes FROM manifest",
+    "archive_status": f"WITH RECURSIVE {S.CHUNKS}, {_MANIFEST} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chunks) AS chunks, count(*) AS media_pages, (SELECT count(DISTINCT source) FROM documents) AS sources, count(*) FILTER (status = 'saved') AS media_saved, count(*) FILTER (status <> 'saved') AS media_pending, sum(bytes) AS bytes FROM manifest",
     "failure_log_counts": f"WITH {_MANIFEST} SELECT status AS reason, count(*) AS n FROM manifest GROUP BY status",
     "local_source_join": f"""WITH {_MANIFEST}, saved AS (SELECT url, min(id) AS asset FROM manifest WHERE status = 'saved' GROUP BY url)
         SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 2 <> 0 THEN '/api/archive/document/' || page_id WHEN asset IS NOT NULL THEN '/api/archive/media/' || asset || CASE WHEN page_id % 3 <> 0 THEN '#page=' || (page_id % 3) ELSE '' END END AS local_url
