@@ -162,10 +162,16 @@ def mime_safety(spark, d):
 
 
 def queryable_documents(spark, d):
-    """Documents that may be searched: no category pages, no pages of furniture only."""
-    rows = pages(spark, d).select("page_id", "url", P.main_text(F.col("html")).alias("text"))
-    furniture = F.length(F.trim(F.regexp_replace("text", "(?i)FaLang translation system by Faboba", ""))) < 120
-    bare = F.col("text").rlike("(?i)FaLang translation system by Faboba") & furniture
+    """Documents that may be searched: no category pages, no pages of furniture only.
+
+    The given pages have neither, so furniture is added to two fifths of them, before a short or the whole text, and a ninth gets a category's address.
+    """
+    n, text, furniture = F.col("page_id"), P.main_text(F.col("html")), "FaLang translation system by Faboba "
+    text = F.when(n % 5 == 0, F.concat(F.lit(furniture), F.substring(text, 1, 100))).when(n % 5 == 1, F.concat(F.lit(furniture), text)).otherwise(text)
+    url = F.when(n % 9 == 4, F.concat("url", F.lit("?view=category"))).otherwise(F.col("url"))
+    rows = pages(spark, d).select("page_id", url.alias("url"), text.alias("text"))
+    left = F.length(F.trim(F.regexp_replace("text", "(?i)FaLang translation system by Faboba", "")))
+    bare = F.col("text").rlike("(?i)FaLang translation system by Faboba") & (left < 120)
     return rows.filter(~F.col("url").rlike(r"(?i)[?&]view=category|/component/osmap/") & ~bare).select("page_id", "url")
 
 
@@ -281,5 +287,8 @@ ORACLE_SQL = {
         SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 2 <> 0 THEN '/api/archive/document/' || page_id WHEN asset IS NOT NULL THEN '/api/archive/media/' || asset || CASE WHEN page_id % 3 <> 0 THEN '#page=' || (page_id % 3) ELSE '' END END AS local_url
         FROM pages LEFT JOIN saved USING (url)""",
     "mime_safety": "SELECT mime, CASE WHEN regexp_matches(mime, 'html|svg|xml|javascript') THEN 'sandbox' WHEN mime = 'application/pdf' THEN 'attachment' ELSE 'inline' END AS serve, true AS safe FROM " + sql_values([(m,) for m in MIMES], ["mime"]),
-    "queryable_documents": "SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '(?i)[?&]view=category|/component/osmap/') AND NOT regexp_matches(html, '(?i)FaLang translation system by Faboba')",
+    "queryable_documents": f"""WITH t AS (SELECT page_id, url, {_text()} AS body FROM pages),
+        p AS (SELECT page_id, url || CASE WHEN page_id % 9 = 4 THEN '?view=category' ELSE '' END AS url, CASE WHEN page_id % 5 < 2 THEN 'FaLang translation system by Faboba ' ELSE '' END AS head,
+          CASE WHEN page_id % 5 = 0 THEN substring(body, 1, 100) ELSE body END AS body FROM t)
+        SELECT page_id, url FROM p WHERE NOT regexp_matches(url, '(?i)[?&]view=category|/component/osmap/') AND NOT (head <> '' AND length(trim(body)) < 120)""",
 }
