@@ -123,7 +123,18 @@ def row_key(id_column: str, text: str) -> list[Column]:
     return [F.col(id_column).alias("_key_id"), F.xxhash64(t).alias("_key_h"), F.xxhash64(F.lit(42), t).alias("_key_g")]
 
 
-def join_keys(docs: DataFrame, keys: DataFrame, id_column: str, text: str, how: str) -> DataFrame:
-    """Joins rows with a table that has the KEY columns; ids are compared null-safe."""
-    i, h, g = row_key(id_column, text)
-    return docs.join(keys, i.eqNullSafe(F.col("_key_id")) & (h == F.col("_key_h")) & (g == F.col("_key_g")), how)
+def recorded(docs: DataFrame, *more: Column) -> DataFrame:
+    """Each row as one struct, `record`, beside other columns, so that no column name of the row can clash with theirs."""
+    return docs.select(F.struct("*").alias("record"), *more)
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Joins rows that have `record` and the KEY columns with a table that has the KEY columns and others; nulls are equal."""
+    other = keys.withColumnsRenamed({k: f"_of{k}" for k in KEY})
+    on = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in KEY]
+    return rows.join(other, on, how).drop(*[f"_of{k}" for k in KEY])
+
+
+def without(docs: DataFrame, keys: DataFrame, id_column: str, text: str) -> DataFrame:
+    """The rows whose key isn't in a table of keys, with all their columns."""
+    return join_keys(recorded(docs, *row_key(id_column, text)), small(keys.select(*KEY)), "left_anti").select("record.*")

@@ -17,7 +17,7 @@ that repeat id and text, of which one stays.
 
 Defined cases: null text equals the empty text; an empty table gives an empty table; among equal texts the row with the
 largest id stays, a null id counts as smaller than any other, and of rows that share id and text one stays; ids may be of
-any type that can be ordered; extra columns stay, names that begin with `_dedup_` or `_key_` are taken.
+any type that can be ordered; extra columns stay, whatever their names (in `exact_dedup`; `annotate` replaces its results').
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, ascii_lower, join_keys, row_key, small, staged
+from .common import KEY, ascii_lower, join_keys, recorded, row_key, small, staged, without
 
 BITS_PER_ROW, SALTS, MOST_BYTES = 16, 64, 256 << 20
 #: Cells in a block, and cells that a hash sets in its block.
@@ -147,13 +147,13 @@ def with_digest(df: DataFrame, text: str = "text", name: str = "text_sha256") ->
 
 def exact_dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows that stay, with their own columns: of equal texts the one with the largest id."""
-    keys = staged(with_digest(df.select(text, *row_key(id_column, text)), text, "_dedup_digest").drop(text), "dedup-keys")
+    own = df.select(F.col(text).alias("t"), *row_key(id_column, text))
+    keys = staged(with_digest(own, "t", "_dedup_digest").drop("t"), "dedup-keys")
     copies = _decide(keys, keys.count(), "_key_id", "_dedup_digest", most_bytes).filter("_dedup_size > 1")
     found = copies.groupBy(*KEY).agg(F.max("_dedup_kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     odd = staged(found.filter("NOT kept OR n > 1").select(*KEY, "kept"), "dedup-odd")
-    repeats = odd.filter("kept").select(*KEY)
-    if not repeats.limit(1).count():
-        return join_keys(df, small(odd.select(*KEY)), id_column, text, "left_anti")
-    once = join_keys(df, small(odd.select(*KEY)), id_column, text, "left_anti")
-    more = join_keys(df, small(repeats), id_column, text, "inner").dropDuplicates(KEY).drop(*KEY)
-    return once.unionByName(more)
+    repeats, once = odd.filter("kept").select(*KEY), without(df, odd, id_column, text)
+    if repeats.isEmpty():
+        return once
+    more = join_keys(recorded(df, *row_key(id_column, text)), small(repeats), "inner").dropDuplicates(KEY)
+    return once.unionByName(more.select("record.*"))

@@ -6,32 +6,36 @@ can't take is shared out again by weight until no target is above its cap. A sou
 number of repetitions of its documents: each is taken whole that many times, and the fraction left is a seeded choice
 of whole documents.
 
-The choice: a source's documents stand in the order of a seeded hash, and are taken from its start up to the last that
-fits into what the fraction asks for. The document after it is too large for the words that are missing, so then the
-largest document that fits is taken (FITS times), and then again all that fit in hash order, until none fits. At the end
-the smallest document that is left is taken if that brings the source nearer to its target, which it then misses by at
-most half of the smallest document that isn't taken. Each step of the choice is a pair (largest hash,
-largest size), found by counting words in ever finer intervals of the hash, so whether a document is taken follows from
-its own hash and size and a few numbers of its source: no document's text is shuffled, and no source is sorted whole.
+The choice: a source's documents stand in the order of a seeded hash, and are taken from its start up to a hash below which
+all fit into what the fraction asks for. That hash is found by counting words in ever finer intervals, BITS at a time. What
+stands there is too large for the words that are missing, so PASSES times more the order goes on behind it, with documents of
+at most a STEPth of them. For the rest a source has a reserve: of its documents that are left and fit, the RESERVE smallest
+hashes in each class of sizes (powers of two), and the RESERVE smallest documents. From it the largest that fits is taken,
+and the next, until none fits, and at the end the smallest that is left where that brings the source nearer to its target.
+So whether a document is taken follows from its own hash and size and a few numbers of its source, of a bounded length: no
+document's text is shuffled, no source is sorted whole, and the rows are read a fixed number of times.
 
 Sources are a written table of a row each; it is broadcast while it is small and joined by (source, salt) beyond.
 
 Defined cases: null or empty text has size 0 and is taken with the whole repetitions of its source, adding no words; a
 null source is a source of its own, last in order; if all sizes are 0 nothing is taken; rows that share id (and text, in
-`mix`) share their hash and are taken equally often; an empty table gives an empty table; extra columns stay, names that
-begin with `_mix_` are taken.
+`mix`) share their hash and are taken equally often; an empty table gives an empty table; extra columns stay, in `mix`
+whatever their names; `plan_mix` replaces columns with the names of its results.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, few_parts, small, staged
+from .common import WORD, few_parts, recorded, staged
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20240917
-#: Largest documents that are looked for between two passes in hash order; bits of the hash that a pass looks at.
-FITS, BITS, SALTS = 3, (12, 12), 64
+#: Bits of the 63-bit hash that each count looks at, documents of each kind in a source's reserve, parts of a large source.
+BITS, PASSES, STEP, RESERVE, SALTS = (12, 12, 12), 2, 8, 8, 64
+_STEPS = "array<struct<from:long,upto:long,most:long>>"
 
 
 def word_count(text: Column) -> Column:
@@ -73,49 +77,68 @@ def source_targets(df: DataFrame, size: str, source: str, weights=WEIGHTS, share
     return sources.select("_mix_s", "size", target.alias("target"))
 
 
-def _with_source(rows: DataFrame, sources: DataFrame, source: str, count: int) -> DataFrame:
-    """Rows with the columns of their source."""
+def _with_source(rows: DataFrame, sources: DataFrame, count: int, source: str = "source", h: str = "h") -> DataFrame:
+    """Rows of a known source with its columns: it is broadcast while there are few, and joined by (source, salt) beyond."""
     if count <= 10_000:
-        return rows.join(F.broadcast(sources), F.col(source).eqNullSafe(F.col("_mix_s")), "left")
+        return rows.join(F.broadcast(sources), F.col(source).eqNullSafe(F.col("_mix_s"))).drop("_mix_s")
     salted = sources.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.col("_mix_h"), F.lit(SALTS)).cast("int")
-    return rows.join(salted, F.col(source).eqNullSafe(F.col("_mix_s")) & (salt == F.col("_mix_salt")), "left").drop("_mix_salt")
-
-
-def _is_taken(steps: str = "_mix_steps", h: str = "_mix_h", size: str = "_mix_size") -> Column:
-    """A step takes the documents up to a hash and a size, or those of one hash up to a size."""
-    return F.exists(steps, lambda s: F.when(s["one"], F.col(h) == s["hash"]).otherwise(F.col(h) <= s["hash"]) & (F.col(size) <= s["most"]))
-
-
-def _prefix(rows: DataFrame) -> DataFrame:
-    """source, hash, words: of the open documents (source, h, size, need), in hash order, the last that fits and their sum."""
-    inside, low = rows, F.lit(0).cast("long")
-    base = None
-    for level, bits in enumerate(BITS):
-        shift = 63 - sum(BITS[: level + 1])
-        bins = inside.groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("words"), F.max("need").alias("need"))
-        if base is not None:
-            bins = bins.join(base.select(F.col("source").alias("s"), F.col("before").alias("b")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        else:
-            bins = bins.withColumn("b", F.lit(0).cast("long"))
-        order = Window.partitionBy("source").orderBy("bin")
-        summed = bins.withColumn("upto", F.col("b") + F.sum("words").over(order))
-        # the bin that the need ends in: the first whose sum passes it; its documents are looked at more closely
-        base = summed.filter("upto > need").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("m"))
-        base = base.select("source", "m.bin", "m.before")
-        whole = summed.groupBy("source").agg(F.max("upto").alias("all"), F.max("need").alias("need")).filter("all <= need") if level == 0 else None
-        base = staged(few_parts(base, 0), f"mix-bins-{level}")
-        if level == 0:
-            every = staged(few_parts(whole.select("source", F.lit((1 << 63) - 1).alias("hash"), F.col("all").cast("long").alias("words")), 0), "mix-whole")
-        near = base.select(F.col("source").alias("s"), F.col("bin").alias("in_bin"))
-        inside = inside.join(small(near), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift) == F.col("in_bin"))).drop("s", "in_bin")
-    hashes = inside.groupBy("source", "h").agg(F.sum("size").alias("words"), F.max("need").alias("need"))
-    hashes = hashes.join(base.select(F.col("source").alias("s"), "before", "bin"), F.col("source").eqNullSafe(F.col("s")))
-    upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("h"))
-    first = F.shiftleft("bin", 63 - sum(BITS)) - 1  # where no document of the bin fits, all before it do
-    last = hashes.withColumn("upto", upto).groupBy("source", "before", first.alias("first")).agg(F.max(F.when(F.col("upto") <= F.col("need"), F.struct("h", "upto"))).alias("m"))
-    last = last.select("source", F.coalesce("m.h", "first").alias("hash"), F.coalesce("m.upto", "before").alias("words"))
-    return staged(few_parts(every.unionByName(last), 0), "mix-prefix")
+    salt = F.pmod(F.col(h), F.lit(SALTS)).cast("int")
+    return rows.join(salted, F.col(source).eqNullSafe(F.col("_mix_s")) & (salt == F.col("_mix_salt"))).drop("_mix_s", "_mix_salt")
+
+
+def _counted(rows: DataFrame, cut: DataFrame, count: int, shift: int, bits: int) -> DataFrame:
+    """source, total and m (interval, what is missing before it) of the first interval of `bits` more bits in which the words
+    of the documents in a source's interval pass what it needs; m is null where they don't."""
+    inside = _with_source(rows, cut, count).filter(F.shiftright("h", shift) == F.col("bin"))
+    summed = inside.groupBy("source", F.shiftright("h", shift - bits).alias("bin")).agg(F.sum("size").alias("words"), F.max("need").alias("need"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
+    passes = F.when(F.col("upto") > F.col("need"), F.struct("bin", (F.col("need") - F.col("upto") + F.col("words")).alias("need")))
+    return summed.withColumn("upto", upto).groupBy("source").agg(F.min(passes).alias("m"), F.max("upto").alias("total"))
+
+
+def _prefix(rows: DataFrame, needs: DataFrame, count: int) -> DataFrame:
+    """_mix_s, upto, behind and need: all documents (source, h, size) below the hash `upto` fit, those from `behind` on come
+    after what doesn't, and what is missing then."""
+    first = _counted(rows, needs.select("_mix_s", F.lit(0).cast("long").alias("bin"), "need"), count, 63, BITS[0]).persist()  # a row a source
+    cut, shift = first.filter("m IS NOT NULL").select(F.col("source").alias("_mix_s"), "m.bin", "m.need"), 63 - BITS[0]
+    for bits in BITS[1:]:
+        cut = _counted(rows, cut, count, shift, bits).select(F.col("source").alias("_mix_s"), "m.bin", "m.need")
+        shift -= bits
+    ends = cut.select("_mix_s", F.shiftleft("bin", shift).alias("upto"), F.shiftleft(F.col("bin") + 1, shift).alias("behind"), "need")
+    every = F.lit((1 << 63) - 1)
+    whole = first.filter("m IS NULL").select(F.col("source").alias("s"), F.col("total").alias("words"))
+    whole = needs.join(whole, F.col("_mix_s").eqNullSafe(F.col("s"))).select("_mix_s", every.alias("upto"), every.alias("behind"), (F.col("need") - F.col("words")).alias("need"))
+    return ends.union(whole)
+
+
+def _reserve(left: DataFrame, count: int) -> DataFrame:
+    """source, h, words and need of the documents that may fill what is missing. Rows that share a hash are one choice."""
+    kinds = [
+        (Window.partitionBy("source", F.floor(F.log2("size"))).orderBy("h", "size"), F.col("size") <= F.col("need")),
+        (Window.partitionBy("source").orderBy("size", "h"), F.lit(True)),
+    ]
+    some = [left.filter(fits).withColumn("at", F.row_number().over(w)).filter(F.col("at") <= RESERVE).select("source", "h") for w, fits in kinds]
+    hashes = staged(few_parts(reduce(DataFrame.union, some).distinct(), 0), "mix-reserve")
+    few = hashes.select(F.col("source").alias("s"), F.col("h").alias("g"))
+    few = F.broadcast(few) if count <= 1000 else few  # at most RESERVE * 64 for each source
+    same = left.join(few, F.col("source").eqNullSafe(F.col("s")) & (F.col("h") == F.col("g")))
+    return same.groupBy("source", "h").agg(F.sum("size").alias("words"), F.max("need").alias("need"))
+
+
+def _chosen(reserve: DataFrame) -> DataFrame:
+    """_mix_s and the hashes that are taken of a source's reserve."""
+    items = reserve.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("words", "h")), asc=False).alias("items"), F.max("need").alias("need"))
+
+    def step(state: Column, item: Column) -> Column:
+        fits = item["words"] <= state["need"]
+        taken = F.struct((state["need"] - item["words"]).alias("need"), F.array_append(state["taken"], item["h"]).alias("taken"), state["least"].alias("least"))
+        left = F.struct(state["need"].alias("need"), state["taken"].alias("taken"), item.alias("least"))  # items come by size
+        return F.when(fits, taken).otherwise(left)
+
+    zero = F.struct(F.col("need"), F.array().cast("array<long>").alias("taken"), F.lit(None).cast("struct<words:long,h:long>").alias("least"))
+    end = items.select(F.col("source").alias("_mix_s"), F.aggregate("items", zero, step).alias("end"))
+    nearer = F.col("end.least.words") < 2 * F.col("end.need")
+    return end.select("_mix_s", F.when(nearer, F.array_append("end.taken", F.col("end.least.h"))).otherwise(F.col("end.taken")).alias("_mix_chosen"))
 
 
 def plan_mix(df: DataFrame, size: str = "size", source: str = "source", id_column: str = "doc_id", weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED, hash_column: str | None = None) -> DataFrame:
@@ -123,72 +146,71 @@ def plan_mix(df: DataFrame, size: str = "size", source: str = "source", id_colum
 
     The frame is read several times: write it first where making it is dear.
     """
-    sources, count = mix_steps(df, size, source, id_column, weights, share, epochs, seed, hash_column)
-    rows = df.withColumns({"_mix_h": _hash(seed, id_column, hash_column), "_mix_size": F.col(size)})
-    return times_of(rows, sources, source, count).drop("_mix_h", "_mix_size")
+    h = _hash(F.col(hash_column or id_column), seed)
+    choice, count = mix_choice(df.select(F.col(source).alias("source"), h.alias("h"), F.col(size).alias("size")), weights, share, epochs)
+    names = ["_mix_source_size", "_mix_target", "_mix_times"]
+    rows = recorded(df.drop(*names), F.col(source).alias("source"), h.alias("h"), F.col(size).alias("size"))
+    return times_of(rows, choice, count).select("record.*", *names)
 
 
-def _hash(seed: int, id_column: str, hash_column: str | None) -> Column:
+def _hash(key: Column, seed: int) -> Column:
     """63 bits, so that intervals of it are intervals of numbers."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(hash_column or id_column)), 1)
-
-
-def times_of(rows: DataFrame, sources: DataFrame, source: str, count: int) -> DataFrame:
-    """Adds _mix_source_size, _mix_target and _mix_times to rows with _mix_h and _mix_size."""
-    out = _with_source(rows, sources, source, count)
-    times = F.col("_mix_whole") + F.when((F.col("_mix_size") > 0) & _is_taken(), 1).otherwise(0)
-    return out.withColumn("_mix_times", times.cast("long")).drop("_mix_s", "_mix_whole", "_mix_steps")
-
-
-def mix_steps(df: DataFrame, size: str, source: str, id_column: str, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: int = SEED, hash_column: str | None = None) -> tuple[DataFrame, int]:
-    """_mix_s, _mix_source_size, _mix_target, _mix_whole (whole repetitions), _mix_steps of each source; their number."""
-    goal = source_targets(df, size, source, weights, share, epochs)
-    whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")
-    empty = F.array().cast("array<struct<hash:long,most:long,one:boolean>>")
-    state = goal.select("_mix_s", F.col("size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), whole.alias("_mix_whole"), empty.alias("_mix_steps"))
-    state = state.withColumn("_mix_need", F.floor(F.col("_mix_target") - F.col("_mix_whole") * F.col("_mix_source_size") + 1e-6).cast("long"))
-    state = staged(state, "mix-state")
-    count, turn = state.count(), 0
-    rows = df.select(F.col(source).alias("source"), _hash(seed, id_column, hash_column).alias("_mix_h"), F.col(size).alias("_mix_size")).filter("_mix_size > 0")
-    while True:
-        known = _with_source(rows, state.select("_mix_s", "_mix_need", "_mix_steps"), "source", count)
-        left = known.filter((F.col("_mix_need") > 0) & (F.col("_mix_size") <= F.col("_mix_need")) & ~_is_taken())
-        left = left.select("source", F.col("_mix_h").alias("h"), F.col("_mix_size").alias("size"), F.col("_mix_need").alias("need"))
-        if turn == 0:  # all documents, so that each has the same chance whatever its size
-            found = _prefix(known.filter("_mix_need > 0").select("source", F.col("_mix_h").alias("h"), F.col("_mix_size").alias("size"), F.col("_mix_need").alias("need")))
-        elif turn % (FITS + 1) == 0:
-            found = _prefix(left)
-        else:  # rows that share a hash are one choice
-            one = left.groupBy("source", "h").agg(F.sum("size").alias("words"), F.max("need").alias("need")).filter("words <= need")
-            one = one.groupBy("source").agg(F.max(F.struct("words", "h")).alias("m")).select("source", F.col("m.h").alias("hash"), F.col("m.words").alias("words"))
-            found = staged(few_parts(one, 0), "mix-fit")
-            last = not found.limit(1).count()
-            if last:  # nothing fits: the smallest document that is left, where it brings the source nearer to its target
-                rest = known.filter((F.col("_mix_need") > 0) & ~_is_taken()).groupBy("source", F.col("_mix_h").alias("h")).agg(F.sum("_mix_size").alias("words"), F.max("_mix_need").alias("need"))
-                rest = rest.groupBy("source").agg(F.min(F.struct("words", "h")).alias("m"), F.max("need").alias("need")).filter("m.words < 2 * need")
-                found = staged(few_parts(rest.select("source", F.col("m.h").alias("hash"), F.col("m.words").alias("words")), 0), "mix-last")
-        whole = not turn or (turn % (FITS + 1) and last)  # whatever the size
-        most = F.lit(1 << 62) if whole else F.col("_mix_need")
-        step = F.struct("hash", most.cast("long").alias("most"), F.lit(bool(turn % (FITS + 1))).alias("one"))
-        more = state.join(found, F.col("_mix_s").eqNullSafe(F.col("source")), "left")
-        steps = F.when(F.col("words") > 0, F.concat("_mix_steps", F.array(step))).otherwise(F.col("_mix_steps"))
-        need = F.col("_mix_need") - F.coalesce("words", F.lit(0))
-        state = staged(few_parts(more.select("_mix_s", "_mix_source_size", "_mix_target", "_mix_whole", steps.alias("_mix_steps"), need.alias("_mix_need")), count), "mix-state")
-        if turn % (FITS + 1) and last:
-            return state.drop("_mix_need"), count
-        turn += 1
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)
+
+
+def times_of(rows: DataFrame, choice: DataFrame, count: int) -> DataFrame:
+    """Adds _mix_source_size, _mix_target and _mix_times to rows with source, h and size."""
+    out = _with_source(rows, choice, count)
+    fraction = (F.col("size") > 0) & (_is_taken("_mix_steps") | F.array_contains("_mix_chosen", F.col("h")))
+    return out.withColumn("_mix_times", (F.col("_mix_whole") + F.when(fraction, 1).otherwise(0)).cast("long")).drop("_mix_whole", "_mix_steps", "_mix_chosen")
+
+
+def _is_taken(steps: str) -> Column:
+    return F.exists(steps, lambda s: (F.col("h") >= s["from"]) & (F.col("h") < s["upto"]) & (F.col("size") <= s["most"]))
+
+
+def mix_choice(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> tuple[DataFrame, int]:
+    """For rows of source, h and size: _mix_s, _mix_source_size, _mix_target, _mix_whole (whole repetitions), _mix_steps (hashes
+    and sizes that are taken once more) and _mix_chosen (hashes that are too) of each source; the number of sources."""
+    goal = source_targets(rows, "size", "source", weights, share, epochs)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long").alias("whole")
+    goal = goal.select("_mix_s", "size", "target", whole)
+    need = F.floor(F.col("target") - F.col("whole") * F.col("size") + 1e-6).cast("long")
+    goal = goal.withColumn("need", need).persist()
+    count, some, none = goal.count(), rows.filter("size > 0"), F.lit(0).cast("long")
+    now = goal.select("_mix_s", "need", none.alias("behind"), F.array().cast(_STEPS).alias("steps"))
+    for turn in range(1 + PASSES):
+        most = F.col("need") if not turn else F.floor(F.col("need") / STEP)
+        most = F.lit((1 << 63) - 1) if not turn else most.cast("long")
+        open_ = _with_source(some, now.select("_mix_s", F.col("behind").alias("from"), most.alias("most")), count).filter((F.col("h") >= F.col("from")) & (F.col("size") <= F.col("most")))
+        cut = _prefix(open_.select("source", "h", "size"), now.filter("need > 0").select("_mix_s", "need"), count)
+        cut = _named(cut.withColumnRenamed("behind", "new_behind").withColumnRenamed("need", "new_need"), "s")
+        step = F.array(F.struct(F.col("behind").alias("from"), "upto", most.alias("most"))).cast(_STEPS)
+        joined = now.join(cut, F.col("_mix_s").eqNullSafe(F.col("s")), "left")
+        steps = F.when(F.col("upto").isNull(), F.col("steps")).otherwise(F.concat("steps", step))
+        now = joined.select("_mix_s", F.coalesce("new_need", "need").alias("need"), F.coalesce("new_behind", "behind").alias("behind"), steps.alias("steps"))
+        now = staged(few_parts(now, count), "mix-steps")
+    left = _with_source(some, now, count).filter((F.col("need") > 0) & ~_is_taken("steps")).select("source", "h", "size", "need")
+    chosen = _named(_chosen(_reserve(left, count)), "s2")
+    out = goal.drop("need").join(_named(now, "s1"), F.col("_mix_s").eqNullSafe(F.col("s1")), "left").join(chosen, F.col("_mix_s").eqNullSafe(F.col("s2")), "left")
+    hashes = F.coalesce("_mix_chosen", F.array().cast("array<long>"))
+    out = out.select("_mix_s", F.col("size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("whole").alias("_mix_whole"), F.col("steps").alias("_mix_steps"), hashes.alias("_mix_chosen"))
+    return staged(few_parts(out, count), "mix-choice"), count
+
+
+def _named(table: DataFrame, name: str) -> DataFrame:
+    return table.withColumnRenamed("_mix_s", name)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", seed: int = SEED, **options) -> DataFrame:
     """The documents of the mix with their own columns, each as often as it is taken.
 
-    The plan is made on sources, hashes and sizes; whether a document is taken then follows from its own hash and size, so
-    no text is shuffled.
+    The choice is made on sources, hashes and sizes; whether a document is taken then follows from its own hash, so no text
+    is shuffled.
     """
-    key = F.xxhash64(F.col(id_column), F.coalesce(F.col(text), F.lit("")))
-    narrow = staged(docs.select(F.col(source).alias("s"), word_count(F.col(text)).alias("z"), key.alias("k")), "mix-sizes")
-    sources, count = mix_steps(narrow, "z", "s", "k", seed=seed, **options)
-    rows = docs.withColumns({"_mix_h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1), "_mix_size": word_count(F.col(text))})
-    out = times_of(rows, sources, source, count).filter("_mix_times > 0")
-    out = out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    h = _hash(F.xxhash64(F.col(id_column), F.coalesce(F.col(text), F.lit(""))), seed).alias("h")
+    facts = [F.col(source).alias("source"), h, word_count(F.col(text)).alias("size")]
+    narrow = staged(docs.select(*facts), "mix-sizes")
+    choice, count = mix_choice(narrow, **options)
+    out = times_of(recorded(docs, *facts), choice, count).filter("_mix_times > 0")
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))).select("record.*")

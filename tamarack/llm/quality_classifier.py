@@ -5,18 +5,21 @@ sample of documents that are known to be good (MOST_TARGET of them, by seeded ha
 corpus, counted in every text by tasks that send one row for each bucket they met. A document's log importance is the
 sum of log(target / raw) over its n-grams: how much likelier the target would write it than the corpus does.
 
-That sum grows with the text, so a weight made of it would leave nothing to chance: its mean over the n-grams times SHARP is
-the log of the sampling weight. Sampling k documents without replacement in proportion to the weights is a top-k of log
-weight plus Gumbel noise, seeded by the row's key, so reruns agree. k is `share` of the documents that have n-grams; where
-no share is given, labelled documents estimate how many are like the target: those above the cut that parts their good from
-their bad weights best while it keeps at least KEEP of the good. The noise decides among documents near the k-th key (its
-spread is 1.28 / SHARP of mean log importance), and hardly ever far from it. The k-th largest key is found exactly by
-counting keys in ever finer intervals: no sort of the corpus, no row more than a histogram on the driver.
+That sum grows with the text, so a weight made of it would leave nothing to chance: the log of the sampling weight is the
+mean over the n-grams times a sharpness. A document is drawn by Gumbel top-k: k documents without replacement in proportion
+to the weights are the k largest of log weight plus Gumbel noise, seeded by the row's key, so reruns agree. With a level set
+for the k-th key, a document's chance to be drawn is 1 - exp(-exp(log weight - level)).
+
+Sharpness, level and k come from `temper`: on labelled documents that no model saw, the level keeps `keep` of the good on
+average, and the sharpness is the least at which the bad that are kept are at most `loss` more than a plain cut would
+keep. So the sample is as much left to chance as the stated losses allow. k is the sum of all documents' chances, or
+`share` of the documents that have n-grams where one is given. The k-th largest key is found exactly by counting keys in
+ever finer intervals: no sort of the corpus, no row more than a histogram on the driver.
 
 Defined cases: null and empty texts have log importance 0 and are never kept; rows that repeat id and text share their
-noise and stay or go together, also where that makes more than k; without labels of both kinds the cut is 0; an empty
-table gives an empty table; ids may be of any type in `keep_good`, where extra columns stay and names that begin with
-`_key_` or `_dsir_` are taken; texts of any length are read whole.
+noise and stay or go together, also where that makes more than k, as do ties at the k-th key; without labels of both kinds
+the sharpness is SHARP and a document as likely as in the corpus has an even chance; an empty table gives an empty table;
+ids may be of any type in `keep_good`, where extra columns stay, whatever their names; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -30,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, join_keys, row_key, slices, small, staged, texts_of
+from .common import KEY, row_key, slices, staged, texts_of, without
 
-BUCKETS, MOST_TARGET, MOST_LABELLED, KEEP, SMOOTH, SHARP, SEED = 1 << 14, 8000, 4000, 0.99, 0.5, 20.0, 5
+BUCKETS, MOST_TARGET, MOST_LABELLED, KEEP, LOSS, SMOOTH, SHARP, SEED = 1 << 14, 8000, 4000, 0.99, 0.01, 0.5, 20.0, 5
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 _hashes: dict[str, int] = {}
@@ -95,16 +98,29 @@ def importance(docs: DataFrame, ratio: np.ndarray, text: str = "text", keep_text
     return docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])]).mapInArrow(run, schema)
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray, keep: float = KEEP) -> float:
-    """Above it lie at least `keep` of the good and as few of the bad as can be; in the middle of the gap it falls into."""
+def chances(mean: np.ndarray, sharp: float, level: float) -> np.ndarray:
+    """The chance of being drawn for mean log importances."""
+    return -np.expm1(-np.exp(np.clip(sharp * mean - level, -700, 700)))
+
+
+def temper(good: np.ndarray, bad: np.ndarray, keep: float = KEEP, loss: float = LOSS) -> tuple[float, float]:
+    """Sharpness and level for the mean log importances of good and bad documents."""
     if not len(good) or not len(bad):
-        return 0.0
-    most = np.quantile(good, 1 - keep, method="lower")
-    points = np.unique(np.concatenate([good[good <= most], bad[bad <= most], [most]]))
-    middle = (points[1:] + points[:-1]) / 2 if len(points) > 1 else points
-    cuts = np.concatenate([[points[0] - 1], middle])
-    rate = np.array([(good > c).mean() + (bad <= c).mean() for c in cuts])
-    return float(cuts[int(np.argmax(rate))])
+        return SHARP, -float(np.log(np.log(2)))
+
+    def level_of(sharp: float) -> float:
+        low, high = sharp * good.min() - 50, sharp * good.max() + 50
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if chances(good, sharp, middle).mean() > keep else (low, middle)
+        return low
+
+    plain = (bad > np.quantile(good, 1 - keep, method="lower")).mean()
+    for sharp in np.geomspace(1, 4096, 97):
+        level = level_of(sharp)
+        if chances(bad, sharp, level).mean() <= plain + loss:
+            break
+    return float(sharp), float(level)
 
 
 def kth_largest(keys: DataFrame, key: str, k: int, bins: int = 4096) -> float:
@@ -125,14 +141,9 @@ def kth_largest(keys: DataFrame, key: str, k: int, bins: int = 4096) -> float:
     return float(low)
 
 
-def log_weight() -> Column:
-    """Log of the sampling weight: mean log importance of the n-grams times SHARP."""
-    return SHARP * F.col("log_importance") / F.col("n_grams")
-
-
-def gumbel(*seeds: str) -> Column:
+def gumbel(*columns: str, seed: int = SEED) -> Column:
     """Gumbel noise from the hash of these columns."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), *seeds), 11) + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), *columns), 11) + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
@@ -144,42 +155,43 @@ def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
     return scored.withColumn("kept", F.coalesce(F.col(key) >= kth_largest(some, key, k), F.lit(False)))
 
 
-def weigh(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", target: int = MOST_TARGET, labelled: int = MOST_LABELLED, keep: float = KEEP) -> tuple[DataFrame, float]:
-    """log_importance, n_grams, log_weight and gumbel_key with the row keys of every document, and the cut of log weights."""
+def weigh(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", target: int = MOST_TARGET, labelled: int = MOST_LABELLED, keep: float = KEEP, loss: float = LOSS) -> tuple[DataFrame, float, float]:
+    """log_importance, n_grams and log_weight with the row keys of every document; sharpness and level."""
     h = F.xxhash64(F.lit(SEED), "_dsir_id")
     marked = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_column).alias("_dsir_id"), F.col(label).cast("int").alias("_dsir_y"))
-    half = F.pmod(h, F.lit(2))  # one half of the labels for the model, the other to set the cut
+    half = F.pmod(h, F.lit(2))  # one half of the labels for the model, the other to temper it
     good = marked.filter((F.col("_dsir_y") == 1) & (half == 0)).orderBy(h, "_dsir_id").limit(target).select("_dsir_id").distinct()
-    raw = count_buckets(docs, text)
-    wanted = count_buckets(docs.join(F.broadcast(good), F.col(id_column) == F.col("_dsir_id")), text)  # at most `target` ids
-    scored = importance(docs.select(*row_key(id_column, text), F.col(text).alias(text)), log_ratio(wanted, raw), text)
-    weight = F.when(F.col("n_grams") > 0, log_weight())
-    scored = scored.withColumn("log_weight", weight).withColumn("gumbel_key", F.col("log_weight") + gumbel(*KEY))
-    scored = staged(scored, "importance")
+    own = docs.select(*row_key(id_column, text), F.col(text).alias("t"))
+    raw = count_buckets(own, "t")
+    wanted = count_buckets(own.join(F.broadcast(good), F.col("_key_id") == F.col("_dsir_id")), "t")  # at most `target` ids
+    scored = staged(importance(own, log_ratio(wanted, raw), "t"), "importance")
     rest = marked.filter(half == 1)
     known = rest.filter("_dsir_y = 0").orderBy(h, "_dsir_id").limit(labelled).union(rest.filter("_dsir_y = 1").orderBy(h, "_dsir_id").limit(labelled))
-    rows = scored.filter("n_grams > 0").join(F.broadcast(known), F.col("_key_id") == F.col("_dsir_id")).select("_dsir_y", "log_weight").collect()  # at most twice `labelled`
-    values = {y: np.array(sorted(r["log_weight"] for r in rows if r["_dsir_y"] == y)) for y in (0, 1)}
-    return scored, best_cut(values[1], values[0], keep)
-
-
-def chosen(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", share: float | None = None, **options) -> DataFrame:
-    """What `weigh` gives, with kept: the sample of `share` of the documents, or of as many as are like the target."""
-    scored, cut = weigh(docs, labels, id_column, text, **options)
-    if share is None:
-        k = scored.filter(F.col("log_weight") > cut).count()
-    else:
-        k = round(share * scored.filter("n_grams > 0").count())
+    mean = F.when(F.col("n_grams") > 0, F.col("log_importance") / F.col("n_grams"))
+    rows = scored.filter("n_grams > 0").join(F.broadcast(known), F.col("_key_id") == F.col("_dsir_id")).select("_dsir_y", mean.alias("mean")).collect()  # at most twice `labelled`
+    values = {y: np.array(sorted(r["mean"] for r in rows if r["_dsir_y"] == y)) for y in (0, 1)}
+    sharp, level = temper(values[1], values[0], keep, loss)
+    return scored.withColumn("log_weight", F.lit(sharp) * mean), sharp, level
+
+
+def chosen(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", share: float | None = None, seed: int = SEED, **options) -> DataFrame:
+    """What `weigh` gives, with gumbel_key, chance (null where a share is given) and kept: the sample of `share` of the
+    documents, or of as many as `temper` expects."""
+    scored, _, level = weigh(docs, labels, id_column, text, **options)
+    scored = scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(*KEY, seed=seed))
+    chance = -F.expm1(-F.exp(F.col("log_weight") - F.lit(level)))
+    scored = scored.withColumn("chance", F.lit(None).cast("double") if share is not None else F.coalesce(chance, F.lit(0.0)))
+    total = scored.agg(F.sum("chance").alias("chance"), F.count_if(F.col("n_grams") > 0).alias("n")).first()
+    k = round((total["chance"] or 0.0) if share is None else share * total["n"])
     return top_k(scored, "gumbel_key", k)
 
 
 def choose(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """doc_id, log_importance, n_grams, log_weight, gumbel_key and kept of every document."""
+    """doc_id, log_importance, n_grams, log_weight, gumbel_key, chance and kept of every document."""
     return chosen(docs, labels, id_column, **options).withColumnRenamed("_key_id", "doc_id").drop(*KEY)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are kept, with all their columns."""
     found = chosen(docs, labels, id_column, text, **options)
-    gone = staged(found.filter("NOT kept").select(*KEY).distinct(), "rejected")
-    return join_keys(docs, small(gone), id_column, text, "left_anti")
+    return without(docs, staged(found.filter("NOT kept").select(*KEY).distinct(), "rejected"), id_column, text)

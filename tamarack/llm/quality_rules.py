@@ -1,10 +1,15 @@
 """Quality rules on repetition: how much of a text lies inside n-grams and lines that occur more than once.
 
-For each n of NGRAMS, a rolling polynomial hash of every n-word window is made in numpy from the text's word numbers;
-windows whose hash occurs twice or more mark their words, first occurrences included, and the marked words' characters
-over all word characters are the coverage. Repeated lines are measured in the same way. A text fails where a coverage
-is above its limit. The base rule counts words; coverage counts characters, so it also fails texts whose long words
-repeat, and repeated lines that are shorter than a window.
+Word numbers get one running polynomial over the whole text, sum of x_i * B^i modulo 2^64; the hash of any window of n words
+is the difference of two places of it, brought to a common power, so it costs the same for every n. Windows whose hash
+occurs twice or more mark their words, first occurrences included, and the marked words' characters over all word
+characters are the coverage. A repeated window starts with a repeated shorter one, so longer lengths look only where the
+length before found something. Repeated lines are measured in the same way. A text fails where a coverage is above its limit.
+
+The base rule counts words in windows of five. Lengths below five find what no window of five does: words that each
+stand several times in a row, or short runs that come back in another company. The limits lie above what labelled good
+texts reach (0.25, 0.25 and 0.21 for two, three and four words, 0.10 for lines); those from five words on hold characters,
+so they also fail texts whose long words repeat.
 
 Everything happens inside one row, so nothing is shuffled and a text of any length is one numpy array.
 
@@ -24,35 +29,38 @@ from pyspark.sql import DataFrame
 from .common import slices, texts_of
 
 #: Window lengths, and the largest share of word characters inside repeated windows of each length.
-NGRAMS = {5: 0.25, 7: 0.22, 10: 0.20}
-LINE_LIMIT = 0.25
+NGRAMS = {2: 0.30, 3: 0.30, 4: 0.25, 5: 0.25, 7: 0.22, 10: 0.20}
+LINE_LIMIT = 0.15
 #: Fixed values of the base rule.
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 LEAST_WORDS, WINDOW, MOST_REPEATED = 10, 5, 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def repeated(numbers: np.ndarray, n: int) -> np.ndarray:
-    """Marks the words that lie in an n-word window which occurs at least twice."""
-    marks = np.zeros(len(numbers), bool)
-    m = len(numbers) - n + 1
-    if m < 2:
-        return marks
-    # a fixed mixing of word numbers; the polynomial of a window rolls on prefix sums in arithmetic modulo 2^64
+def repeated(numbers: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
+    """For each length, marks the words that lie in a window of so many words which occurs at least twice."""
+    size = len(numbers)
+    # a fixed mixing of word numbers
     x = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
-    h = np.zeros(m, np.uint64)
-    for i in range(n):
-        h = h * _BASE + x[i : i + m]
-    _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-    twice = count[inverse] > 1
-    edge = np.zeros(len(numbers) + 1, np.int64)
-    at = np.flatnonzero(twice)
-    edge[at] += 1
-    edge[at + n] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    powers, back = np.full(size + 1, _BASE), np.full(size + 1, _INVERSE)
+    powers[0] = back[0] = 1
+    powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+    run = np.zeros(size + 1, np.uint64)
+    np.cumsum(x * powers[:size], out=run[1:])
+    at, found = np.arange(size), {}
+    for n in sorted(lengths):
+        at = at[at <= size - n]
+        h = (run[at + n] - run[at]) * back[at]
+        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        at = at[count[inverse] > 1]
+        edge = np.zeros(size + 1, np.int64)
+        edge[at] += 1
+        edge[at + n] -= 1
+        found[n] = np.cumsum(edge[:-1]) > 0
+    return found
 
 
 def measure(text: str, ngrams: dict[int, float] = NGRAMS, line_limit: float = LINE_LIMIT) -> dict:
@@ -71,7 +79,7 @@ def measure(text: str, ngrams: dict[int, float] = NGRAMS, line_limit: float = LI
                 n_dup_lines += 1
                 dup_chars += size
             line_seen.add(line)
-    marks = {n: repeated(numbers, n) for n in {WINDOW, *ngrams}}
+    marks = repeated(numbers, [*{WINDOW, *ngrams}])
     covered = {n: float(sizes[marks[n]].sum()) / max(chars, 1) for n in ngrams}
     n_repeat = int(marks[WINDOW].sum())
     line_cover = dup_chars / max(len(text), 1)

@@ -27,7 +27,7 @@ an id that repeats is one document in its component, and null ids never become a
 are null. In `one_of_each` ids may be of any type that can be ordered, null ids and ids that repeat with different texts are
 documents of their own, rows that share id and text stay or go together, the smallest id of a group stays, null last,
 and of its rows the one that reads first. An empty table gives an empty table; extra columns aren't carried by
-`near_duplicates` and stay untouched in `one_of_each`, where names that begin with `_key_` and the names row and component are taken.
+`near_duplicates` and stay untouched in `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, few_parts, join_keys, row_key, slices, small, staged
+from .common import KEY, few_parts, join_keys, row_key, slices, small, staged, without
 from .components import connected_components
 from .near_copies import SIMILAR, near_groups, shingles_of, word_hashes
 from .shared_shingles import beginning, pairs_by_shingles
@@ -276,8 +276,8 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     # rows that share id and text are one member
     members = own.select("row", *KEY).join(parts, "row").groupBy(*KEY).agg(F.min("row").alias("row"), F.min("component").alias("component"))
     members = staged(members, "candidate-members")
-    texts = join_keys(docs, small(members), id_column, text, "inner").select(F.col("row").alias("doc_id"), "component", t)
+    texts = join_keys(docs.select(*key, t), small(members), "inner").select(F.col("row").alias("doc_id"), "component", "t")
     grouped = staged(members.join(near_groups(texts, similar).withColumnRenamed("doc_id", "row"), "row"), "near-groups")
     stay = grouped.groupBy("label").agg(F.min_by("row", F.struct(F.col("_key_id").isNull(), "_key_id", "row")).alias("row")).select("row")
     gone = staged(grouped.join(stay, "row", "left_anti").select(*KEY), "near-copies")
-    return join_keys(docs, small(gone), id_column, text, "left_anti")
+    return without(docs, gone, id_column, text)

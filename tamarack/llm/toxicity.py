@@ -6,12 +6,18 @@ can count for more than either does alone. The pair sum takes linear time: half
 
 Training rows are a bounded sample: of all labelled rows that `train` lets through, the MOST_EACH with the smallest
 seeded hashes of each label. Spark picks them, joins only them with their texts and hashes these; the machine itself is
-fitted with AdaGrad on those few rows. A term that fewer than LEAST_ROWS of them have gets no weight. Of the others a term
-is in the machine if its share of label 1 differs from the sample's by LEAST_Z standard errors, or if it is part of a pair
-whose share differs by PAIR_Z of them from what the two terms say on their own: a group's name and an ambiguous word may
-both be neutral alone. Pairs are counted among the PAIR_TERMS terms that part the sample best in two, each pair in at least
-PAIR_ROWS rows. So chance words don't vote. MOST_TERMS bounds the machine and with it what is broadcast. Scoring is one pass
-over the texts without a shuffle.
+fitted with AdaGrad on those few rows. So chance words don't vote, a term is in the machine for one of two reasons:
+
+* alone: LEAST_ROWS of the rows have it and its share of label 1 differs from the sample's by LEAST_Z standard errors;
+* in a pair: a linear fit of the terms above leaves rows unexplained, and all pairs of words in these are counted, however
+  frequent the words are. A pair that LEAST_ROWS + 2 unexplained rows of one label have is tested on all rows of the sample: the
+  chance of so many rows of one label, where the linear fit's probabilities hold, is at most exp(-n * KL(seen, expected))
+  (Chernoff), and a pair counts if that is below CHANCE_PAIRS / number of tested pairs. So at most CHANCE_PAIRS pairs are
+  expected to come in by chance. No other bound holds on terms or pairs; a cell count of hashed pairs drops, before they are
+  listed, those that can't reach the least number of rows. A pair that counts starts with factors in its direction.
+
+What is broadcast is as large as the terms of the bounded sample that pass. Scoring is one pass over the texts without a
+shuffle.
 
 Defined cases: null and empty texts have no terms and score sigmoid(w0); rows whose label is null aren't trained on,
 repeated labels count as often as they stand; without rows of both labels the score is the share of label 1 (one half
@@ -31,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, texts_of
 
-FACTORS, MOST_EACH, LEAST_ROWS, LEAST_Z, MOST_TERMS, EPOCHS, SEED = 4, 2500, 3, 3.0, 20_000, 15, 7
-PAIR_TERMS, PAIR_ROWS, PAIR_Z = 4096, 20, 7.0
+FACTORS, MOST_EACH, LEAST_ROWS, LEAST_Z, EPOCHS, SEED = 4, 2500, 3, 3.0, 15, 7
+#: Pairs that may come in by chance, the error from which a row counts as unexplained, and cells of the pair count.
+CHANCE_PAIRS, UNEXPLAINED, CELLS = 1.0, 0.3, 1 << 22
 PREFIXES = (4, 5, 6, 7)
 _STRIP = ".,;:!?\"'()[]{}<>*&%$#|-_"
 
@@ -42,8 +49,8 @@ def word_terms(raw: str) -> list[int]:
     word = raw.strip(_STRIP).lower()
     if not word:
         return []
-    crc = zlib.crc32
-    return [crc(word.encode("utf-8", "surrogatepass")), *(crc(b"^" + word[:n].encode("utf-8", "surrogatepass")) for n in PREFIXES if len(word) >= n)]
+    crc = zlib.crc32  # words are even, beginnings are odd
+    return [crc(word.encode("utf-8", "surrogatepass")) & ~1, *(crc(b"^" + word[:n].encode("utf-8", "surrogatepass")) | 1 for n in PREFIXES if len(word) >= n)]
 
 
 def terms(text: str) -> np.ndarray:
@@ -54,6 +61,55 @@ def terms(text: str) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint32, len(found)))
 
 
+def _pair_codes(own: np.ndarray, step: int = 1 << 22) -> Iterator[np.ndarray]:
+    """All pairs of ascending numbers below 2^31 as (smaller << 31) + larger, in pieces of about `step`."""
+    n, at = len(own), 0
+    while at < n - 1:
+        to = min(n - 1, at + max(1, step // n))
+        i, j = np.nonzero(np.arange(n)[None, :] > np.arange(at, to)[:, None])
+        yield (own[i + at] << 31) + own[j]
+        at = to
+
+
+def _all_pairs(rows: list[np.ndarray], step: int = 1 << 22) -> Iterator[np.ndarray]:
+    """The pairs of all rows, about `step` at a time."""
+    held, size = [], 0
+    for r in rows:
+        for codes in _pair_codes(r, step):
+            held.append(codes)
+            size += len(codes)
+            if size >= step:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def common_pairs(rows: list[np.ndarray], least: int) -> np.ndarray:
+    """Codes of the pairs of numbers that at least `least` of the rows have."""
+    if len(rows) < least:
+        return np.zeros(0, np.int64)
+    every, count = np.unique(np.concatenate(rows), return_counts=True)
+    often = every[count >= least]
+    rows = [r[np.isin(r, often)] for r in rows]
+    cells = np.zeros(CELLS, np.int64)
+
+    def cell(codes: np.ndarray) -> np.ndarray:
+        return codes % 4294967291 % CELLS  # a prime below 2^32
+
+    for pairs in _all_pairs(rows):
+        cells += np.bincount(cell(pairs), minlength=CELLS)
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for pairs in _all_pairs(rows):
+        new, n = np.unique(pairs[cells[cell(pairs)] >= least], return_counts=True)
+        every = np.union1d(codes, new)
+        sums = np.zeros(len(every), np.int64)
+        sums[np.searchsorted(every, codes)] += counts
+        sums[np.searchsorted(every, new)] += n
+        codes, counts = every, sums
+    return codes[counts >= least]
+
+
 class FactorizationMachine:
     def __init__(self, seed: int = SEED):
         self.bias, self.seed = 0.0, seed
@@ -89,34 +145,37 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30))))
 
     def choose(self, rows: list[np.ndarray], labels: np.ndarray) -> None:
-        """Terms that tell something of the label alone or in a pair."""
+        """Terms that tell something of the label alone."""
         share = labels.mean()
         every, inverse = np.unique(np.concatenate(rows), return_inverse=True)
         of_row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         n = np.bincount(inverse, minlength=len(every))
         ones = np.bincount(inverse, weights=labels[of_row], minlength=len(every))
         z = (ones - n * share) / np.sqrt(n * share * (1 - share))
-        fit = np.flatnonzero((n >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
-        fit = fit[np.argsort(-np.abs(z[fit]), kind="stable")[:MOST_TERMS]]
-        common = np.flatnonzero(n >= PAIR_ROWS)
-        common = common[np.argsort(np.abs(2 * n[common] - len(rows)), kind="stable")[:PAIR_TERMS]]
-        place = np.full(len(every), -1)
-        place[common] = np.arange(len(common))
-        here = place[inverse] >= 0
-        has = np.zeros((len(rows), len(common)), np.float32)
-        has[of_row[here], place[inverse[here]]] = 1
-        odds = np.log((ones[common] + 1) / (n[common] - ones[common] + 1)) - np.log(share / (1 - share))
-        paired = np.zeros(len(common), bool)
-        for at in range(0, len(common), 512):
-            some = has[:, at : at + 512]
-            both, label_1 = some.T @ has, some[labels == 1].T @ has[labels == 1]
-            # what the two terms say on their own, as odds
-            said = 1 / (1 + np.exp(-np.clip(odds[at : at + 512, None] + odds[None, :] + np.log(share / (1 - share)), -4.6, 4.6)))
-            far = (both >= PAIR_ROWS) & (np.abs(label_1 - both * said) >= PAIR_Z * np.sqrt(both * said * (1 - said)))
-            far[np.arange(far.shape[0]), np.arange(at, at + far.shape[0])] = False
-            paired |= far.any(0)
-            paired[at : at + far.shape[0]] |= far.any(1)
-        self.terms = np.sort(every[np.union1d(fit, common[paired])])
+        self.terms = every[(n >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z)]
+
+    def choose_pairs(self, rows: list[np.ndarray], labels: np.ndarray, chance: np.ndarray) -> list[tuple[int, int, float]]:
+        """Pairs of words, with the side they take, that depart from the chances which the terms on their own give."""
+        words = [(r[r % 2 == 0] >> 1).astype(np.int64) for r in rows]
+        least = LEAST_ROWS + 2
+        open_rows = np.abs(labels - chance) >= UNEXPLAINED
+        tested = np.unique(np.concatenate([common_pairs([words[i] for i in np.flatnonzero(open_rows & (labels == y))], least) for y in (0, 1)]))
+        if not len(tested):
+            return []
+        parts = np.unique(np.concatenate([tested >> 31, tested & ((1 << 31) - 1)]))
+        n, ones, expected = np.zeros((3, len(tested)))
+        for r, y, p in zip(words, labels, chance):
+            for codes in _pair_codes(r[np.isin(r, parts)]):
+                at = np.searchsorted(tested, codes)
+                at = at[tested[np.minimum(at, len(tested) - 1)] == codes]
+                n[at] += 1
+                ones[at] += y
+                expected[at] += p
+        seen, mean = ones / n, np.clip(expected / n, 1e-9, 1 - 1e-9)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            distance = np.where(seen > 0, seen * np.log(seen / mean), 0) + np.where(seen < 1, (1 - seen) * np.log((1 - seen) / (1 - mean)), 0)
+        at = np.flatnonzero(n * distance >= np.log(len(tested) / CHANCE_PAIRS) + 1e-9)
+        return [(int(c >> 31) << 1, (int(c) & ((1 << 31) - 1)) << 1, 1.0 if s > m else -1.0) for c, s, m in zip(tested[at], seen[at], mean[at])]
 
     def fit(self, rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, rate: float = 0.2, decay: float = 2e-3) -> None:
         y = np.array(labels, float)
@@ -125,10 +184,28 @@ class FactorizationMachine:
             self.bias = float(np.log((share + 1e-9) / (1 - share + 1e-9))) if len(y) else 0.0
             return
         self.choose(rows, y)
+        own = self._start(rows, [])
+        self._descend(own, y, epochs, rate, decay, paired=False)
+        pairs = self.choose_pairs(rows, y, np.array([self.score(x) for x in own]))
+        self.terms = np.union1d(self.terms, np.array([t for p in pairs for t in p[:2]], np.uint32))
+        self._descend(self._start(rows, pairs), y, epochs, rate, decay)
+
+    def _start(self, rows: list[np.ndarray], pairs: list[tuple[int, int, float]]) -> list[np.ndarray]:
+        """Fresh weights, with factors of the pairs in their direction; the rows in the machine's own numbers."""
         rng, size = np.random.default_rng(self.seed), len(self.terms)
-        rows = [np.searchsorted(self.terms, r[np.isin(r, self.terms)]) for r in rows]
-        self.linear, self.factors = np.zeros(size), rng.normal(0, 0.02, (size, FACTORS))
+        self.bias, self.linear, self.factors = 0.0, np.zeros(size), rng.normal(0, 0.02, (size, FACTORS))
+        for a, b, side in pairs:
+            push = rng.normal(0, 0.2, FACTORS)
+            self.factors[np.searchsorted(self.terms, a)] += push
+            self.factors[np.searchsorted(self.terms, b)] += side * push
+        return [np.searchsorted(self.terms, r[np.isin(r, self.terms)]) for r in rows]
+
+    def _descend(self, rows: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, decay: float, paired: bool = True) -> None:
+        """AdaGrad over the rows in seeded random order."""
+        rng, size = np.random.default_rng(self.seed + 1), len(self.terms)
         g_linear, g_factors, g_bias = np.full(size, 1e-2), np.full((size, FACTORS), 1e-1), 1e-2
+        if not paired:
+            self.factors = np.zeros((size, FACTORS))
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
                 x = rows[i]
@@ -143,9 +220,10 @@ class FactorizationMachine:
                 g = error + decay * self.linear[x]
                 g_linear[x] += g * g
                 self.linear[x] -= rate * g / np.sqrt(g_linear[x])
-                g = error * (s - v) + decay * v
-                g_factors[x] += g * g
-                self.factors[x] -= 0.25 * rate * g / np.sqrt(g_factors[x])
+                if paired:
+                    g = error * (s - v) + decay * v
+                    g_factors[x] += g * g
+                    self.factors[x] -= 0.25 * rate * g / np.sqrt(g_factors[x])
 
 
 def sample(labels: DataFrame, label: str, train: Column, most: int = MOST_EACH, id_column: str = "doc_id") -> DataFrame:
