@@ -1,4 +1,4 @@
-"""Queries on statements, numbers and OCR results: small inline tables, and the conversations where a rule can run on them."""
+"""Queries on statements, numbers and OCR results: statements told by customers, and turns of conversations as lines of words."""
 
 from __future__ import annotations
 
@@ -11,59 +11,77 @@ from ..tables import inline, load, sql_values
 from . import sql as S
 from .lexicon import LEXICON, LINES, PHRASES
 
-STATEMENTS = [
-    (1, "Saya nak buat aduan tentang lampu jalan rosak di Jalan Merdeka pada 18 September 2025."),
-    (2, "Encik Ahmad meminta RM3,000 secara tunai tanpa resit untuk mempercepatkan kelulusan permit."),
-    (3, "buka ruang jawi dan baca tulisan tangan"), (4, "kembali ke carian arkib"), (5, "Permohonan saya lewat tiga bulan kerana pegawai cuti."),
-    (6, "Beliau meminta saya membayar tiga ribu ringgit untuk keutamaan."), (7, "Terdapat tuntutan palsu dan resit palsu sebanyak RM 1,250.50 pada 2 Mac 1999."), (8, "Penyalahgunaan kuasa oleh ketua jabatan."),
-    (9, "Saya dikenakan bayaran tambahan RM10 untuk cetakan dokumen di kaunter."), (10, ""),
+#: What customers tell, in turn; AMOUNT, WORDS, DATE, PLACE and PERSON stand for values of their row.
+TOLD = [
+    "Saya nak buat aduan tentang lampu jalan rosak di PLACE pada DATE.", "PERSON meminta AMOUNT secara tunai tanpa resit untuk mempercepatkan kelulusan permit.", "buka ruang jawi dan baca tulisan tangan",
+    "kembali ke carian arkib", "Permohonan saya lewat tiga bulan kerana pegawai cuti.", "Beliau meminta saya membayar WORDS ringgit untuk keutamaan.", "Terdapat tuntutan palsu dan resit palsu sebanyak AMOUNT.50 pada DATE.",
+    "Penyalahgunaan kuasa oleh ketua jabatan.", "Saya dikenakan bayaran tambahan AMOUNT untuk cetakan dokumen di kaunter.", "", "Pada DATE saya pergi ke PLACE. Kemudian PERSON meminta AMOUNT daripada saya. Selepas itu saya membayar WORDS ringgit kepada beliau.",
 ]
-WORDS = [("dua ratus lima puluh", 250), ("dua ribu dua puluh enam", 2026), ("sebelas", 11), ("dua belas", 12), ("seratus", 100), ("seribu", 1000), ("tiga ribu", 3000), ("dua puluh lima", 25), ("lima rumah", None), ("", None)]
-NUMBERS = [0, 7, 11, 12, 19, 20, 45, 100, 111, 250, 999, 1000, 2026, 12_345, 20_000, 99_999, 100_000]
-NUMBER_NAMES = [
-    "kosong", "tujuh", "sebelas", "dua belas", "sembilan belas", "dua puluh", "empat puluh lima", "satu ratus", "satu ratus sebelas", "dua ratus lima puluh", "sembilan ratus sembilan puluh sembilan", "satu ribu",
-    "dua ribu dua puluh enam", "dua belas ribu tiga ratus empat puluh lima", "dua puluh ribu", "sembilan puluh sembilan ribu sembilan ratus sembilan puluh sembilan", "",
-]
-CLAIMS = [("bayar RM3,000", "meminta tiga ribu ringgit", True), ("bayar RM3,000", "RM3,000 tunai", True), ("bayar RM4,000", "meminta tiga ribu ringgit", False), ("tiada nombor", "apa sahaja", True), ("RM250,000", "meminta ribu ringgit", False), ("jam 3.00", "jam tiga petang", True)]
+MONTHS = ["Januari", "Februari", "Mac", "April", "Mei", "Jun", "Julai", "Ogos", "September", "Oktober", "November", "Disember"]
+PLACES, PERSONS = ["Jalan Merdeka", "Jalan Hang Tuah", "Jalan Bukit Bintang"], ["Encik Ahmad", "Puan Siti", "Encik Hassan"]
+OTHER = ["lampu jalan rosak", "pegawai cuti", "tiada dalam teks"]
+
+
+def _pick(values: list[str], n):
+    return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
 
 
-def statements(spark):
-    return inline(spark, STATEMENTS, "n int, text string")
+def statements(spark, d):
+    """n, text and the values that the text may hold, of every customer."""
+    n = F.col("c_custkey")
+    rows = load(spark, d, "customer").select(n.alias("n"), (n * 37 % 9000 + 1000).cast("int").alias("sum"), (n % 9 * 1000 + 1000 + n % 10 * 100).cast("int").alias("said"), _pick(PLACES, n).alias("place"), _pick(PERSONS, n + 1).alias("person"), _pick(TOLD, n).alias("t"))
+    n = F.col("n")
+    date = F.concat_ws(" ", (n % 28 + 1).cast("string"), _pick(MONTHS, n), (n % 40 + 1990).cast("string"))
+    values = {"AMOUNT": F.concat(F.lit("RM"), F.format_number("sum", 0)), "WORDS": N.number_words(F.col("said")), "DATE": date, "PLACE": F.col("place"), "PERSON": F.col("person")}
+    text = F.col("t")
+    for name, value in values.items():
+        text = F.replace(text, F.lit(name), value)
+    return rows.select("n", text.alias("text"), "sum", "place", "person")
 
 
 def navigation_intent(spark, d):
     """Requests of the inline statements and of every conversation turn."""
     turns = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("n"), "text")
-    return statements(spark).select(F.col("n").cast("long"), "text").union(turns).select("n", rules.navigation_intent(F.col("text")).alias("page"))
+    return statements(spark, d).select(F.col("n").cast("long"), "text").union(turns).select("n", rules.navigation_intent(F.col("text")).alias("page"))
 
 
 def complaint_category(spark, d):
     turns = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("n"), "text")
-    return statements(spark).select(F.col("n").cast("long"), "text").union(turns).select("n", rules.category(F.col("text")).alias("category"))
-
-
-VALUES = [(f, v) for f in rules.SUPPORTED_FIELDS for v in ("lampu jalan rosak", "Encik Ahmad", "Jalan Merdeka", "pegawai cuti", "tiada dalam teks")]
+    return statements(spark, d).select(F.col("n").cast("long"), "text").union(turns).select("n", rules.category(F.col("text")).alias("category"))
 
 
 def supported_fields(spark, d):
-    rows = statements(spark).crossJoin(F.broadcast(inline(spark, VALUES, "field string, value string")))  # two inline tables
-    out = None
+    """Each field with a value that the statement may or may not hold."""
+    known = F.array(F.col("place"), F.col("person"), *map(F.lit, OTHER))
+    fields = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("field")) for i, f in enumerate(rules.SUPPORTED_FIELDS)])
+    rows = statements(spark, d).withColumn("f", F.explode(fields)).select("n", "text", "f.field", F.element_at(known, ((F.col("n") + F.col("f.i")) % 5 + 1).cast("int")).alias("value"))
+    fits = F.lit(None)
     for f in rules.SUPPORTED_FIELDS:
-        one = rows.filter(F.col("field") == f).select("n", "field", "value", rules.supported(f, F.col("value"), F.col("text")).isNotNull().alias("supported"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        fits = F.when(F.col("field") == f, rules.supported(f, F.col("value"), F.col("text"))).otherwise(fits)
+    return rows.select("n", "field", "value", fits.isNotNull().alias("supported"))
+
+
+def _numbers(spark, d):
+    return load(spark, d, "events").select("event_id", (F.col("event_id") * 7919 % 100_003).cast("int").alias("n"))
 
 
 def number_words(spark, d):
-    return inline(spark, [(n,) for n in NUMBERS], "n int").select("n", N.number_words(F.col("n")).alias("words"))
+    return _numbers(spark, d).select("event_id", "n", N.number_words(F.col("n")).alias("words"))
 
 
 def spoken_number(spark, d):
-    return inline(spark, [(w,) for w, _ in WORDS], "words string").select("words", N.spoken_number(F.col("words")).alias("n"))
+    """Numbers read out and understood again; every tenth one with a word that is no number."""
+    words = F.concat(N.number_words(F.col("n")), F.when(F.col("event_id") % 10 == 0, " rumah").otherwise(""))
+    return _numbers(spark, d).withColumn("words", words).select("event_id", "words", N.spoken_number(F.col("words")).alias("n"))
 
 
 def no_new_numbers(spark, d):
-    return inline(spark, [c[:2] for c in CLAIMS], "value string, evidence string").select("value", "evidence", N.no_new_numbers(F.col("value"), F.col("evidence")).alias("ok"))
+    """An amount beside evidence that has it in words, in digits, as another number, or not at all."""
+    amount = F.format_number("n", 0)
+    told = [F.concat(F.lit("meminta "), N.number_words(F.col("n")), F.lit(" ringgit")), F.concat(F.lit("RM"), amount, F.lit(" tunai")), F.concat(F.lit("meminta "), N.number_words(F.col("n") + 1)), F.lit("apa sahaja")]
+    evidence = F.element_at(F.array(*told), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = _numbers(spark, d).select("event_id", F.concat(F.lit("bayar RM"), amount).alias("value"), evidence.alias("evidence"))
+    return rows.select("event_id", N.no_new_numbers(F.col("value"), F.col("evidence")).alias("ok"))
 
 
 def _first(pattern: str):
@@ -71,88 +89,92 @@ def _first(pattern: str):
 
 
 def extract_dates(spark, d):
-    return statements(spark).select("n", _first(complaints.DATE).alias("date"))
+    return statements(spark, d).select("n", _first(complaints.DATE).alias("date"))
 
 
 def extract_amounts(spark, d):
     said = N.spoken_number(F.nullif(F.regexp_extract("text", complaints.SPOKEN_AMOUNT, 1), F.lit("")))
-    return statements(spark).select("n", F.coalesce(T.clean(_first(complaints.AMOUNT)), F.lit("")).alias("amount"), said.alias("spoken"))
+    return statements(spark, d).select("n", F.coalesce(T.clean(_first(complaints.AMOUNT)), F.lit("")).alias("amount"), said.alias("spoken"))
 
 
 def extract_places(spark, d):
-    return statements(spark).select("n", F.regexp_extract_all("text", F.lit(complaints.PLACES), F.lit(1)).alias("p")).select("n", F.array_join("p", "|").alias("places"))
+    return statements(spark, d).select("n", F.regexp_extract_all("text", F.lit(complaints.PLACES), F.lit(1)).alias("p")).select("n", F.array_join("p", "|").alias("places"))
 
 
 def chronology(spark, d):
     told = F.filter(F.transform(F.split("text", complaints.EVENT_SPLIT), T.clean), lambda q: (F.length(q) >= 18) & q.rlike(complaints.EVENT) & ~q.rlike(complaints.NO_EVENT))
-    return statements(spark).select("n", F.size(told).alias("events"))
+    return statements(spark, d).select("n", F.size(told).alias("events"))
 
 
 def complaint_analysis(spark, d):
     empty = [F.lit(None).cast(t.split(" ", 1)[1]).alias(t.split(" ", 1)[0]) for t in complaints.PROPOSAL.split(", ") if " " in t]
-    rows = statements(spark).select("n", F.col("text").alias("transcript"), *empty)
+    rows = statements(spark, d).select("n", F.col("text").alias("transcript"), *empty)
     return complaints.analyze(rows).select("n", "topic", "category", "summary", "amount", "parties", F.array_join("missing", ",").alias("missing"), F.size("chronology").alias("events"))
 
 
-def w(i, line, text, conf, x=0.0):
-    return (i, line, text, [x, 10.0, x + 50.0, 40.0], conf)
-
-
-RESULTS = [
-    (1, [w("a", 0, "مانيس", 0.9), w("b", 1, "هياسن", 1.4, 60.0)], [(["a"], "manis", "manis", "sweet"), (["b", "z"], "hiasan", "hiasan", "decoration")], [(0, ["a"], "sweet maiden"), (1, ["a", "b"], "across lines")]),
-    (2, [w("a", 0, "dua kata", 0.9)], [(["a"], "x", "x", "x")], []),
-    (3, [w("a", 0, "باجو", 0.9)], [(["a"], "Rumi setia", "BM moden", "English")], []),
-    (4, [], [], []),
-    (5, [w("a", None, "باجو", 0.9), w("a", 3, "ساي", -1.0, 80.0)], [(["a"], "baju", "", "")], []),
-    (6, [("a", 0, "باجو", [10.0, 10.0, 5.0, 40.0], 0.9)], [(["a"], "x", "x", "x")], []),
-]
-OCR = [
-    (1, 0, 0, "باجو", 0.95), (1, 0, 1, "ساي", 0.9), (1, 0, 2, "بارو", 0.9), (1, 1, 0, "راجکيت", 0.6), (1, 1, 1, "سلامث", 0.6), (1, 1, 2, "برتختا", 0.6), (2, 0, 0, "رعيت", 0.5), (2, 0, 1, "هيدوف", 0.5), (2, 0, 2, "برساتودان", 0.5), (2, 0, 3, "ماجو", 0.44),
-    (2, 1, 0, "رعيت", 0.5), (2, 1, 1, "هيدوx", 0.5), (2, 1, 2, "برساتودان", 0.5), (2, 1, 3, "ماجو", 0.5), (3, 0, 0, "2026", 0.99), (3, 0, 1, "latin", 0.99), (3, None, 2, "امس", 0.5), (3, None, 3, "xامس", 0.86),
-]
+def results(spark, d):
+    """Conversations as OCR results, a turn a word; some have a word with a blank, a box without area, no words, or copied labels."""
+    kind, word = F.col("conv_id") % 6, F.concat(F.lit("a"), F.col("turn").cast("string"))
+    x = (F.col("turn") % 15 * 60).cast("double")
+    text = F.when((kind == 2) & (F.col("turn") == 0), "dua kata").otherwise(F.substring(F.md5("text"), 1, 12))
+    right = F.when((kind == 5) & (F.col("turn") == 0), x).otherwise(x + 50)
+    box = F.array(x, F.lit(10.0), right, F.lit(40.0))
+    en = F.when(kind == 3, "English").otherwise(F.concat("role", F.col("turn").cast("string")))
+    one = F.struct(F.col("turn").alias("turn"), F.struct(word.alias("id"), F.col("turn").cast("int").alias("line"), text.alias("text"), box.alias("box"), F.lit(0.9).alias("confidence")).alias("w"), F.struct(F.array(word, F.lit("z")).alias("wordIds"), F.col("role").alias("rumi"), F.col("role").alias("bm"), en.alias("en")).alias("s"))
+    rows = load(spark, d, "conversations").groupBy(F.col("conv_id").alias("image"), kind.alias("kind")).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    words = F.when(F.col("kind") == 4, F.array().cast(ocr.WORDS)).otherwise(F.transform("t", lambda t: t["w"]).cast(ocr.WORDS))
+    line = lambda ids, en: F.struct(F.lit(0).alias("line"), F.array(*map(F.lit, ids)).alias("wordIds"), F.lit(en).alias("en"))
+    lines = F.array(line(["a0"], "first"), line(["a0", "a1"], "across")).cast(ocr.LINES)
+    return rows.select("image", words.alias("words"), F.transform("t", lambda t: t["s"]).cast(ocr.SEGMENTS).alias("segments"), lines.alias("line_translations"))
 
 
-def results(spark):
-    return inline(spark, RESULTS, f"image int, words {ocr.WORDS}, segments {ocr.SEGMENTS}, line_translations {ocr.LINES}")
+#: Rows of words that turns of conversations stand for: known lines, phrases, words of the dictionary.
+READ = [tokens for tokens, *_ in LINES] + [tokens for tokens, *_ in PHRASES] + [[LEXICON[i][0], LEXICON[i + 1][0], "latin"] for i in range(0, len(LEXICON) - 1, 2)]
 
 
-def words(spark):
-    return inline(spark, OCR, "image int, line int, pos int, text string, confidence double")
+def words(spark, d):
+    """Turns as lines of words: one in five has a letter too many, one in eleven a number, one in nine no line number."""
+    c, t, i = F.col("conv_id"), F.col("turn"), F.col("pos")
+    read = F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in READ]), ((c * 7 + t) % len(READ) + 1).cast("int"))
+    rows = load(spark, d, "conversations").select("conv_id", "turn", F.posexplode(read).alias("pos", "text"))
+    text = F.when(((c + t) % 5 == 0) & (i == 0), F.concat("text", F.lit("x"))).when(((c + t) % 11 == 0) & (i == 1), "2026").otherwise(F.col("text"))
+    sure = (c * 31 + t * 17 + i * 13) % 60 / 100 + 0.4
+    return rows.select(c.alias("image"), F.when(t % 9 < 8, t).cast("int").alias("line"), (t * 100 + i).alias("pos"), text.alias("text"), sure.alias("confidence"))
 
 
 def word_box_validation(spark, d):
-    return ocr.validate(results(spark)).select("image", "error", F.coalesce(F.size("words"), F.lit(-1)).alias("n_words"))
+    return ocr.validate(results(spark, d)).select("image", "error", F.coalesce(F.size("words"), F.lit(-1)).alias("n_words"))
 
 
 def segment_remap(spark, d):
-    found = ocr.validate(results(spark)).filter("error IS NULL")
+    found = ocr.validate(results(spark, d)).filter("error IS NULL")
     ids = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["line"].cast("string"), F.lit(":"), F.array_join(s["wordIds"], "+"), F.lit("="), s["en"])), ";")
     return found.select("image", ids("segments").alias("segments"), ids("line_translations").alias("lines"))
 
 
 def lexicon_join(spark, d):
     table = inline(spark, LEXICON, "spelling string, rumi string, bm string, en string")
-    return ocr.lexicon_lookup(ocr.readable(words(spark)), table).select("image", "line", "pos", "confidence", "rumi", "bm", "en")
+    return ocr.lexicon_lookup(ocr.readable(words(spark, d)), table).select("image", "line", "pos", "confidence", "rumi", "bm", "en")
 
 
 def phrase_join(spark, d):
     table = inline(spark, PHRASES, "tokens array<string>, rumi string, bm string, en string")
-    return ocr.phrase_lookup(ocr.lines_of(words(spark), ["image"], "pos"), table).select("image", "line", "rumi", "bm", "en")
+    return ocr.phrase_lookup(ocr.lines_of(words(spark, d), ["image"], "pos"), table).select("image", "line", "rumi", "bm", "en")
 
 
 def fuzzy_line_match(spark, d):
     table = inline(spark, LINES, "tokens array<string>, en string")
-    found = ocr.supported_lines(ocr.lines_of(words(spark), ["image"], "pos"), ["image"], table)
+    found = ocr.supported_lines(ocr.lines_of(words(spark, d), ["image"], "pos"), ["image"], table)
     return found.select("image", "line", F.array_join("spelling", " ").alias("spelling"), "en", "distance")
 
 
 def lines_group(spark, d):
-    return ocr.lines_of(words(spark), ["image"], "pos").select("image", "line", F.array_join("tokens", " ").alias("text"), "least")
+    return ocr.lines_of(words(spark, d), ["image"], "pos").select("image", "line", F.array_join("tokens", " ").alias("text"), "least")
 
 
 def ocr_coverage(spark, d):
     table = inline(spark, LEXICON, "spelling string, rumi string, bm string, en string")
-    return ocr.coverage(ocr.lexicon_lookup(words(spark), table), ["image"]).withColumn("ratio", F.round("ratio", 6))
+    return ocr.coverage(ocr.lexicon_lookup(words(spark, d), table), ["image"]).withColumn("ratio", F.round("ratio", 6))
 
 
 QUERIES = {
@@ -163,9 +185,42 @@ QUERIES = {
     )
 }
 
-_V = sql_values(STATEMENTS, ["n", "text"])
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(_list(v) if isinstance(v, list) else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _of(values: list, n: str) -> str:
+    return f"{_list(values)}[({n}) % {len(values)} + 1]"
+
+
+def _words(n: str) -> str:
+    """Words of 0 to 99,999 in SQL."""
+
+    def under_100(x: str) -> str:
+        unit = lambda y: f"{_list(N.UNITS)}[CAST({y} AS BIGINT) + 1]"
+        return f"(CASE WHEN {x} < 12 THEN {unit(x)} WHEN {x} < 20 THEN {unit(f'({x}) % 10')} || ' belas' ELSE {unit(f'({x}) // 10')} || ' puluh' || CASE WHEN ({x}) % 10 > 0 THEN ' ' || {unit(f'({x}) % 10')} ELSE '' END END)"
+
+    def under_1000(x: str) -> str:
+        return f"(CASE WHEN {x} < 100 THEN {under_100(x)} ELSE {under_100(f'({x}) // 100')} || ' ratus' || CASE WHEN ({x}) % 100 > 0 THEN ' ' || {under_100(f'(({x}) % 100)')} ELSE '' END END)"
+
+    return f"(CASE WHEN {n} NOT BETWEEN 0 AND 99999 THEN '' WHEN {n} < 1000 THEN {under_1000(n)} ELSE {under_100(f'({n} // 1000)')} || ' ribu' || CASE WHEN {n} % 1000 > 0 THEN ' ' || {under_1000(f'({n} % 1000)')} ELSE '' END END)"
+
+
+_N = "(SELECT event_id, event_id * 7919 % 100003 AS n FROM events)"
+_FILLED = _of(TOLD, "c_custkey")
+for _name, _value in {
+    "AMOUNT": "'RM' || format('{:,}', s)", "WORDS": _words("said"), "DATE": f"(c_custkey % 28 + 1) || ' ' || {_of(MONTHS, 'c_custkey')} || ' ' || (c_custkey % 40 + 1990)",
+    "PLACE": _of(PLACES, "c_custkey"), "PERSON": _of(PERSONS, "c_custkey + 1"),
+}.items():
+    _FILLED = f"replace({_FILLED}, '{_name}', {_value})"
+_V = f"(SELECT c_custkey AS n, said, {_FILLED} AS text, {_of(PLACES, 'c_custkey')} AS place, {_of(PERSONS, 'c_custkey + 1')} AS person FROM (SELECT c_custkey, c_custkey * 37 % 9000 + 1000 AS s, c_custkey % 9 * 1000 + 1000 + c_custkey % 10 * 100 AS said FROM customer)) AS v"
 _BOTH = f"(SELECT n, text FROM {_V} UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations)"
-_OCR = sql_values(OCR, ["image", "line", "pos", "text", "confidence"])
+_OCR = f"""(SELECT conv_id AS image, CASE WHEN turn % 9 < 8 THEN turn END AS line, turn * 100 + i AS pos,
+    CASE WHEN (conv_id + turn) % 5 = 0 AND i = 0 THEN r[i + 1] || 'x' WHEN (conv_id + turn) % 11 = 0 AND i = 1 THEN '2026' ELSE r[i + 1] END AS text,
+    CAST((conv_id * 31 + turn * 17 + i * 13) % 60 AS DOUBLE) / 100 + CAST(0.4 AS DOUBLE) AS confidence
+    FROM (SELECT *, unnest(range(0, len(r))) AS i FROM (SELECT conv_id, turn, {_of(READ, "conv_id * 7 + turn")} AS r FROM conversations))) AS v"""
 _LEX = sql_values(LEXICON, ["spelling", "rumi", "bm", "en"])
 _LINES = f"l AS (SELECT image, coalesce(line, 0) AS line, list(text ORDER BY pos) AS tokens, min(confidence) AS least FROM {_OCR} GROUP BY image, coalesce(line, 0))"
 
@@ -175,7 +230,6 @@ def _lookup(source: str) -> str:
         FROM (SELECT w.*, x.* EXCLUDE (spelling), confidence >= CASE WHEN spelling IS NOT NULL THEN 0.5 ELSE 0.85 END AS ok FROM {source} w LEFT JOIN (SELECT * FROM {_LEX}) x ON w.text = x.spelling)"""
 
 
-_VALUES = sql_values(VALUES, ["field", "value"])
 ORACLE_SQL = {
     "navigation_intent": f"""SELECT n, CASE WHEN regexp_matches(text, '(?i)(?:buka|pergi|buat|membuat|isi|mengisi|hantar|kemuka|kemukakan)[^\\n]{{0,30}}aduan') THEN 'aduan'
         WHEN regexp_matches(text, '(?i)(?:buka|pergi|analisis|baca|transkripsi)[^\\n]{{0,30}}(?:jawi|tulisan tangan|manuskrip)') THEN 'jawi'
@@ -187,14 +241,17 @@ ORACLE_SQL = {
         ELSE 'Perkhidmatan awam lain' END AS category FROM {_BOTH}""",
     "supported_fields": f"""SELECT n, field, value, contains({S.normal("text")}, {S.normal("value")}) AND CASE field
         WHEN 'siapa' THEN regexp_matches(value, '(?i)\\b(?:{rules.PERSON})\\b') WHEN 'kenapa' THEN regexp_matches(text, '(?i)\\b(?:{rules.CAUSE})\\b')
-        WHEN 'bagaimana' THEN regexp_matches(text, '(?i)\\b(?:{rules.MANNER})\\b') ELSE true END AS supported FROM {_V}, (SELECT * FROM {_VALUES})""",
-    "number_words": "SELECT n, words FROM " + sql_values(list(zip(NUMBERS, NUMBER_NAMES)), ["n", "words"]),
-    "spoken_number": "SELECT words, n FROM " + sql_values(WORDS, ["words", "n"]),
-    "no_new_numbers": "SELECT value, evidence, ok FROM " + sql_values(CLAIMS, ["value", "evidence", "ok"]),
+        WHEN 'bagaimana' THEN regexp_matches(text, '(?i)\\b(?:{rules.MANNER})\\b') ELSE true END AS supported
+        FROM (SELECT n, text, {_list(rules.SUPPORTED_FIELDS)}[i + 1] AS field, list_concat([place, person], {_list(OTHER)})[(n + i) % 5 + 1] AS value FROM (SELECT *, unnest(range(0, {len(rules.SUPPORTED_FIELDS)})) AS i FROM {_V}))""",
+    "number_words": f"SELECT event_id, n, {_words('n')} AS words FROM {_N}",
+    "spoken_number": f"SELECT event_id, {_words('n')} || CASE WHEN event_id % 10 = 0 THEN ' rumah' ELSE '' END AS words, CASE WHEN event_id % 10 > 0 AND n < 100000 THEN n END AS n FROM {_N}",
+    "no_new_numbers": f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN n < 100000 WHEN 1 THEN true WHEN 2 THEN n < 100000 AND contains('meminta ' || {_words('(n + 1)')}, {_words('n')}) ELSE false END AS ok FROM {_N}""",
     "extract_dates": f"SELECT n, nullif(regexp_extract(text, '(?i)\\b\\d{{1,2}}\\s+(?:Januari|Februari|Mac|April|Mei|Jun|Julai|Ogos|September|Oktober|November|Disember)\\s+(?:19|20)\\d{{2}}\\b'), '') AS date FROM {_V}",
-    "extract_amounts": f"SELECT n, regexp_replace(regexp_extract(text, '(?i)\\bRM\\s*\\d[\\d,.]*'), '\\s+', ' ', 'g') AS amount, CASE WHEN text LIKE '%tiga ribu ringgit%' THEN 3000 END AS spoken FROM {_V}",
-    "word_box_validation": "SELECT image, error, n_words FROM " + sql_values([(1, None, 2), (2, ocr.BAD_WORD, -1), (3, ocr.NO_SEGMENTS, -1), (4, ocr.NO_WORDS, -1), (5, None, 2), (6, ocr.BAD_WORD, -1)], ["image", "error", "n_words"]),
-    "segment_remap": "SELECT image, segments, lines FROM " + sql_values([(1, "0:w0=sweet;1:w1=decoration", "0:w0=sweet maiden"), (5, "3:w1=", "")], ["image", "segments", "lines"]),
+    "extract_amounts": f"SELECT n, regexp_replace(regexp_extract(text, '(?i)\\bRM\\s*\\d[\\d,.]*'), '\\s+', ' ', 'g') AS amount, CASE WHEN text LIKE '% ringgit%' THEN said END AS spoken FROM {_V}",
+    "word_box_validation": f"""SELECT conv_id AS image, CASE conv_id % 6 WHEN 2 THEN '{ocr.BAD_WORD}' WHEN 5 THEN '{ocr.BAD_WORD}' WHEN 4 THEN '{ocr.NO_WORDS}' WHEN 3 THEN '{ocr.NO_SEGMENTS}' END AS error,
+        CASE WHEN conv_id % 6 < 2 THEN count(*) ELSE -1 END AS n_words FROM conversations GROUP BY conv_id""",
+    "segment_remap": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE conv_id % 6 < 2)
+        SELECT conv_id AS image, string_agg(turn || ':w' || i || '=' || role || turn, ';' ORDER BY turn) AS segments, CASE WHEN min(turn) = 0 THEN '0:w0=first' || CASE WHEN count(*) = 1 THEN ';0:w0=across' ELSE '' END ELSE '' END AS lines FROM c GROUP BY conv_id""",
     "lexicon_join": _lookup(f"(SELECT image, line, pos, text, CASE WHEN regexp_matches(text, '\\d') THEN least(confidence, 0.49) ELSE confidence END AS confidence FROM {_OCR} WHERE regexp_matches(text, '[\\x{{0600}}-\\x{{08FF}}]') OR regexp_matches(text, '^\\d+$'))"),
     "phrase_join": f"WITH {_LINES} SELECT image, line, rumi, bm, en FROM l JOIN (SELECT * FROM {sql_values(PHRASES, ['tokens', 'rumi', 'bm', 'en'])}) USING (tokens) WHERE least >= 0.85",
     "fuzzy_line_match": f"""WITH {_LINES}, k AS (SELECT * FROM {sql_values(LINES, ["known", "en"])}),
@@ -203,7 +260,6 @@ ORACLE_SQL = {
         b AS (SELECT *, min(distance) OVER (PARTITION BY image, line) AS best FROM q), r AS (SELECT *, count(*) OVER (PARTITION BY image, line) AS ties FROM b WHERE distance = best)
         SELECT image, line, array_to_string(known, ' ') AS spelling, en, distance FROM r WHERE ties = 1""",
     "lines_group": f"WITH {_LINES} SELECT image, line, array_to_string(tokens, ' ') AS text, least FROM l",
-    "ocr_coverage": f"""WITH w AS ({_lookup(_OCR.replace(" AS v(", " AS t("))})
+    "ocr_coverage": f"""WITH w AS ({_lookup(f"(SELECT * FROM {_OCR})")})
         SELECT image, count(*) AS words, count(DISTINCT line) AS lines, count(*) FILTER (en <> '') AS verified, round(count(*) FILTER (en <> '') / count(*), 6) AS ratio, count(*) FILTER (en <> '') / count(*) < 0.45 AS low FROM w GROUP BY image""",
 }
-ORACLE_SQL["ocr_coverage"] = ORACLE_SQL["ocr_coverage"].replace(_OCR.replace(" AS v(", " AS t("), f"(SELECT * FROM {_OCR})")

@@ -1,4 +1,4 @@
-"""Queries on validation and merging: inline cases, and whole tables where the rule can run on them."""
+"""Queries on validation and merging, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,18 +6,17 @@ from pyspark.sql import functions as F
 
 from ..operators import checks
 from ..sources import files
-from ..tables import inline, load, sql_values
+from ..tables import load, sql_values
 
-FORMS = [(1, "apa", "x"), (1, "bila", ""), (2, "apa", ""), (2, "bila", "18 September 2025"), (2, "dimana", "k" * 40)]
 FIELDS = [("apa", True, 10), ("bila", False, 20), ("dimana", False, 30)]
-PARTS = [(1, "apa", 0, "lampu rosak"), (1, "apa", 1, "rosak"), (1, "apa", 2, "di jalan"), (1, "bila", 1, "2025"), (2, "apa", 0, ""), (2, "apa", 1, "b")]
+PARTS = ["lampu rosak", "rosak", "di jalan", ""]
 STEPS = [(None, "view"), ("view", "view"), ("view", "click"), ("click", "view"), ("click", "click"), ("click", "purchase"), ("purchase", "view")]
-ANSWERS = [
-    (1, 0, "ask"), (1, 1, "answer"), (1, 2, "preparing"), (1, 3, "speech_segment"), (1, 4, "frame"), (1, 5, "done"), (1, 6, "ask"), (1, 7, "error"), (2, 0, "answer"), (2, 1, "frame"), (2, 2, "done"),
-    (3, 0, "ask"), (3, 1, "answer"), (3, 2, "speech_segment"), (3, 3, "speech_segment"), (3, 4, None), (3, 5, "done"),
-]
-POINTS = [(1, 0, 0.0, 0.0), (1, 1, 2.0, 0.0), (1, 2, 2.0, 2.0), (1, 3, 0.0, 2.0), (2, 0, 0.0, 0.0), (2, 1, 0.0, 1.0), (2, 2, 1.0, 0.0)]
-IMAGES = [(1, "data:image/png;base64,aGVsbG8="), (2, "data:image/gif;base64,aGVsbG8="), (3, "data:image/webp;base64,a b"), (4, None)]
+KINDS = ["ask", "answer", "preparing", "speech_segment", "frame", "done", "error"]
+IMAGES = ["png", "jpeg", "webp", "gif"]
+
+
+def _pick(values: list[str], n):
+    return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
 
 
 def request_validation(spark, d):
@@ -34,8 +33,10 @@ def frame_validity(spark, d):
 
 
 def form_validation(spark, d):
-    forms = inline(spark, FORMS, "form_id int, field string, value string").groupBy("form_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("values"))
-    return checks.form_errors(forms, FIELDS)
+    """Events as filled-in forms: some lack what is required, some are too long."""
+    n = F.col("event_id")
+    values = F.create_map(F.lit("apa"), F.when(n % 3 == 0, "").otherwise(F.col("event_type")), F.lit("bila"), F.when(n % 4 == 1, "on the eighteenth of September").otherwise(""), F.lit("dimana"), F.repeat(F.lit("k"), (F.col("user_id") % 50).cast("int")))
+    return checks.form_errors(load(spark, d, "events").select(n.alias("form_id"), values.alias("values")), FIELDS)
 
 
 def event_order(spark, d):
@@ -46,11 +47,14 @@ def event_order(spark, d):
 
 def answer_protocol(spark, d):
     """Events of answer sessions that break the order of an answer."""
-    return checks.out_of_order(inline(spark, ANSWERS, "session int, seq int, kind string"), ["session"], ["seq"], "kind")
+    rows = load(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), _pick(KINDS, F.floor(F.col("event_id") / 3)).alias("kind"))
+    return checks.out_of_order(rows, ["session"], ["seq"], "kind")
 
 
 def field_merge(spark, d):
-    return checks.merge_parts(inline(spark, PARTS, "statement int, field string, part int, value string"), "statement", "field", "value", "part")
+    """What a user's events of a kind add to one value."""
+    rows = load(spark, d, "events").select(F.col("user_id").alias("statement"), F.col("event_type").alias("field"), F.col("event_id").alias("part"), F.concat(_pick(PARTS, F.col("event_id")), F.when(F.col("event_id") % 8 == 2, F.get_json_object("props", "$.k")).otherwise("")).alias("value"))
+    return checks.merge_parts(rows, "statement", "field", "value", "part")
 
 
 def conversation_merge(spark, d):
@@ -59,11 +63,17 @@ def conversation_merge(spark, d):
 
 
 def polygon_areas(spark, d):
-    return checks.polygon_area(inline(spark, POINTS, "shape int, n int, x double, y double"), "shape", "n")
+    """Vectors as polygons: two neighbouring values, in thousandths, are a point."""
+    at = lambda i: F.floor(F.get("embedding", i).cast("double") * 1000).cast("double")
+    points = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), lambda i: F.struct(i.alias("n"), at(i * 2).alias("x"), at(i * 2 + 1).alias("y")))
+    rows = load(spark, d, "embeddings").select(F.col("vec_id").alias("shape"), F.explode(points).alias("p")).select("shape", "p.*")
+    return checks.polygon_area(rows, "shape", "n")
 
 
 def image_data_urls(spark, d):
-    return inline(spark, IMAGES, "n int, url string").select("n", F.length(files.image_bytes(F.col("url"))).alias("bytes"))
+    """Documents as images in data addresses; a quarter is of a kind that isn't read."""
+    url = F.concat(F.lit("data:image/"), _pick(IMAGES, F.col("doc_id")), F.lit(";base64,"), F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")))
+    return load(spark, d, "documents").select("doc_id", F.octet_length(files.image_bytes(url)).alias("bytes"))
 
 
 def line_translation_join(spark, d):
@@ -80,17 +90,20 @@ ORACLE_SQL = {
         FROM documents, (VALUES ('question', 4000), ('transcript', 12000), ('speech', 2000), ('other', NULL)) AS k(kind, most)""",
     "frame_validity": """SELECT doc_id, seq, CASE WHEN text IS NULL OR strlen(text) < 3200 * (seq + 1) THEN 'not one frame' END AS error
         FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(coalesce(strlen(text), 0) / 3200) AS BIGINT), 1))) AS seq FROM documents)""",
-    "form_validation": "SELECT form_id, field, error FROM (VALUES (2, 'apa', 'required'), (2, 'dimana', 'max')) AS v(form_id, field, error)",
-    "field_merge": "SELECT statement, field, value FROM (VALUES (1, 'apa', 'lampu rosak; di jalan'), (1, 'bila', '2025'), (2, 'apa', 'b')) AS v(statement, field, value)",
+    "form_validation": """SELECT event_id AS form_id, 'apa' AS field, 'required' AS error FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'bila', 'max' FROM events WHERE event_id % 4 = 1
+        UNION ALL SELECT event_id, 'dimana', 'max' FROM events WHERE user_id % 50 > 30""",
+    "field_merge": """WITH p AS (SELECT user_id, event_type, event_id, ['lampu rosak', 'rosak', 'di jalan', ''][event_id % 4 + 1] || CASE WHEN event_id % 8 = 2 THEN json_extract_string(props, '$.k') ELSE '' END AS v FROM events)
+        SELECT user_id AS statement, event_type AS field, list_reduce(list(v ORDER BY event_id), lambda d, x: CASE WHEN contains(d, x) THEN d ELSE d || '; ' || x END) AS value FROM p WHERE v <> '' GROUP BY ALL""",
     "conversation_merge": """WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) SELECT conv_id, 'role' AS field, string_agg(role, '; ' ORDER BY t) AS role FROM f GROUP BY conv_id""",
-    "polygon_areas": f"""WITH p AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM {sql_values(POINTS, ["shape", "n", "x", "y"])} WINDOW w AS (PARTITION BY shape ORDER BY n))
-        SELECT shape, sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y) / 2 AS area FROM p GROUP BY shape""",
-    "image_data_urls": "SELECT n, bytes FROM (VALUES (1, 5), (2, NULL), (3, NULL), (4, NULL)) AS v(n, bytes)",
+    "polygon_areas": """WITH p AS (SELECT vec_id AS shape, n, floor(CAST(embedding[2 * n + 1] AS DOUBLE) * 1000) AS x, floor(CAST(embedding[2 * n + 2] AS DOUBLE) * 1000) AS y FROM (SELECT *, unnest(range(0, len(embedding) // 2)) AS n FROM embeddings)),
+        q AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM p WINDOW w AS (PARTITION BY shape ORDER BY n))
+        SELECT shape, sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y) / 2 AS area FROM q GROUP BY shape""",
+    "image_data_urls": "SELECT doc_id, CASE WHEN doc_id % 4 <> 3 AND text <> '' THEN strlen(text) END AS bytes FROM documents",
     "line_translation_join": """SELECT e.event_id, e.user_id, hour(e.ts) AS line, l.en AS line_en FROM events e LEFT JOIN
         (SELECT user_id, hour(ts) AS line, CAST(count(*) AS VARCHAR) AS en FROM events WHERE event_type = 'purchase' GROUP BY ALL) l ON e.user_id = l.user_id AND hour(e.ts) = l.line""",
     "event_order": """WITH e AS (SELECT event_id, user_id, event_type AS kind, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
         SELECT event_id, user_id, before, kind FROM e WHERE NOT CASE kind WHEN 'view' THEN before IS NULL OR before IN ('view', 'click', 'purchase') WHEN 'click' THEN coalesce(before IN ('view', 'click'), false)
         WHEN 'purchase' THEN coalesce(before = 'click', false) ELSE false END""",
-    "answer_protocol": """SELECT session, seq, kind, before FROM (VALUES (2, 0, 'answer', NULL), (2, 1, 'frame', 'answer'), (3, 3, 'speech_segment', 'speech_segment'), (3, 4, NULL, 'speech_segment'), (3, 5, 'done', NULL))
-        AS v(session, seq, kind, before)""",
+    "answer_protocol": f"""WITH e AS (SELECT user_id AS session, event_id AS seq, {KINDS}[event_id // 3 % {len(KINDS)} + 1] AS kind FROM events), b AS (SELECT *, lag(kind) OVER (PARTITION BY session ORDER BY seq) AS before FROM e)
+        SELECT session, seq, kind, before FROM b WHERE NOT EXISTS (SELECT 1 FROM {sql_values(checks.ANSWER_STEPS, ["was", "now"])} WHERE v.was IS NOT DISTINCT FROM before AND v.now = kind)""",
 }

@@ -25,14 +25,19 @@ def canonical_page_url(spark, d):
     return pages(spark, d).select("page_id", U.page_url(url, KEYS).alias("canonical"), U.is_page(url, U.origin(url), "/en").alias("is_page"))
 
 
-FILES = [
-    (1, "https://Site.example/a/b.PDF?x=1#p2"), (2, "https://site.example/a/b.pdf?y=2"), (3, "https://site.example/list?page=2#top"), (4, "https://site.example"),
-    (5, "https://site.example/img/x.jpeg?size=3"), (6, "not an address"), (7, "https://site.example/media/a%20b+c.mp3"), (8, None), (9, "https://site.example/ms/a?view=x&tmpl=y"), (10, "https://site.example/x.webm?d#e"),
-]
+#: What pages' addresses are followed by, in turn, to name files and queries.
+ENDINGS = ["/a/b.PDF?x=1#p2", "/list?page=2#top", "/img/x.jpeg?size=3", "/media/a%20b+c.mp3", "/ms/a?view=x&tmpl=y", "/x.webm?d#e", "", "#part"]
+
+
+def files(spark, d):
+    """Addresses of pages with endings; some are none."""
+    n = F.col("page_id")
+    url = F.when(n % 13 == 6, "not an address").otherwise(F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.element_at(F.array(*map(F.lit, ENDINGS)), (n % len(ENDINGS) + 1).cast("int"))))
+    return pages(spark, d).select(n.alias("n"), url.alias("url"))
 
 
 def canonical_media_url(spark, d):
-    rows = inline(spark, FILES, "n int, url string")
+    rows = files(spark, d)
     ext = U.extension(F.col("url"), F.lit("image/png"))
     return rows.select("n", U.media_url(F.col("url")).alias("media_url"), U.bare_url(F.col("url")).alias("bare_url"), U.last_segment(F.col("url")).alias("name"), ext.alias("ext"), U.category(ext).alias("category"))
 
@@ -63,19 +68,7 @@ def page_links(spark, d):
 
 
 def media_links(spark, d):
-    rows = inline(spark, MARKUP, "n int, html string")
-    return rows.select("n", F.posexplode(F.array_sort(F.array_distinct(P.media_references(F.col("html"))))).alias("pos", "value"))
-
-
-MARKUP = [
-    (1, '<img src="/a.png" srcset="/a-1.png 1x, /a-2.png 2x"><a href="doc.pdf">d</a>'),
-    (2, '<video poster="p.jpg" src="v.mp4"></video><meta property="og:image" content="https://site.example/o.png">'),
-    (3, "<p>none</p>"),
-    (4, '<object data="x.svg"></object><a class="c" href="b.zip?x=1&amp;y=2">z</a>'),
-]
-MEDIA_EXPECTED = [
-    (1, ["/a-1.png", "/a-2.png", "/a.png", "doc.pdf"]), (2, ["https://site.example/o.png", "p.jpg", "v.mp4"]), (4, ["b.zip?x=1&y=2", "x.svg"]),
-]
+    return pages(spark, d).select("page_id", F.explode(F.array_distinct(P.media_references(F.col("html")))).alias("value"))
 
 
 def frontier_antijoin(spark, d):
@@ -156,9 +149,11 @@ MIMES = ["text/html", "image/svg+xml", "application/pdf", "image/png", "applicat
 
 
 def mime_safety(spark, d):
-    rows = inline(spark, [(m,) for m in MIMES], "mime string")
-    name = F.concat(F.repeat(F.lit("a"), F.lit(24)), F.lit(".pdf"))
-    return rows.select("mime", U.disposition(F.col("mime")).alias("serve"), U.safe_filename(name).alias("safe"))
+    """How files of pages would be served, by a type in turn; the name of every fifth isn't one of ours."""
+    n = F.col("page_id")
+    mime = F.element_at(F.array(*map(F.lit, MIMES)), (n % len(MIMES) + 1).cast("int"))
+    name = F.concat(F.when(n % 5 == 0, "../x").otherwise(U.asset_id(F.col("url"))), F.lit(".pdf"))
+    return pages(spark, d).select("page_id", mime.alias("mime"), name.alias("name")).select("page_id", "mime", U.disposition(F.col("mime")).alias("serve"), U.safe_filename(F.col("name")).alias("safe"))
 
 
 def queryable_documents(spark, d):
@@ -256,7 +251,16 @@ def _inner(tag):
     return S.clean(_unescape(inner))
 
 
-_FILES = sql_values(FILES, ["n", "url"])
+_FILES = f"""(SELECT page_id AS n, CASE WHEN page_id % 13 = 6 THEN 'not an address' ELSE regexp_replace(url, '[?#].*$', '') || {ENDINGS}[page_id % {len(ENDINGS)} + 1] END AS url FROM pages) AS v"""
+
+
+def _references() -> str:
+    """Every value that may name a file, with its page."""
+    parts = [rf"""SELECT page_id, unnest(regexp_extract_all(html, '<(?:a|img|source|video|audio|iframe|object)\s(?:[^>]*?\s)?{name}="([^"]*)"', 1, 'is')) AS h FROM pages""" for name in P.ATTRIBUTES]
+    sets = r"""SELECT page_id, regexp_extract(trim(e), '^(\S*)', 1) FROM (SELECT page_id, unnest(string_split(s, ',')) AS e FROM (SELECT page_id, unnest(regexp_extract_all(html, '\s(?:data-)?srcset="([^"]*)"', 1, 'is')) AS s FROM pages))"""
+    image = r"""SELECT page_id, unnest(regexp_extract_all(html, '<meta\s[^>]*property="og:image"[^>]*content="([^"]*)"', 1, 'is')) FROM pages"""
+    return " UNION ALL ".join([*parts, sets, image])
+
 
 ORACLE_SQL = {
     "canonical_page_url": rf"""SELECT page_id, {_page("url")} AS canonical,
@@ -271,7 +275,7 @@ ORACLE_SQL = {
     "stable_ids": f"SELECT page_id, sha256(url || CAST(page_id % 3 AS VARCHAR))[1:16] AS document_id, sha256(url)[1:24] AS asset_id, {_name('url')} AS name FROM pages",
     "page_title": f"SELECT page_id, coalesce(nullif({_inner('h1')}, ''), {_inner('title')}) AS title FROM pages",
     "page_links": f"WITH {_HREFS} SELECT page_id, link, count(*) AS n FROM abs WHERE link IS NOT NULL GROUP BY ALL",
-    "media_links": "SELECT n, pos - 1 AS pos, vs[pos] AS value FROM (SELECT n, vs, unnest(range(1, len(vs) + 1)) AS pos FROM " + sql_values(MEDIA_EXPECTED, ["n", "vs"]) + ")",
+    "media_links": f"SELECT DISTINCT page_id, {_unescape('h')} AS value FROM ({_references()}) WHERE {_unescape('h')} <> ''",
     "frontier_antijoin": f"WITH {_HREFS} SELECT DISTINCT {_page('link')} AS url FROM abs WHERE link IS NOT NULL EXCEPT SELECT {_page('url')} FROM pages",
     "robots_filter": f"SELECT page_id, url FROM pages WHERE NOT starts_with({_path('url')}, '/de') AND NOT starts_with({_path('url')}, '/en/1')",
     "page_main_text": f"SELECT page_id, length(t) AS chars, md5(regexp_replace(regexp_replace(regexp_replace(t, '[\\t ]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM (SELECT page_id, {_text()} AS t FROM pages)",
@@ -286,7 +290,7 @@ ORACLE_SQL = {
     "local_source_join": f"""WITH {_MANIFEST}, saved AS (SELECT url, min(id) AS asset FROM manifest WHERE status = 'saved' GROUP BY url)
         SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 2 <> 0 THEN '/api/archive/document/' || page_id WHEN asset IS NOT NULL THEN '/api/archive/media/' || asset || CASE WHEN page_id % 3 <> 0 THEN '#page=' || (page_id % 3) ELSE '' END END AS local_url
         FROM pages LEFT JOIN saved USING (url)""",
-    "mime_safety": "SELECT mime, CASE WHEN regexp_matches(mime, 'html|svg|xml|javascript') THEN 'sandbox' WHEN mime = 'application/pdf' THEN 'attachment' ELSE 'inline' END AS serve, true AS safe FROM " + sql_values([(m,) for m in MIMES], ["mime"]),
+    "mime_safety": f"SELECT page_id, mime, CASE WHEN regexp_matches(mime, 'html|svg|xml|javascript') THEN 'sandbox' WHEN mime = 'application/pdf' THEN 'attachment' ELSE 'inline' END AS serve, page_id % 5 <> 0 AS safe FROM (SELECT page_id, {[m or 'none' for m in MIMES]}[page_id % {len(MIMES)} + 1] AS mime FROM pages)".replace("page_id, mime,", "page_id, nullif(mime, 'none') AS mime,"),
     "queryable_documents": f"""WITH t AS (SELECT page_id, url, {_text()} AS body FROM pages),
         p AS (SELECT page_id, url || CASE WHEN page_id % 9 = 4 THEN '?view=category' ELSE '' END AS url, CASE WHEN page_id % 5 < 2 THEN 'FaLang translation system by Faboba ' ELSE '' END AS head,
           CASE WHEN page_id % 5 = 0 THEN substring(body, 1, 100) ELSE body END AS body FROM t)
