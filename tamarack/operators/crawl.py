@@ -75,8 +75,12 @@ def fetch_all(queue: DataFrame, fetch: Callable[[str], None], ways: int = WAYS)
 
 
 def settle(pending: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Adds state (saved, failed, requeued, waiting) and error to the queue (ord, url); requeued ones failed too, but stay at its head."""
-    done = outcomes.groupBy(F.col("url").alias("_url")).agg(F.min("error").alias("error"))
+    """Adds state (saved, failed, requeued, waiting) and error to the queue (ord, url); requeued ones failed too, but stay at its head.
+
+    An address that was tried several times is saved if one try stored it.
+    """
+    stored = F.bool_or(F.col("error").isNull())
+    done = outcomes.groupBy(F.col("url").alias("_url")).agg(F.when(~stored, F.min("error")).alias("error"))
     rows = pending.join(done, F.col("url") == F.col("_url"), "left")
     state = F.when(F.col("_url").isNull(), "waiting").when(F.col("error").isNull(), "saved").when(F.contains("error", F.lit(DISK_FULL)), "requeued").otherwise("failed")
     return rows.withColumn("state", state).drop("_url")

@@ -52,8 +52,9 @@ def write(chunks: DataFrame, path: str) -> SearchIndex:
     return index
 
 
-def best(index: SearchIndex, question: str, k: int = 8) -> DataFrame:
-    """The k best chunks with matched and score; ties keep corpus order. The k keys come to the driver, to fetch their texts."""
+def best(index, question: str, k: int = 8) -> DataFrame:
+    """The k best chunks of a written or a segmented index with matched and score; ties keep corpus order. The k keys come to
+    the driver, to fetch their texts."""
     asked = query_terms(question)
     found = []
     if asked:

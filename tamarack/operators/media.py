@@ -54,8 +54,9 @@ def saved(manifest: DataFrame, category: str | None = None) -> DataFrame:
 
 
 def lookup(rows: DataFrame, key: str, value) -> DataFrame:
-    """The row of a key, or none; where keys repeat, any one of its rows."""
-    return rows.filter(F.col(key) == F.lit(value)).limit(1)
+    """The row of a key, or none; where keys repeat, the smallest row by its columns in order."""
+    one = rows.filter(F.col(key) == F.lit(value)).agg(F.min(F.struct(*rows.columns)).alias("row"))
+    return one.filter("row IS NOT NULL").select("row.*")
 
 
 def with_local_links(hits: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evidence, index, search
+from ..operators import evidence, index, search, segments
 from ..operators.chunk import chunk, chunk_texts
 from ..tables import load
+from ..workspace import new_path, written
 from . import sql as S
 
 QUESTION = "What is the tion of erin and heon"
@@ -116,6 +117,16 @@ def answer_policy(spark, d):
     return out
 
 
+def changed_index(spark, d):
+    """The best chunks after documents have come, changed and gone from an index of nine tenths of them."""
+    n, text = F.col("doc_id"), F.col("text")
+    table = segments.SegmentedIndex(spark, new_path(spark, "segments"))
+    table.apply(docs(spark, d).filter(n % 10 != 3).select("doc_id", "text"))
+    edited = docs(spark, d).filter((n % 10 == 3) | (n % 17 == 5)).select("doc_id", F.when(n % 17 == 5, F.concat(text, F.lit(". " + QUESTION + " anew."))).otherwise(text).alias("text"))
+    table.apply(edited, docs(spark, d).filter(n % 23 == 7).select("doc_id"))
+    return index.best(table, QUESTION).select("doc_id", "chunk_no", F.round("score", 6).alias("score"))
+
+
 def quote_containment(spark, d):
     """Benchmark passages of at least 7 words that stand in a document, after normalising both.
 
@@ -124,12 +135,17 @@ def quote_containment(spark, d):
     key = 5
     words = F.split(T.normalize(F.col("text")), " ")
     quotes = load(spark, d, "benchmark").select("item_id", T.normalize(F.col("text")).alias("q"), words.alias("w")).filter(F.size("w") >= 7)
-    quotes = quotes.select("item_id", "q", F.xxhash64(F.array_join(F.slice("w", 2, key), " ")).alias("k"))
-    texts = docs(spark, d).select("doc_id", T.normalize(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
-    w = F.col("w")
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - key + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, key), " "))))
-    hits = texts.select("doc_id", "t", F.explode(windows).alias("k")).join(quotes, "k").filter(F.contains("t", "q"))
-    return hits.select("item_id", "doc_id").distinct()
+    quotes = written(quotes.select("item_id", "q", F.xxhash64(F.array_join(F.slice("w", 2, key), " ")).alias("k")), "quotes")
+
+    def windows(w):
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - key + 1, F.lit(1)))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, key), " "))))
+
+    # windows go without their text; only documents that share one with a passage are read again
+    rows = docs(spark, d).select("doc_id", F.split(T.normalize(F.col("text")), " ").alias("w"))
+    hits = written(rows.select("doc_id", F.explode(windows(F.col("w"))).alias("k")).join(quotes.select("item_id", "k"), "k").select("doc_id", "item_id").distinct(), "shared-windows")
+    texts = docs(spark, d).select("doc_id", "text").join(hits, "doc_id").join(quotes.select("item_id", "q"), "item_id")
+    return texts.filter(F.contains(T.normalize(F.col("text")), "q")).select("item_id", "doc_id").distinct()
 
 
 _R = "WITH RECURSIVE " + S.CHUNKS
@@ -158,7 +174,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_terms, term_frequency, document_frequency, corpus_stats, chunk_documents, chunk_ordinals, bm25_scores, bm25_topk, search_threshold, search_many,
-        sentence_split, extract_evidence, extract_evidence_all, validate_evidence, citation_numbers, answer_policy, quote_containment,
+        sentence_split, extract_evidence, extract_evidence_all, validate_evidence, citation_numbers, answer_policy, changed_index, quote_containment,
     )
 }
 
@@ -183,6 +199,8 @@ ORACLE_SQL = {
     "chunk_ordinals": _R + " SELECT doc_id, len(cs) AS n_chunks, CASE WHEN len(cs) > 0 THEN len(cs) - 1 END AS last_chunk_no FROM texts",
     "bm25_scores": _R + "," + S.scored(TOKENS) + " SELECT doc_id, chunk_no, matched, round(score, 6) AS score FROM scored",
     "bm25_topk": _TOP + " SELECT doc_id, chunk_no, round(score, 6) AS score FROM hits",
+    "changed_index": _TOP.replace("FROM documents", "FROM now_").replace("WITH RECURSIVE", """WITH RECURSIVE now_ AS (
+        SELECT doc_id, CASE WHEN doc_id % 17 = 5 THEN text || '. """ + QUESTION + """ anew.' ELSE text END AS text FROM documents WHERE doc_id % 23 <> 7 OR doc_id % 10 = 3 OR doc_id % 17 = 5),""", 1) + " SELECT doc_id, chunk_no, round(score, 6) AS score FROM hits",
     "search_threshold": _R + "," + S.scored(TOKENS) + " SELECT matched, count(*) AS chunks FROM scored GROUP BY matched",
     "search_many": _many(),
     "sentence_split": f"SELECT doc_id, len(s) AS n_sentences, list_max(list_transform(s, lambda x: length(x))) AS longest, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {S.sentences(S.clean('text'))} AS s FROM documents)",

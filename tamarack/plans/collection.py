@@ -26,7 +26,10 @@ def media_of_category(spark, d):
 
 
 def document_lookup(spark, d):
-    return media.lookup(load(spark, d, "documents"), "doc_id", 7).select("doc_id", F.md5("text").alias("digest"))
+    """The document that the newest event asks for."""
+    rows = load(spark, d, "documents")
+    asked = load(spark, d, "events").agg(F.max_by("user_id", F.struct("ts", "event_id"))).first()[0]  # one number
+    return media.lookup(rows, "doc_id", asked).select("doc_id", F.md5("text").alias("digest"))
 
 
 def page_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -123,13 +126,13 @@ pixels AS (SELECT image, i // {WIDTH} AS y, i % {WIDTH} AS x, unicode(c) % 256 A
 _VALID, _BEST = archive.ORACLE_SQL["validate_evidence"], archive.ORACLE_SQL["extract_evidence"]
 ORACLE_SQL = {
     "media_of_category": f"WITH {ingest._MANIFEST} SELECT id, url, bytes FROM manifest WHERE status = 'saved' AND category = 'fail'",
-    "document_lookup": "SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id = 7",
+    "document_lookup": "SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id = (SELECT user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1)",
     "skipped_files": f"""WITH {_ROWS} SELECT url, CASE WHEN n % 7 = 0 THEN 'too large' ELSE 'scanned' END AS reason FROM rows_ GROUP BY n, url HAVING n % 7 = 0 OR sum(length(text)) < 120""",
     "indexed_pages": f"""WITH {_ROWS}, own AS (SELECT url, page, {_TIDY.format("text")} AS t, false AS transcribed FROM rows_ WHERE n % 7 <> 0),
         fit AS (SELECT * FROM own WHERE length(t) >= 120), written AS (SELECT url, 2 AS page, {_TIDY.format("body")} AS t, true AS transcribed FROM rows_ WHERE page = 2 AND n % 7 <> 0)
         SELECT sha256(url || page)[1:16] AS id, url, page, md5(t) AS digest, transcribed FROM (SELECT * FROM fit UNION ALL SELECT * FROM written WHERE length(t) >= 120 AND url NOT IN (SELECT url FROM fit))""",
     "mirror_queue": """WITH o AS (SELECT url, CASE WHEN page_id % 7 = 0 THEN 'HTTP 404' WHEN page_id % 11 = 0 THEN 'local disk reserve reached' END AS e FROM pages WHERE page_id % 3 <> 0),
-        u AS (SELECT url, min(e) AS error, true AS tried FROM o GROUP BY url)
+        u AS (SELECT url, CASE WHEN bool_and(e IS NOT NULL) THEN min(e) END AS error, true AS tried FROM o GROUP BY url)
         SELECT page_id AS ord, url, error, CASE WHEN tried IS NULL THEN 'waiting' WHEN error IS NULL THEN 'saved' WHEN error LIKE '%reserve%' THEN 'requeued' ELSE 'failed' END AS state FROM pages LEFT JOIN u USING (url)""",
     "top_up_evidence": f"""WITH v AS (SELECT ord, quote FROM ({_VALID}) ORDER BY ord LIMIT 2), e AS (SELECT ord, quote FROM ({_BEST}) QUALIFY row_number() OVER (PARTITION BY quote ORDER BY ord) = 1),
         b AS (SELECT ord, quote, 0 AS part FROM v UNION ALL SELECT ord, quote, 1 FROM e WHERE quote NOT IN (SELECT quote FROM v))

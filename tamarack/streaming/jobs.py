@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.crawl import upsert
+from ..workspace import file_system, fresh, written
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -37,21 +39,68 @@ def run_available(out: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     return query
 
 
-def upsert_into(spark: SparkSession, path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the newest row of each key as a table of generations.
+#: Parts of a table by the hash of its key, and generations that stay readable.
+PARTS, KEPT = 64, 2
+_COMMIT = "part int, generation long"
 
-    A batch writes generation b from the newest finished one before b and its own rows, so a batch that runs twice after a
-    failure writes the same generation again. Readers take the newest generation that has its _SUCCESS file.
+
+def upsert_into(spark: SparkSession, path: str, key: str, order: str, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the newest row of each key in a table of parts, by the hash of the key.
+
+    A batch reads the parts that its keys fall into and writes only these anew, under its own number, and then a commit that
+    says which number each part has now. A batch that runs twice after a failure starts from the commit before it and
+    writes the same again. Parts that the last KEPT commits don't name are removed.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        before = latest_generation(spark, path, number)
-        rows = batch if before is None else spark.read.parquet(f"{path}/g={before}").unionByName(batch)
-        upsert(rows, key, order).drop("first_order").write.mode("overwrite").parquet(f"{path}/g={number}")
+        before = latest_generation(spark, f"{path}/commits", number)
+        known = {} if before is None else _parts(spark, path, before)
+        name = fresh(batch.columns, "part")
+        part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")
+        rows = written(upsert(batch, key, order).drop("first_order").withColumn(name, part), "upsert-batch")
+        touched = sorted(r[0] for r in rows.select(name).distinct().collect())  # at most `parts`
+        old = [f"{path}/rows/g={known[p]}/{name}={p}" for p in touched if p in known]
+        both = rows
+        if old:
+            stored = [spark.read.schema(batch.schema).parquet(at) for at in old]
+            both = rows.drop(name).unionByName(reduce(DataFrame.unionByName, stored)).withColumn(name, part)
+            both = upsert(both, key, order).drop("first_order")
+        both.repartition(name).write.mode("overwrite").partitionBy(name).parquet(f"{path}/rows/g={number}")
+        now = known | {p: number for p in touched}
+        spark.createDataFrame(sorted(now.items()), _COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/g={number}")
+        _remove_unnamed(spark, path, name)
 
     return sink
 
 
+def _parts(spark: SparkSession, path: str, generation: int) -> dict[int, int]:
+    return {r["part"]: r["generation"] for r in spark.read.schema(_COMMIT).parquet(f"{path}/commits/g={generation}").collect()}  # a row a part
+
+
+def _remove_unnamed(spark: SparkSession, path: str, name: str) -> None:
+    newest = latest_generation(spark, f"{path}/commits")
+    last = [newest]
+    while len(last) < KEPT and (g := latest_generation(spark, f"{path}/commits", last[-1])) is not None:
+        last.append(g)
+    named = {(p, g) for commit in last for p, g in _parts(spark, path, commit).items()}
+    fs, at = file_system(spark, f"{path}/rows")
+    for generation in fs.listStatus(at):
+        number = int(generation.getPath().getName()[2:])
+        for status in fs.listStatus(generation.getPath()):
+            found = status.getPath().getName()
+            if found.startswith(f"{name}=") and (int(found[len(name) + 1 :]), number) not in named and number <= newest:
+                fs.delete(status.getPath(), True)
+
+
+def upserted(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that `upsert_into` keeps, at its newest commit."""
+    newest = latest_generation(spark, f"{path}/commits")
+    if newest is None:
+        return spark.createDataFrame([], schema)
+    name = fresh([f.name for f in schema], "part")
+    return spark.read.schema(schema).parquet(*[f"{path}/rows/g={g}/{name}={p}" for p, g in _parts(spark, path, newest).items()])
+
+
 def latest_generation(spark: SparkSession, path: str, below: int | None = None) -> int | None:
     """The newest finished generation, or the newest below a number."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
