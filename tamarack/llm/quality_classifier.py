@@ -39,6 +39,8 @@ BUCKETS, MOST_TARGET, MOST_LABELLED, KEEP, LOSS, SMOOTH, SHARP, SEED = 1 << 14,
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 _hashes: dict[str, int] = {}
+#: Words whose hashes a Python worker keeps.
+MOST_WORDS = 50_000
 
 
 def buckets(text: str) -> np.ndarray:
@@ -46,7 +48,7 @@ def buckets(text: str) -> np.ndarray:
     tokens = _TOKEN.findall(text)
     if not tokens:
         return np.zeros(0, np.int64)
-    if len(_hashes) > 150_000:
+    if len(_hashes) > MOST_WORDS:
         _hashes.clear()
     known = _hashes
     for t in set(tokens).difference(known):
@@ -94,6 +96,8 @@ def importance(docs: DataFrame, ratio: np.ndarray, text: str = "text", keep_text
             found = [buckets(t) for t in texts_of(batch, text)]
             arrays = [pa.array([float(table[b].sum()) for b in found], pa.float64()), pa.array([len(b) for b in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], [*keep, "log_importance", "n_grams"])
+        _hashes.clear()  # the worker goes on to other work
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])]).mapInArrow(run, schema)
 

@@ -258,6 +258,7 @@ def signatures(rows: DataFrame, tables: int = TABLES, similar: float = SIMILAR)
                     kept.append(i)
             own = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), pa.array(prints, pa.list_(pa.int64())), pa.array(tokens, pa.binary()), pa.array(needs, pa.int32())], [*names, "prints", "tokens", "need"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other work
 
     return rows.mapInArrow(run, schema)
 
