@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from tamarack.sources import files
-from tamarack.streaming.jobs import latest_generation, run_available, speech_pairs, upsert_into
+from tamarack.streaming.jobs import latest_generation, run_available, speech_pairs, upsert_into, upserted
 
 
 def test_json_files(spark, tmp_path):
@@ -42,8 +42,8 @@ def test_an_upsert_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     for batch, rows in enumerate(([("a", 1, "x"), ("b", 2, "y")], [("a", 3, "z")])):
         spark.createDataFrame(rows, "k string, n int, v string").coalesce(1).write.mode("append").parquet(source)
         run_available(spark.readStream.schema("k string, n int, v string").parquet(source), upsert_into(spark, table, "k", "n"), at)
-        assert latest_generation(spark, table) == batch
-    got = {r["k"]: (r["n"], r["v"]) for r in spark.read.parquet(f"{table}/g=1").collect()}
+        assert latest_generation(spark, f"{table}/commits") == batch
+    got = {r["k"]: (r["n"], r["v"]) for r in upserted(spark, table, spark.read.parquet(source).schema).collect()}
     assert got == {"a": (3, "z"), "b": (2, "y")}
 
 
