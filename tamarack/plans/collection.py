@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import crawl, evidence, ink, media
-from ..sources import page_texts
+from ..sources import page_texts, speech_store
 from ..sources import pages as P
 from ..streaming.jobs import run_available, use_rocksdb
 from ..streaming.jobs import speech_pairs as pairs
 from ..streaming.transcripts import stream_transcripts
 from ..tables import load
-from ..workspace import shared_dir
+from ..workspace import new_path, shared_dir
 from . import archive, ingest
 
 WIDTH, GAP = 64, 2
@@ -110,10 +110,19 @@ def streaming_transcripts(spark, d):
     return spark.read.parquet(f"{at}/out").select("conv_id", "turn", "type", "text")
 
 
+def stored_speech(spark, d):
+    """Turns as speech: their roles are texts that come very often; a text of odd length or of another rate isn't stored."""
+    at, turns = new_path(spark, "voices"), load(spark, d, "conversations")
+    text = F.when(F.col("turn") % 2 == 0, F.concat_ws(" ", "role", "turn")).otherwise(F.substring("text", 1, 40))
+    rows = turns.select(text.alias("text"), F.encode(text, "UTF-8").alias("pcm"), F.when(F.col("conv_id") % 9 == 4, 8000).otherwise(24_000).alias("rate"))
+    speech_store.write(rows, at)
+    return speech_store.read(spark, at).select("text", "rate", F.md5("pcm").alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        media_of_category, document_lookup, skipped_files, indexed_pages, mirror_queue, top_up_evidence, word_tokens, grey_ink_rows, colour_ink_groups, speech_pairs, streaming_transcripts,
+        stored_speech, media_of_category, document_lookup, skipped_files, indexed_pages, mirror_queue, top_up_evidence, word_tokens, grey_ink_rows, colour_ink_groups, speech_pairs, streaming_transcripts,
     )
 }
 
@@ -125,6 +134,8 @@ _PIXELS = f"""chars AS (SELECT doc_id AS image, unnest(string_split(text, '')) A
 pixels AS (SELECT image, i // {WIDTH} AS y, i % {WIDTH} AS x, unicode(c) % 256 AS grey FROM chars)"""
 _VALID, _BEST = archive.ORACLE_SQL["validate_evidence"], archive.ORACLE_SQL["extract_evidence"]
 ORACLE_SQL = {
+    "stored_speech": """WITH t AS (SELECT CASE WHEN turn % 2 = 0 THEN role || ' ' || turn ELSE substring(text, 1, 40) END AS text FROM conversations WHERE conv_id % 9 <> 4)
+        SELECT DISTINCT text, 24000 AS rate, md5(text) AS digest FROM t WHERE strlen(text) > 0 AND strlen(text) % 2 = 0""",
     "media_of_category": f"WITH {ingest._MANIFEST} SELECT id, url, bytes FROM manifest WHERE status = 'saved' AND category = 'fail'",
     "document_lookup": "SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id = (SELECT user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1)",
     "skipped_files": f"""WITH {_ROWS} SELECT url, CASE WHEN n % 7 = 0 THEN 'too large' ELSE 'scanned' END AS reason FROM rows_ GROUP BY n, url HAVING n % 7 = 0 OR sum(length(text)) < 120""",

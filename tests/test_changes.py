@@ -134,3 +134,16 @@ def test_frames_are_the_bytes_in_order(spark, count):
             if cut:
                 want[s] = cut
         assert got == want
+
+
+def test_speech_is_stored_once(spark, tmp_path):
+    from tamarack.sources import speech_store
+
+    at = str(tmp_path / "voices")
+    rows = [("a", b"12", 24_000)] * 200 + [("b", b"3456", 24_000), ("odd", b"1", 24_000), ("none", None, 24_000), ("slow", b"12", 8000), (None, b"12", 24_000), ("é", b"78", 24_000)]
+    frame = spark.createDataFrame(rows, "text string, pcm binary, rate int").repartition(6)
+    for _ in range(2):
+        assert sorted(r["error"] for r in speech_store.write(frame, at).collect()) == ["no samples", "no samples", "no text", "rate"]
+    speech_store.write(spark.createDataFrame([("a", b"other", 24_000), ("c", b"90", 24_000)], "text string, pcm binary, rate int"), at)
+    assert {(r["text"], bytes(r["pcm"])) for r in speech_store.read(spark, at).collect()} == {("a", b"12"), ("b", b"3456"), ("é", b"78"), ("c", b"90")}
+    assert sorted(p.suffix for p in (tmp_path / "voices").iterdir() if p.is_file() and not p.name.startswith(".")) == [".pcm"] * 4
