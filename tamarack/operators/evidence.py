@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, query_terms, sentences, terms
 from ..models import ask
-from .rules import navigation_intent
+from .rules import NAVIGATION_REPLIES, requested_page
 
 #: Page furniture that is no evidence, and the texts of the answer policy.
 FURNITURE = r"(?i)FaLang translation system|Subcategories Koleksi Poster Maya"
@@ -105,7 +105,7 @@ def citation_numbers(evidence: DataFrame, key: Column) -> DataFrame:
 
 
 def answer(chunks, question: str, proposals: DataFrame | None = None, k: int = 8, keep: int = 2, make=None) -> DataFrame:
-    """One row: kind, text and sources of the answer to a question over a chunk table or a written index.
+    """One row: kind, text, sources and page (of a navigation) of the answer to a question over a chunk table or a written index.
 
     Navigation requests are answered before any search. Exact excerpts come first; proposals of a model (ord, source_id,
     quote), given or made by the client of `make`, are only used, after validation, where no excerpt fits; without either
@@ -115,9 +115,9 @@ def answer(chunks, question: str, proposals: DataFrame | None = None, k: int = 8
     from .search import search
 
     spark = chunks.spark if isinstance(chunks, SearchIndex) else chunks.sparkSession
-    page = spark.createDataFrame([(question,)], "q string").select(navigation_intent(F.col("q"))).first()[0]
+    page = requested_page(question)
     if page is not None:
-        return spark.createDataFrame([("navigation", page, "")], "kind string, text string, source_ids string")
+        return spark.createDataFrame([("navigation", NAVIGATION_REPLIES[page], "", page)], "kind string, text string, source_ids string, page string")
     hits = best(chunks, question, k) if isinstance(chunks, SearchIndex) else search(chunks, question, k)
     ranked = hits.withColumn("ord", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id", "chunk_no")))  # at most k rows
     ranked = ranked.withColumn("id", F.concat_ws(":", "doc_id", "chunk_no"))
@@ -136,4 +136,4 @@ def answer(chunks, question: str, proposals: DataFrame | None = None, k: int = 8
     kind = F.when(found, F.col("kind")).otherwise("no-evidence")
     text = F.when(found, F.concat(intro, F.lit("\n\n"), lines)).otherwise(REFUSAL)
     ids = F.when(found, F.array_join(F.transform("q", lambda c: c["id"]), ",")).otherwise("")
-    return body.select(kind.alias("kind"), text.alias("text"), ids.alias("source_ids"))
+    return body.select(kind.alias("kind"), text.alias("text"), ids.alias("source_ids"), F.lit(None).cast("string").alias("page"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ NAVIGATION = [
     (r"(?is)(?:buka|pergi|analisis|baca|transkripsi)[^\n]{0,30}(?:jawi|tulisan tangan|manuskrip)", "jawi"),
     (r"(?is)(?:buka|pergi|kembali)[^\n]{0,30}(?:arkib|carian|koleksi)", "arkib"),
 ]
+#: What is said when a page is opened.
+NAVIGATION_REPLIES = {
+    "aduan": "Saya buka halaman e-Aduan. Ceritakan apa yang berlaku, bila dan di mana. Anda boleh semak serta ubah draf sebelum menyimpannya.",
+    "jawi": "Saya buka ruang Jawi dan tulisan tangan. Muat naik imej dokumen untuk melihat transkripsi dan terjemahan secara bersebelahan.",
+    "arkib": "Saya buka carian arkib. Setiap jawapan penyelidikan perlu disokong petikan daripada sumber yang diindeks.",
+}
 #: Complaint categories (all patterns of a rule must match), in order, and the default.
 CATEGORIES = [
     ([r"(?i)rasuah|suapan|tanpa resit|tanpa risit"], "Rasuah / Permintaan Suapan"),
@@ -45,6 +53,11 @@ def navigation_intent(text: Column) -> Column:
     return first_match(text, [([p], page) for p, page in NAVIGATION])
 
 
+def requested_page(question: str) -> str | None:
+    """The page that one question asks for, without a job."""
+    return next((page for pattern, page in NAVIGATION if re.search(pattern, question)), None)
+
+
 def category(text: Column) -> Column:
     return first_match(text, CATEGORIES, OTHER_CATEGORY)
 

@@ -72,6 +72,8 @@ def test_answers(spark):
     table = chunk(docs)
     kinds = [evidence.answer(table, q).first()["kind"] for q in ("darurat British keganasan", "zzz qqq", "buka carian")]
     assert kinds == ["grounded-excerpts", "no-evidence", "navigation"]
+    reply = evidence.answer(table, "buka carian").first()
+    assert reply["page"] == "arkib" and reply["text"].startswith("Saya buka carian arkib.") and reply["source_ids"] == ""
     assert search.search(table, "yang dan di").count() == 0
 
 
