@@ -248,6 +248,9 @@ ORACLE_SQL = {
     "no_new_numbers": f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN n < 100000 WHEN 1 THEN true WHEN 2 THEN n < 100000 AND contains('meminta ' || {_words('(n + 1)')}, {_words('n')}) ELSE false END AS ok FROM {_N}""",
     "extract_dates": f"SELECT n, nullif(regexp_extract(text, '(?i)\\b\\d{{1,2}}\\s+(?:Januari|Februari|Mac|April|Mei|Jun|Julai|Ogos|September|Oktober|November|Disember)\\s+(?:19|20)\\d{{2}}\\b'), '') AS date FROM {_V}",
     "extract_amounts": f"SELECT n, regexp_replace(regexp_extract(text, '(?i)\\bRM\\s*\\d[\\d,.]*'), '\\s+', ' ', 'g') AS amount, CASE WHEN text LIKE '% ringgit%' THEN said END AS spoken FROM {_V}",
+    "extract_places": rf"""SELECT n, array_to_string(regexp_extract_all(text, '(?i)\b(?:di|berhampiran|dalam)\s+((?:Jalan|Taman|Kampung|Pejabat|Dewan|Sekolah|Hospital|Kaunter|Bandar|Balai|Kedai|Perpustakaan|Pusat)\s+[^,.!?]{{2,100}}?)(?:\s+dan\s+(?:meminta|menyebut|memberi|mengambil|membayar)|[,.!?]|$)', 1), '|') AS places FROM {_V}""",
+    "chronology": rf"""SELECT n, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\s+(Selepas itu|Kemudian|Pada mulanya|Semasa pertemuan)', chr(1) || '\1', 'gi'), chr(1)), lambda q: {S.clean("q")}),
+        lambda q: length(q) >= 18 AND regexp_matches(q, '(?i)pada\s+\d|berurusan|kaunter|counter|menyebut|berjumpa|meminta') AND NOT regexp_matches(q, '(?i)^saya ingin membuat aduan\b|(?:mempunyai|memiliki)\s+(?:mesej|message|rakaman)'))) AS events FROM {_V}""",
     "word_box_validation": f"""SELECT conv_id AS image, CASE conv_id % 6 WHEN 2 THEN '{ocr.BAD_WORD}' WHEN 5 THEN '{ocr.BAD_WORD}' WHEN 4 THEN '{ocr.NO_WORDS}' WHEN 3 THEN '{ocr.NO_SEGMENTS}' END AS error,
         CASE WHEN conv_id % 6 < 2 THEN count(*) ELSE -1 END AS n_words FROM conversations GROUP BY conv_id""",
     "segment_remap": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE conv_id % 6 < 2)
