@@ -5,7 +5,9 @@ blocks; a value runs inside its block, and what a key brings along from earlier
 block starts in the middle of one key only. So tasks stay of a block's size, however large a key is, and the table that is
 broadcast has at most as many rows as there are blocks.
 
-Rows that are equal in key and order are told apart by a number that is written with them, so blocks can part them too.
+Rows that are equal in key and order are told apart by a number that is written with them, so blocks can part them too. It
+is the row's place in its partition, so the rows given should come from a scan or a written table, whose partitions are the
+same when a lost task runs again; what comes from a shuffle is written first.
 Null keys are a key of their own. An empty table gives an empty table. Column names of any kind may be in the rows.
 """
 
