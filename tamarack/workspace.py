@@ -61,6 +61,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(df: DataFrame, name: str, old: str | None) -> tuple[DataFrame, str]:
+    """As `written`, with the path; the rows at the path `old`, which only these were made from, are removed, so rounds hold one state."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    if old:
+        remove(df.sparkSession, old)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """A column name that isn't taken, in any case of its letters."""
     low = {t.lower() for t in taken}
