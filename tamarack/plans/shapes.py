@@ -23,9 +23,7 @@ def outline_rings(spark, d):
     """Every ring's first edge, length and area, and how it goes, as a digest of its points."""
     found = contours.rings(contours.edges(dark_pixels(spark, d)))
     points = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ")
-    sizes = contours.areas(found)
-    walks = found.groupBy("image", "ring").agg(F.md5(points).alias("digest"))  # what describes a shape of the given size
-    return sizes.join(walks, ["image", "ring"])
+    return contours.areas(found, digest=F.md5(points))  # what describes a shape of the given size
 
 
 def simplified_outlines(spark, d):
