@@ -1,7 +1,7 @@
 """A written search index: chunks in document order, postings in token order, figures of the corpus.
 
 A question reads the postings of its own tokens only: they are sorted by token over ranges, so Parquet's statistics leave the
-rest unread. Scores are summed by chunk, and the k best chunks' texts are then fetched by their document ids, which the
+rest unread. They are written when they are first asked for: what needs the chunks or the figures only doesn't wait for them. Scores are summed by chunk, and the k best chunks' texts are then fetched by their document ids, which the
 statistics of the chunk table narrow down in the same way. `refreshed` writes a new index when the source files have
 changed (names, sizes, times), and removes the one before.
 """
@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms
-from ..workspace import shared_dir
+from ..workspace import file_system, shared_dir
 from .search import LEAST_MATCHED, LEAST_SCORE, corpus_stats, postings, term_weight
 
+#: Tokens of a range of postings, and how index files are compressed.
+RANGE, CODEC = 1_500_000, "zstd"
+
 
 @dataclass(frozen=True)
 class SearchIndex:
@@ -27,12 +30,19 @@ class SearchIndex:
     def _table(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def _has(self, name: str) -> bool:
+        fs, at = file_system(self.spark, f"{self.path}/{name}/_SUCCESS")
+        return fs.exists(at)
+
     @property
     def chunks(self) -> DataFrame:
         return self._table("chunks", "doc_id long, chunk_no int, text string, tokens array<string>")
 
     @property
     def postings(self) -> DataFrame:
+        if not self._has("postings"):
+            tokens = self.figures.select(F.col("chunks") * F.col("mean_tokens")).first()[0]
+            write_sorted(postings(self.chunks), tokens, f"{self.path}/postings")
         return self._table("postings", "doc_id long, chunk_no int, token string, tf long, length int")
 
     @property
@@ -40,14 +50,18 @@ class SearchIndex:
         return self._table("figures", "chunks long, mean_tokens double, documents long")
 
 
+def write_sorted(rows: DataFrame, tokens: float, path: str) -> None:
+    """Writes postings in token order over ranges of at most some RANGE tokens, so a task's sort has one size however large the corpus is."""
+    # the document as a second key: a token of very many chunks spreads over several files
+    ranges = rows.select("doc_id", "chunk_no", "token", "tf", "length").repartitionByRange(int(tokens // RANGE) + 1, "token", "doc_id")
+    ranges.sortWithinPartitions("token", "doc_id", "chunk_no").write.mode("overwrite").option("compression", CODEC).parquet(path)
+
+
 def write(chunks: DataFrame, path: str) -> SearchIndex:
-    """Writes the index of a chunk table (doc_id, chunk_no, text, tokens)."""
+    """Writes the index of a chunk table (doc_id, chunk_no, text, tokens), but for its postings."""
     spark = chunks.sparkSession
     index = SearchIndex(spark, path)
-    chunks.select(F.col("doc_id").cast("long"), F.col("chunk_no").cast("int"), "text", "tokens").write.parquet(f"{path}/chunks")
-    rows = postings(index.chunks).select("doc_id", "chunk_no", "token", "tf", "length")
-    # the document as a second key: a token of very many chunks spreads over several files
-    rows.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id", "chunk_no").write.parquet(f"{path}/postings")
+    chunks.select(F.col("doc_id").cast("long"), F.col("chunk_no").cast("int"), "text", "tokens").write.option("compression", CODEC).parquet(f"{path}/chunks")
     corpus_stats(index.chunks).coalesce(1).write.parquet(f"{path}/figures")  # one row
     return index
 

@@ -47,9 +47,14 @@ def search(chunks: DataFrame, question: str, k: int = 8) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk_no, token, tf, length: counted per chunk before anything is shuffled."""
-    rows = chunks.select("doc_id", "chunk_no", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return rows.groupBy("doc_id", "chunk_no", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    """doc_id, chunk_no, token, tf, length: counted inside each chunk's row, as runs of its sorted tokens; nothing is shuffled."""
+    rows = chunks.select("doc_id", "chunk_no", F.size("tokens").alias("length"), F.sort_array("tokens").alias("_sorted"))
+    token = lambda i: F.get("_sorted", i)
+    starts = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (token(i) != token(i - 1)))
+    rows = rows.filter("length > 0").withColumn("_starts", starts)
+    run = lambda s, k: F.struct(token(s).alias("token"), (F.coalesce(F.get("_starts", k + 1), F.col("length")) - s).cast("long").alias("tf"))
+    rows = rows.select("doc_id", "chunk_no", "length", F.explode(F.transform("_starts", run)).alias("_run"))
+    return rows.select("doc_id", "chunk_no", "_run.token", "_run.tf", "length")
 
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
