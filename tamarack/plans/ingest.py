@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import crawl, media
+from ..operators.chunk import chunk_texts
 from ..sources import pages as P
 from ..tables import inline, load, sql_values
-from . import archive
 from . import sql as S
 
 KEYS = ("page", "id")
@@ -130,10 +130,12 @@ def document_list_page(spark, d):
 
 
 def archive_status(spark, d):
-    docs = load(spark, d, "documents").agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("source").alias("sources"))
+    n = F.col("n_chunks")  # counted in the documents' rows: a status writes no index
+    sizes = load(spark, d, "documents").select("source", F.size(chunk_texts(F.col("text"))).alias("n_chunks"))
+    docs = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(n.cast("long")).alias("n_chunks"))
+    docs = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.coalesce(F.sum(n), F.lit(0)).alias("chunks"), F.count("source").alias("sources"))
     files = manifest(spark, d).agg(F.count_if(F.col("status") == "saved").alias("media_saved"), F.count_if(F.col("status") != "saved").alias("media_pending"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("media_pages"))
-    chunks = archive.indexed(spark, d).figures.select("chunks")
-    return docs.crossJoin(F.broadcast(files)).crossJoin(F.broadcast(chunks))  # one row each
+    return docs.crossJoin(F.broadcast(files)).select("documents", "sources", *files.columns, "chunks")  # one row each
 
 
 def failure_log_counts(spark, d):
