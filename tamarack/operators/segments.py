@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from ..workspace import file_system, written
 from .chunk import chunk
+from .index import CODEC, write_sorted
+from .joins import with_facts
 from .search import postings
 
 MOST, LIVE_SHARE = 8, 0.5
@@ -89,14 +91,13 @@ class SegmentedIndex:
         """docs is (doc_id, digest); chunks and rows are the tables of an index."""
         name = uuid.uuid4().hex[:12]
         at = lambda table: f"{self.path}/{table}/segment={name}"
-        chunks.select("doc_id", "chunk_no", "text", "tokens").write.parquet(at("chunks"))
+        chunks.select("doc_id", "chunk_no", "text", "tokens").write.option("compression", CODEC).parquet(at("chunks"))
         stored = self._read("chunks", [{"segment": name}])
-        rows = rows(stored) if callable(rows) else rows
-        rows.select("doc_id", "chunk_no", "token", "tf", "length").repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id", "chunk_no").write.parquet(at("postings"))
         sizes = stored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("tokens")).cast("long").alias("tokens"))
         zero = F.lit(0).cast("long")
         docs.join(sizes, "doc_id", "left").select("doc_id", "digest", F.coalesce("chunks", zero).alias("chunks"), F.coalesce("tokens", zero).alias("tokens")).write.parquet(at("docs"))
         n = self._read("docs", [{"segment": name}]).agg(F.count(F.lit(1)), F.sum("chunks"), F.sum("tokens")).first()
+        write_sorted(rows(stored) if callable(rows) else rows, n[2] or 0, at("postings"))
         return {"segment": name, **{c: v or 0 for c, v in zip(_FIGURES, n)}, **{f"dead_{c}": 0 for c in _FIGURES}, "dead": []}
 
     def _commit(self, segments: list[dict]) -> None:
@@ -108,15 +109,14 @@ class SegmentedIndex:
     def apply(self, changed: DataFrame, gone: DataFrame | None = None) -> None:
         """Takes in documents (doc_id, text) that are new or edited, and lets go of ids (doc_id)."""
         segments = self.segments()
-        new = changed.select(F.col("doc_id").cast("long"), "text").groupBy("doc_id").agg(F.max("text").alias("text")).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-        new = written(new, "changed")
+        new = written(_once(changed.select(F.col("doc_id").cast("long"), "text")).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), "changed")
         ids = new.select("doc_id", "digest")
         if gone is not None:
             ids = ids.unionByName(gone.select(F.col("doc_id").cast("long"), F.lit(None).cast("string").alias("digest")).distinct().join(new.select("doc_id"), "doc_id", "left_anti"))
         known = self._live("docs", segments).withColumnRenamed("digest", "was")
         met = written(known.join(ids, "doc_id"), "met")
         same = met.filter("was = digest").select("doc_id")
-        fresh = new.join(same, "doc_id", "left_anti")
+        fresh = new.join(same.hint("shuffle_hash"), "doc_id", "left_anti") if segments else new  # ids are held, texts pass by unsorted
         dead = met.filter("digest IS NULL OR was <> digest").select("segment", "doc_id", "chunks", "tokens")
         if not dead.isEmpty():
             name = uuid.uuid4().hex[:12]
@@ -151,6 +151,15 @@ class SegmentedIndex:
                     fs.delete(status.getPath(), True)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """A row for each id, that with its largest text; only texts of ids that come more than once are shuffled."""
+    again = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("_again")), "repeated-ids")
+    if again.isEmpty():
+        return rows
+    marked = with_facts(rows, again, ["doc_id"], ["text"], "left")
+    return marked.filter("_again IS NULL").drop("_again").unionByName(marked.filter("_again").groupBy("doc_id").agg(F.max("text").alias("text")))
+
+
 def changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents of `after` (doc_id, text) that are new or have another text, and ids of `before` that are gone; texts are
     compared by digest, so they don't shuffle."""

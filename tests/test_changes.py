@@ -147,3 +147,27 @@ def test_speech_is_stored_once(spark, tmp_path):
     speech_store.write(spark.createDataFrame([("a", b"other", 24_000), ("c", b"90", 24_000)], "text string, pcm binary, rate int"), at)
     assert {(r["text"], bytes(r["pcm"])) for r in speech_store.read(spark, at).collect()} == {("a", b"12"), ("b", b"3456"), ("é", b"78"), ("c", b"90")}
     assert sorted(p.suffix for p in (tmp_path / "voices").iterdir() if p.is_file() and not p.name.startswith(".")) == [".pcm"] * 4
+
+
+def test_postings_count_runs_and_lie_in_ranges_of_one_size(spark, monkeypatch):
+    """Counting needs no shuffle, an index of chunks has no postings until they are asked for, and a larger corpus has more ranges, not larger ones."""
+    from tamarack.operators import search
+
+    docs = [(i, " ".join(f"w{(i * j) % 7} zz" for j in range(i % 9))) for i in range(200)] + [(900, None), (901, "")]
+    chunks = spark.createDataFrame([(i, 0, t, (t or "").split()) for i, t in docs], "doc_id long, chunk_no int, text string, tokens array<string>")
+    rows = search.postings(chunks)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = sorted((i, 0, w, (t or "").split().count(w), len((t or "").split())) for i, t in docs for w in set((t or "").split()))
+    assert sorted(map(tuple, rows.collect())) == want
+    monkeypatch.setattr(index, "RANGE", 100)
+    made = index.write(chunks, new_path(spark, "ranges"))
+    assert not made._has("postings")
+    assert sorted(tuple(r[c] for c in ("doc_id", "chunk_no", "token", "tf", "length")) for r in made.postings.collect()) == want
+    assert made._has("postings") and len(made.postings.inputFiles()) > 8
+
+
+def test_repeated_ids_of_a_change_keep_their_largest_text(spark):
+    from tamarack.operators import segments
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c"), (3, None), (None, "x"), (None, "y"), (2, None)], "doc_id long, text string")
+    assert sorted(map(repr, map(tuple, segments._once(rows).collect()))) == sorted(map(repr, [(1, "c"), (2, "b"), (3, None), (None, "y")]))
