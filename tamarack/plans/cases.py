@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import complaints, ocr, rules
-from ..tables import inline, load, sql_values
+from ..tables import inline, load, spread, sql_values
 from . import sql as S
 from .lexicon import LEXICON, LINES, PHRASES
 
@@ -29,7 +29,7 @@ def _pick(values: list[str], n):
 def statements(spark, d):
     """n, text and the values that the text may hold, of every customer."""
     n = F.col("c_custkey")
-    rows = load(spark, d, "customer").select(n.alias("n"), (n * 37 % 9000 + 1000).cast("int").alias("sum"), (n % 9 * 1000 + 1000 + n % 10 * 100).cast("int").alias("said"), _pick(PLACES, n).alias("place"), _pick(PERSONS, n + 1).alias("person"), _pick(TOLD, n).alias("t"))
+    rows = spread(load(spark, d, "customer").select("c_custkey")).select(n.alias("n"), (n * 37 % 9000 + 1000).cast("int").alias("sum"), (n % 9 * 1000 + 1000 + n % 10 * 100).cast("int").alias("said"), _pick(PLACES, n).alias("place"), _pick(PERSONS, n + 1).alias("person"), _pick(TOLD, n).alias("t"))
     n = F.col("n")
     date = F.concat_ws(" ", (n % 28 + 1).cast("string"), _pick(MONTHS, n), (n % 40 + 1990).cast("string"))
     values = {"AMOUNT": F.concat(F.lit("RM"), F.format_number("sum", 0)), "WORDS": N.number_words(F.col("said")), "DATE": date, "PLACE": F.col("place"), "PERSON": F.col("person")}

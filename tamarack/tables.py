@@ -9,6 +9,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table of short rows that a task takes where each row is much work.
+ROWS = 5_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over as many tasks as they give work; such a table's files are too small to be split."""
+    return rows.repartition(rows.count() // ROWS + 1)
+
+
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small constant table."""
     return spark.createDataFrame(rows, schema)
