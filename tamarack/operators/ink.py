@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import written
+from .joins import with_facts
 from .signals import islands
 
 #: Thresholds of printed ink.
@@ -36,6 +38,29 @@ def dark_grey(grey: Column) -> Column:
     return F.coalesce(grey < GREY_DARK, F.lit(False))
 
 
+def grey_line_counts(images: DataFrame, width: int, image: str = "image", levels: str = "levels") -> DataFrame:
+    """image, y, n_ink of images whose levels come as an array, row by row: the counts that `grey_ink` gives for their pixels, made
+    inside the image's row. Images that come in several rows are put together as pixels."""
+    rows = images.select(F.col(image), F.col(levels).alias("_levels"))  # ids alone are counted, so levels are made once
+    again = written(images.groupBy(image).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(image, F.lit(True).alias("_again")), "repeated-images")
+    parted = not again.isEmpty()
+    if parted:
+        rows = with_facts(rows, again, [image], ["_levels"], "left")
+    one = rows.filter("_again IS NULL") if parted else rows
+    one = one.withColumn("_sorted", F.sort_array(F.array_compact("_levels"))).withColumn("_at", (F.size("_sorted") - 1) * F.lit(GREY_RANK))
+    low, high = F.get("_sorted", F.floor("_at").cast("int")), F.get("_sorted", F.ceil("_at").cast("int"))
+    rank = F.when(low == high, low.cast("double")).otherwise((F.ceil("_at") - F.col("_at")) * low + (F.col("_at") - F.floor("_at")) * high)
+    one = one.withColumn("_limit", F.least(F.lit(GREY_MOST), F.floor(rank).cast("int") - GREY_BELOW))
+    of_line = lambda y: F.size(F.filter(F.slice("_levels", y * width + 1, F.lit(width)), lambda g: g < F.col("_limit"))).cast("long")
+    numbers = F.when(F.size("_levels") > 0, F.sequence(F.lit(0), F.floor((F.size("_levels") - 1) / width).cast("int")))
+    lines = F.transform(numbers, lambda y: F.struct(y.cast("long").alias("y"), of_line(y).alias("n_ink")))
+    counts = one.select(image, F.explode(lines).alias("_line")).select(image, "_line.y", "_line.n_ink")
+    if not parted:
+        return counts
+    pixels = rows.filter("_again").select(image, F.posexplode("_levels").alias("at", "grey")).withColumn("y", F.floor(F.col("at") / width))
+    return counts.unionByName(ink_counts(grey_ink(pixels, image), [image], "y"))
+
+
 def ink_counts(pixels: DataFrame, keys: list[str], axis: str) -> DataFrame:
     """n_ink of each row (axis y) or column (axis x); combined before the shuffle, so an image of any size is no burden."""
     return pixels.groupBy(*keys, axis).agg(F.count_if(F.col("ink")).alias("n_ink"))

@@ -142,3 +142,28 @@ def test_transcripts_go_on_over_batches(spark, tmp_path):
         run_available(out, lambda batch, n: batch.write.mode("append").parquet(f"{at}/out"), f"{at}/c")
     got = sorted((r["k"], r["n"], r["type"], r["text"]) for r in spark.read.parquet(f"{at}/out").collect())
     assert got == [("a", 1, "partial", "sa"), ("a", 3, "partial", "saya"), ("a", 4, "final", "saya"), ("b", 1, "partial", "x")]
+
+
+def test_ink_of_whole_images_is_that_of_their_pixels(spark):
+    """Counted in the image's row without a shuffle; images in several rows are put together."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tamarack.operators import ink
+
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(30, 256) for _ in range(rng.randrange(0, 40))]) for i in range(60)] + [(7, [40, 50, 60]), (None, [40, 255, 255, 255, 90]), (99, None), (98, [None, 3, 250])]
+    images = spark.createDataFrame(rows, "image int, levels array<int>")
+    pixels = images.select("image", F.posexplode("levels").alias("at", "grey")).withColumn("y", F.floor(F.col("at") / 8))
+    want = ink.ink_counts(ink.grey_ink(pixels), ["image"], "y")
+    got = ink.grey_line_counts(images, 8)
+    assert got.columns == want.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert "Exchange" not in ink.grey_line_counts(images.filter("image <> 7"), 8)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_files_of_much_work_are_spread(spark, tmp_path):
+    from tamarack.tables import ROWS, spread
+
+    spark.range(3 * ROWS).coalesce(1).write.parquet(str(tmp_path / "one"))
+    assert spread(spark.read.parquet(str(tmp_path / "one"))).rdd.getNumPartitions() == 4
