@@ -37,11 +37,19 @@ def streaming_upsert(spark, d):
     return upserted(spark, f"{at}/table", rows.schema)
 
 
+#: Rows of a file of a batch.
+FILE_ROWS = 2_000
+
+
 def in_batches(spark: SparkSession, rows: DataFrame, batch: str, n: int, at: str) -> DataFrame:
-    """A stream that brings the rows of batch 0, then those of batch 1 and so on."""
+    """A stream that brings the rows of batch 0, then those of batch 1 and so on. All batches have as many files, which are read
+    in the order of their writing: one for about FILE_ROWS rows of the smallest batch, so none is empty."""
+    sizes = [r[0] for r in rows.groupBy(batch).count().filter(F.col(batch).between(0, n - 1)).select("count").collect()]  # a row a batch
+    files = min(sizes) // FILE_ROWS if len(sizes) == n else 0
     for i in range(n):
-        rows.filter(F.col(batch) == i).drop(batch).coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(rows.drop(batch).schema).option("maxFilesPerTrigger", 1).parquet(at)
+        part = rows.filter(F.col(batch) == i).drop(batch)
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.drop(batch).schema).option("maxFilesPerTrigger", max(files, 1)).parquet(at)
 
 
 def played(spark: SparkSession, found: DataFrame, at: str) -> DataFrame:

@@ -171,3 +171,15 @@ def test_repeated_ids_of_a_change_keep_their_largest_text(spark):
 
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c"), (3, None), (None, "x"), (None, "y"), (2, None)], "doc_id long, text string")
     assert sorted(map(repr, map(tuple, segments._once(rows).collect()))) == sorted(map(repr, [(1, "c"), (2, "b"), (3, None), (None, "y")]))
+
+
+def test_batches_of_many_files_come_one_after_another(spark, monkeypatch):
+    from tamarack.plans import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    rows = spark.range(1500).selectExpr("id", "cast(id % 3 as int) AS batch")
+    at, seen = new_path(spark, "batches"), []
+    stream = streams.in_batches(spark, rows, "batch", 3, at)
+    streams.run_available(stream, lambda b, n: seen.append((n, sorted({r[0] % 3 for r in b.collect()}), len(b.inputFiles()))), new_path(spark, "check"))
+    assert [(n, kinds) for n, kinds, _ in seen] == [(0, [0]), (1, [1]), (2, [2])]
+    assert len(spark.read.parquet(at).inputFiles()) == 15
