@@ -36,41 +36,52 @@ class InOrder(StatefulProcessor):
         self.next = handle.getValueState("next", "n long")
         self.held = handle.getMapState("held", "seq long", "part string")
 
-    def _release(self, key: tuple, skip: bool) -> list[tuple]:
-        """Held parts as far as they go on without a gap, or all of them."""
-        n, out = self.next.get()[0] if self.next.exists() else 0, []
-        for (seq,) in sorted(self.held.keys()):
+    def _release(self, key: tuple, skip: bool, n: int, came: dict) -> tuple[list[tuple], bool]:
+        """Held and new parts as far as they go on without a gap, or all of them, and whether parts are left. Each access to the
+        state is a call, so what goes on at once isn't held."""
+        held = {k[0]: v[0] for k, v in self.held.iterator()}
+        parts, out, start = held | came, [], n
+        for seq in sorted(parts):
             if seq != n and not skip:
                 break
-            out.append((key[0], seq, self.held.getValue((seq,))[0], seq - n))
-            self.held.removeKey((seq,))
+            out.append((key[0], seq, parts[seq], seq - n))
+            if seq in held:
+                self.held.removeKey((seq,))
+            came.pop(seq, None)
             n = seq + 1
-        self.next.update((n,))
-        return out
+        for seq, part in came.items():
+            self.held.updateValue((seq,), (part,))
+        if n != start:
+            self.next.update((n,))
+        return out, len(parts) > len(out)
+
+    def _next(self) -> int:
+        found = self.next.get()
+        return found[0] if found else 0
 
     def _frame(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if out:
             yield pd.DataFrame(out, columns=[*self.names, "skipped"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, finished = self.next.get()[0] if self.next.exists() else 0, False
+        n, finished, came = self._next(), False, {}
         for pdf in rows:
-            for row in pdf.to_dict("records"):
-                if self.done and row[self.done]:
+            for seq, part, done in zip(pdf[self.names[1]], pdf[self.names[2]], pdf[self.done] if self.done else [False] * len(pdf)):
+                if done:
                     finished = True
-                elif row[self.names[1]] >= n:  # what was given on or skipped doesn't come again
-                    self.held.updateValue((int(row[self.names[1]]),), (row[self.names[2]],))
-        out = self._release(key, finished)
+                elif seq >= n:  # what was given on or skipped doesn't come again
+                    came[int(seq)] = part
+        out, left = self._release(key, finished, n, came)
         if self.wait_ms is not None:
             waiting = list(self.handle.listTimers())
             for old in waiting if out else []:  # another gap, another wait
                 self.handle.deleteTimer(old)
-            if (out or not waiting) and any(True for _ in self.held.keys()):
+            if (out or not waiting) and left:
                 self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.wait_ms)
         yield from self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._frame(self._release(key, True))
+        yield from self._frame(self._release(key, True, self._next(), {})[0])
 
     def close(self) -> None:
         pass
@@ -124,7 +135,7 @@ class Frames(StatefulProcessor):
         self.state = handle.getValueState("rest", "n long, rest binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, rest = self.state.get() if self.state.exists() else (0, b"")
+        n, rest = self.state.get() or (0, b"")
         buffer = bytearray(rest)
         for payload in pd.concat(rows).sort_values(self.order)[self.payload]:
             buffer += payload or b""
