@@ -17,13 +17,29 @@ from .signals import islands
 GREY_MOST, GREY_BELOW, GREY_RANK = 190, 18, 0.3
 DARK, GREY_DARK = 125, 140
 LEAST_COLUMN, LEAST_MASS, LEAST_SHARE = 1, 12, 0.12
+#: A rank of 0.3 or more, and so its part between two levels, is a multiple of 1 / DIGITS; a level times DIGITS fits a long.
+DIGITS = 1 << 54
+
+
+def _grey_limit(low: Column, high: Column, at: Column) -> Column:
+    """Below it a pixel is ink; from the levels before and after the rank `at`. The percentile between them is rounded as DuckDB's
+    quantile_cont does, low * (1 - part) + high * part with the first product and the sum rounded once (a fused multiply-add): it comes
+    out just below or at a whole number, which moves the limit by one. Sums of longs are exact, and the cast to double is that rounding."""
+    part = at - F.floor(at)
+    total = low.cast("long") * ((1 - part) * F.lit(float(DIGITS))).cast("long") + (high * part * F.lit(float(DIGITS))).cast("long")
+    return F.least(F.lit(GREY_MOST), F.floor(total.cast("double") / F.lit(float(DIGITS))).cast("int") - GREY_BELOW)
 
 
 def grey_ink(pixels: DataFrame, image: str = "image", grey: str = "grey") -> DataFrame:
-    """Adds `ink`: pixels clearly darker than the image's 30th percentile. A level has 256 values, so the percentile's state is small."""
-    limit = F.least(F.lit(GREY_MOST), F.floor(F.percentile(grey, GREY_RANK)).cast("int") - GREY_BELOW)
-    of_image = pixels.groupBy(F.col(image).alias("_image")).agg(limit.alias("_limit"))
-    rows = pixels.join(of_image, F.col(image).eqNullSafe(F.col("_image")))
+    """Adds `ink`: pixels clearly darker than the image's 30th percentile. Levels are whole numbers of 0 to 255 and are counted first,
+    so an image of any size has 257 rows at most where its ranks are found."""
+    counted = pixels.groupBy(F.col(image).alias("_image"), F.col(grey).alias("_level")).agg(F.count(grey).alias("_n"))
+    of_image = Window.partitionBy("_image")
+    counted = counted.withColumns({"_to": F.sum("_n").over(of_image.orderBy("_level")), "_at": (F.sum("_n").over(of_image) - 1) * F.lit(GREY_RANK)})
+    level = lambda rank: F.min(F.when(F.col("_to") > rank, F.col("_level")))
+    ranks = counted.groupBy("_image").agg(level(F.floor("_at")).alias("_low"), level(F.ceil("_at")).alias("_high"), F.first("_at").alias("_at"))
+    limits = ranks.select("_image", _grey_limit(F.col("_low"), F.col("_high"), F.col("_at")).alias("_limit"))
+    rows = pixels.join(limits, F.col(image).eqNullSafe(F.col("_image")))
     return rows.withColumn("ink", F.coalesce(F.col(grey) < F.col("_limit"), F.lit(False))).drop("_image", "_limit")
 
 
@@ -49,8 +65,7 @@ def grey_line_counts(images: DataFrame, width: int, image: str = "image", levels
     one = rows.filter("_again IS NULL") if parted else rows
     one = one.withColumn("_sorted", F.sort_array(F.array_compact("_levels"))).withColumn("_at", (F.size("_sorted") - 1) * F.lit(GREY_RANK))
     low, high = F.get("_sorted", F.floor("_at").cast("int")), F.get("_sorted", F.ceil("_at").cast("int"))
-    rank = F.when(low == high, low.cast("double")).otherwise((F.ceil("_at") - F.col("_at")) * low + (F.col("_at") - F.floor("_at")) * high)
-    one = one.withColumn("_limit", F.least(F.lit(GREY_MOST), F.floor(rank).cast("int") - GREY_BELOW))
+    one = one.withColumn("_limit", _grey_limit(low, high, F.col("_at")))
     of_line = lambda y: F.size(F.filter(F.slice("_levels", y * width + 1, F.lit(width)), lambda g: g < F.col("_limit"))).cast("long")
     numbers = F.when(F.size("_levels") > 0, F.sequence(F.lit(0), F.floor((F.size("_levels") - 1) / width).cast("int")))
     lines = F.transform(numbers, lambda y: F.struct(y.cast("long").alias("y"), of_line(y).alias("n_ink")))

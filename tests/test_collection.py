@@ -162,6 +162,32 @@ def test_ink_of_whole_images_is_that_of_their_pixels(spark):
     assert "Exchange" not in ink.grey_line_counts(images.filter("image <> 7"), 8)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ink_is_that_of_its_sql_where_the_percentile_is_nearly_whole(spark, tmp_path):
+    """Every pair of levels whose percentile is or should be a whole number, with a pixel that is ink for one limit and not for the next."""
+    duckdb = pytest.importorskip("duckdb")
+    from tamarack.plans import collection
+
+    texts = [":IIIII" + "S" * 13]  # 0.6 * 73 + 0.4 * 83: 76.99999999999999 in SQL, 77 by plain doubles
+    for n in range(2, 24):
+        at, part = divmod(3 * (n - 1), 10)
+        for low in range(51, 123, 3):
+            for high in range(low, 130):
+                whole, rest = divmod(low * (10 - part) + high * part, 10)
+                if rest == 0 and 0 <= low - (whole - 19):  # the pixel at whole - 19 stands among those up to the rank
+                    texts.append(chr(whole - 19) * (at > 0) + chr(low) * (at + (at == 0)) + chr(high) * (n - 1 - at))
+    texts += ["", "e", None, "ee", "\x00\x00z", "\U0001f600e\u0301" * 70]
+    parted = [(3, ":III"), (3, "II" + "S" * 13), (4, "z" * 64), (4, "a" * 70)]
+    rows = [(10 + i, t) for i, t in enumerate(texts)]
+    for name, some in (("whole", rows), ("parted", rows + parted)):
+        spark.createDataFrame(some, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / name / "documents.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/{name}/documents.parquet/*.parquet')")
+        want = con.execute(collection.ORACLE_SQL["grey_ink_rows"]).fetchall()
+        assert sorted(map(tuple, collection.grey_ink_rows(spark, str(tmp_path / name)).collect())) == sorted(want)
+        pixels = ink.ink_counts(ink.grey_ink(collection.pixels(spark, str(tmp_path / name))), ["image"], "y")
+        assert sorted(map(tuple, pixels.collect())) == sorted(want)
+
+
 def test_small_files_of_much_work_are_spread(spark, tmp_path):
     from tamarack.tables import ROWS, spread
 
